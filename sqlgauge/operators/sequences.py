@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prompts import ChatTemplate, append_answer
 
@@ -23,7 +24,7 @@ def token_udf(make_tokenizer: Callable[[], Tokenize]) -> Callable[[Column], Colu
     it is used; it returns a function from a text to its ids.
     """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def token_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenize = make_tokenizer()
         for texts in batches:

@@ -185,7 +185,8 @@ def run_pairs(
     ``examples`` is ``(id, db_id, gold_sql, pred_sql)`` with unique ids. Only these
     texts visit the driver, and only a stretch of them at a time. The prediction is
     not run when the gold query fails or the prediction is blank. ``workers`` queries
-    run side by side.
+    run side by side; their budgets then include waiting for free task slots, so give
+    the session ``spark.scheduler.mode=FAIR`` when some of them are heavy.
     """
     spark = examples.sparkSession
     root = new_path(spark, "results")

@@ -1,7 +1,7 @@
 """Database catalogs: which tables a database has and their CREATE statements.
 
 A catalog is ``(db_id, type, table_name, ddl)``, one row per schema object. A
-database whose file cannot be read is one row with nothing but its ``db_id``.
+database whose file is empty or unreadable is one row with nothing but its ``db_id``.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ def _schema_objects(db_id: str, image: bytes) -> list[tuple]:
     try:
         connection.deserialize(image)
         found = connection.execute("SELECT type, name, sql FROM sqlite_master").fetchall()
-        return [(db_id, *row) for row in found]
     except (sqlite3.Error, ValueError, TypeError):
-        return [(db_id, None, None, None)]
+        found = []
     finally:
         connection.close()
+    return [(db_id, *row) for row in found] or [(db_id, None, None, None)]
 
 
 def catalog_from_images(images: DataFrame) -> DataFrame:
@@ -46,8 +46,7 @@ def catalog_from_images(images: DataFrame) -> DataFrame:
             for db_id, content in zip(ids, contents, strict=True):
                 rows = _schema_objects(db_id, content.as_py())
                 columns = [pa.array(cells, pa.string()) for cells in zip(*rows, strict=True)]
-                if columns:
-                    yield pa.RecordBatch.from_arrays(columns, schema=_CATALOG_ARROW)
+                yield pa.RecordBatch.from_arrays(columns, schema=_CATALOG_ARROW)
 
     return images.select("db_id", "content").mapInArrow(run, CATALOG_TYPE)
 

@@ -1,10 +1,16 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path.insert(0, str(HERE.parent))
+# Python workers import the package and the functions defined in test modules.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [str(HERE.parent), str(HERE), *filter(None, [os.environ.get("PYTHONPATH")])]
+)
 
 SF = "/root/testdata/sf0.001"
 
