@@ -10,89 +10,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EXACT_LIMIT = float(2**126)  # whole doubles below this fit decimal(38, 0)
-_WORD = float(2**63)
+_TWO_63 = "9.223372036854775808E18D"
+_TWO_126 = "8.507059173023462E37D"  # whole doubles below this fit decimal(38, 0)
 
 
-def _whole_double(value: Column) -> Column:
-    """All digits of a double that holds a whole number."""
-    high = F.floor(F.abs(value) / _WORD)
-    low = F.abs(value) - high.cast("double") * _WORD
+def _large_whole(v: str) -> str:
+    """All digits of a whole double from 2**63 up, put together from two words."""
+    high = f"floor(abs({v}) / {_TWO_63})"
+    low = f"CAST(abs({v}) - CAST({high} AS DOUBLE) * {_TWO_63} AS BIGINT)"
     digits = (
-        high.cast("decimal(19,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + low.cast("bigint")
-    ).cast("string")
-    small = F.abs(value) < _WORD
-    large = F.when(value < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
-    return F.when(small, value.cast("bigint").cast("string")).otherwise(large)
-
-
-def _fractional_double(value: Column) -> Column:
-    """Shortest digits; plain notation from 1e-4 up, else an exponent of two digits."""
-    plain = F.rtrim(value.cast("decimal(38,21)").cast("string"), F.lit("0"))
-    text = F.regexp_replace(value.cast("string"), r"\.0E", "E")
-    exponent = F.regexp_replace(
-        F.regexp_replace(text, r"E-(\d)$", "e-0$1"), r"E-(\d+)$", "e-$1"
-    )
-    size = F.abs(value)
-    return (
-        F.when((size >= 1e-3) & (size < 1e7), value.cast("string"))
-        .when(size >= 1e-4, plain)
-        .otherwise(exponent)
+        f"CAST(CAST({high} AS DECIMAL(19,0)) * CAST('9223372036854775808' AS DECIMAL(19,0))"
+        f" + {low} AS STRING)"
     )
+    return f"concat(CASE WHEN {v} < 0 THEN '-' ELSE '' END, {digits})"
 
 
-def _double_cell(value: Column) -> Column:
-    whole = (F.rint(value) == value) & (F.abs(value) < _EXACT_LIMIT)
+def _small_fraction(v: str) -> str:
+    """A fraction below 1e-4 with an exponent of at least two digits."""
+    text = f"CAST({v} AS STRING)"
+    mantissa = f"replace(concat(substring_index({text}, 'E-', 1), 'E'), '.0E', 'E')"
+    exponent = f"substring_index({text}, 'E-', -1)"
     return (
-        F.when(whole, _whole_double(value))
-        .when(F.isnan(value), F.lit("nan"))
-        .when(value == float("inf"), F.lit("inf"))
-        .when(value == float("-inf"), F.lit("-inf"))
-        .when(F.abs(value) >= _EXACT_LIMIT, value.cast("string"))
-        .otherwise(_fractional_double(value))
+        f"concat(rtrim('E', {mantissa}), 'e-', lpad({exponent}, greatest(2, length({exponent})), '0'))"
     )
 
 
-def _decimal_cell(value: Column) -> Column:
-    text = value.cast("string")
-    return F.when(
-        F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    ).otherwise(text)
+def _double_text(v: str) -> str:
+    """Whole numbers without a point; else the shortest digits, plain from 1e-4 up."""
+    plain = f"rtrim('0', CAST(CAST({v} AS DECIMAL(38,21)) AS STRING))"
+    return (
+        f"CASE WHEN isnan({v}) THEN 'nan'"
+        f" WHEN abs({v}) >= {_TWO_126} THEN"
+        f" replace(lower(CAST({v} AS STRING)), 'infinity', 'inf')"
+        f" WHEN rint({v}) = {v} AND abs({v}) < {_TWO_63} THEN CAST(CAST({v} AS BIGINT) AS STRING)"
+        f" WHEN rint({v}) = {v} THEN {_large_whole(v)}"
+        f" WHEN abs({v}) >= 1e-3D AND abs({v}) < 1e7D THEN CAST({v} AS STRING)"
+        f" WHEN abs({v}) >= 1e-4D THEN {plain}"
+        f" ELSE {_small_fraction(v)} END"
+    )
 
 
-def canonical_cell(value: Column, data_type: T.DataType, digits: int | None = None) -> Column:
-    """Canonical text of one cell of the given type.
+def canonical_cell(value: str, data_type: T.DataType, digits: int | None = None) -> Column:
+    """Canonical text of one cell, given as SQL text, of the given type.
 
     ``digits`` rounds floating-point cells first; leave it out for the exact
     comparison. Use it where two plans may add doubles in different orders.
     """
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        number = value.cast("double")
-        text = _double_cell(number if digits is None else F.round(number, digits))
+        number = f"CAST({value} AS DOUBLE)"
+        text = _double_text(number if digits is None else f"round({number}, {digits})")
     elif isinstance(data_type, T.DecimalType):
-        text = _decimal_cell(value)
+        text = f"CAST({value} AS STRING)"
+        if data_type.scale > 0:
+            text = f"rtrim('.', rtrim('0', {text}))"
     elif isinstance(data_type, T.BooleanType):
-        text = value.cast("int").cast("string")
+        text = f"CAST(CAST({value} AS INT) AS STRING)"
     elif isinstance(data_type, T.BinaryType):
-        text = F.hex(value)
+        text = f"hex({value})"
     elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        text = F.to_json(value)
+        text = f"to_json({value})"
     else:
-        text = value.cast("string")
-    return F.coalesce(text, F.lit(""))
+        text = f"CAST({value} AS STRING)"
+    return F.expr(f"coalesce({text}, '')")
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def canonical_row(df: DataFrame, digits: int | None = None) -> Column:
     """All cells of a row by position; column names play no part.
 
-    Refers to the columns by position too, so give the columns of a query that
-    repeats a name fresh names first (``positional``).
+    A query that repeats a name needs fresh names first (``positional``).
     """
-    cells = [
-        canonical_cell(F.col(f"`{field.name}`"), field.dataType, digits)
-        for field in df.schema.fields
-    ]
-    return F.array(*cells)
+    return F.array(
+        *[canonical_cell(quoted(f.name), f.dataType, digits) for f in df.schema.fields]
+    )
 
 
 def positional(df: DataFrame) -> DataFrame:

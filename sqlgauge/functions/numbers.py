@@ -1,49 +1,46 @@
-"""Rounding and order-preserving buckets for doubles."""
+"""Rounding and order-preserving buckets for doubles.
+
+These take SQL text for the value, best a column name: the formulas repeat it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLITTER = 134217729.0  # 2**27 + 1 cuts a double into two 26-bit halves
-
 
-def round_half_even(value: Column, digits: int) -> Column:
+def round_half_even(value: str, digits: int) -> Column:
     """Round a double as Python's ``round`` does: to nearest on the exact binary
     value, ties to even.
 
     ``round`` and ``bround`` work on the printed decimal, so 0.35 counts as a tie
     there although the stored number lies below it. Here the rounding error of
-    ``value * 10**digits`` is recovered exactly and decides such cases.
+    ``value * 10**digits`` is recovered exactly and decides such cases; cutting the
+    value into two 26-bit halves (the factor 2**27 + 1) makes that possible.
     """
-    scale = F.lit(float(10**digits))
-    value = value.cast("double")
-    product = value * scale
-    nearest = F.rint(product)
-    scaled = value * F.lit(_SPLITTER)
-    high = scaled - (scaled - value)
-    low = value - high
-    error = (high * scale - product) + low * scale
-    tie = F.abs(product - nearest) == 0.5
-    rounded = (
-        F.when(tie & (error > 0), product + 0.5)
-        .when(tie & (error < 0), product - 0.5)
-        .otherwise(nearest)
+    x, scale = f"CAST({value} AS DOUBLE)", f"{10**digits}D"
+    product = f"({x} * {scale})"
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    error = f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
+    return F.expr(
+        f"CASE WHEN abs({product} - rint({product})) <> 0.5D OR {error} = 0 THEN rint({product})"
+        f" WHEN {error} > 0 THEN {product} + 0.5D"
+        f" WHEN {error} < 0 THEN {product} - 0.5D"
+        f" ELSE rint({product}) END / {scale}"
     )
-    return rounded / scale
 
 
-def log_bucket(value: Column, per_e_fold: int) -> Column:
+def log_bucket(value: str, per_e_fold: int) -> Column:
     """A bucket number that never decreases as the value grows.
 
     Buckets have a constant relative width of ``1 / per_e_fold`` above 0.001 and a
     constant absolute width below; negative values mirror positive ones. Equal
     values share a bucket, so a bucket can be refined by the value itself.
     """
-    magnitude = F.floor(F.log1p(F.abs(value) * 1000.0) * float(per_e_fold))
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
+    magnitude = f"floor(log1p(abs({value}) * 1000D) * {per_e_fold}D)"
+    return F.expr(f"CASE WHEN {value} < 0 THEN -{magnitude} ELSE {magnitude} END")
 
 
-def rate(amount: Column, seconds: Column) -> Column:
+def rate(amount: str, seconds: str) -> Column:
     """``amount / seconds``, NULL when no time passed."""
-    return F.try_divide(amount.cast("double"), seconds.cast("double"))
+    return F.expr(f"try_divide(CAST({amount} AS DOUBLE), CAST({seconds} AS DOUBLE))")

@@ -75,30 +75,33 @@ def drop_warmup(
     return joined.where(F.struct(*order_by) > F.col("_last")).drop("_last")
 
 
-def _weighted(condition: Column, weight: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
-
-
 def latency_totals(log: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Counts, extremes, mean, tokens and wall time per configuration, unrounded.
 
     The mean adds the latencies as decimals, so it does not depend on the order in
     which tasks deliver their parts.
     """
-    ok = F.col("ok")
-    times = F.col(weight) if weight else F.lit(1)
-    ok_count = _weighted(ok, times)
-    exact_sum = F.sum(F.when(ok, F.col("latency_ms").cast("decimal(28,9)") * times))
-    wall_micros = F.unix_micros(F.max("end_ts")) - F.unix_micros(F.min("start_ts"))
-    tokens = F.coalesce(F.sum(F.when(ok, F.coalesce("out_tokens", F.lit(0)))), F.lit(0))
-    return log.groupBy(*keys).agg(
-        F.sum(times).alias("num_requests"),
-        _weighted(~ok, times).alias("failed"),
-        ok_count.alias("_ok"),
-        rate(exact_sum, ok_count).alias("_mean"),
-        F.max(F.when(ok, F.col("latency_ms"))).alias("_max"),
-        tokens.alias("output_tokens_total"),
-        (wall_micros / F.lit(1e6)).alias("_wall"),
+    rows = weight or "1"
+    return (
+        log.groupBy(*keys)
+        .agg(
+            F.expr(f"sum({rows}) AS num_requests"),
+            F.expr(f"coalesce(sum({rows}) FILTER (WHERE NOT ok), 0) AS failed"),
+            F.expr(f"coalesce(sum({rows}) FILTER (WHERE ok), 0) AS _ok"),
+            F.expr(
+                f"sum(CAST(latency_ms AS DECIMAL(28,9)) * {rows}) FILTER (WHERE ok) AS _total_ms"
+            ),
+            F.expr("max(latency_ms) FILTER (WHERE ok) AS _max"),
+            F.expr("coalesce(sum(out_tokens) FILTER (WHERE ok), 0) AS output_tokens_total"),
+            F.expr("(unix_micros(max(end_ts)) - unix_micros(min(start_ts))) / 1e6D AS _wall"),
+        )
+        .withColumns(
+            {
+                "_mean": rate("_total_ms", "_ok"),
+                "_req": rate("_ok", "_wall"),
+                "_tok": rate("output_tokens_total", "_wall"),
+            }
+        )
     )
 
 
@@ -116,26 +119,20 @@ def latency_report(
     percentiles = exact_percentiles(
         log.where("ok"), keys, "latency_ms", PERCENTS, PERCENT_NAMES, weight
     )
-    joined = join_null_safe(totals, percentiles, keys, "left")
-
-    def at(name: str) -> Column:
-        return round_half_even(F.coalesce(F.col(name), F.lit(0.0)), 1).alias(name)
-
-    return joined.select(
+    report = join_null_safe(totals, percentiles, keys, "left").na.fill(0.0, list(PERCENT_NAMES))
+    return report.select(
         *keys,
         "num_requests",
         "failed",
-        round_half_even(F.col("_wall"), 3).alias("wall_seconds"),
+        round_half_even("_wall", 3).alias("wall_seconds"),
         F.struct(
-            round_half_even(F.col("_mean"), 1).alias("mean"),
-            *[at(name) for name in PERCENT_NAMES],
-            round_half_even(F.col("_max"), 1).alias("max"),
+            round_half_even("_mean", 1).alias("mean"),
+            *[round_half_even(name, 1).alias(name) for name in PERCENT_NAMES],
+            round_half_even("_max", 1).alias("max"),
         ).alias("latency_ms"),
         F.struct(
-            round_half_even(rate(F.col("_ok"), F.col("_wall")), 2).alias("requests_per_sec"),
-            round_half_even(rate(F.col("output_tokens_total"), F.col("_wall")), 1).alias(
-                "output_tokens_per_sec"
-            ),
+            round_half_even("_req", 2).alias("requests_per_sec"),
+            round_half_even("_tok", 1).alias("output_tokens_per_sec"),
         ).alias("throughput"),
         "output_tokens_total",
     )

@@ -51,7 +51,7 @@ def pareto_front(
         summary.where(x.isNotNull() & y.isNotNull() & (x != 0) & (y != 0))
         .groupBy(x.alias("_x"))
         .agg(F.max(y).alias("_y"))
-        .withColumn("_bucket", log_bucket(F.col("_x").cast("double"), _FRONT_BUCKETS_PER_E_FOLD))
+        .withColumn("_bucket", log_bucket("CAST(_x AS DOUBLE)", _FRONT_BUCKETS_PER_E_FOLD))
     )
     faster = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (

@@ -10,10 +10,8 @@ buckets only.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import log_bucket
@@ -25,19 +23,19 @@ from .joins import join_null_safe
 BUCKETS_PER_E_FOLD = 131072
 
 
-def _rank(percent: float) -> Column:
+def _rank(percent: float) -> str:
     """Fractional rank of a percentile among ``_n`` sorted values."""
-    return (F.col("_n") - 1).cast("double") * F.lit(percent / 100.0)
+    return f"(CAST(_n - 1 AS DOUBLE) * {percent / 100.0!r}D)"
 
 
-def _bounds(percent: float) -> tuple[Column, Column]:
-    low = F.floor(_rank(percent))
-    return low, F.least(low + 1, F.col("_n") - 1)
+def _bounds(percent: float) -> tuple[str, str]:
+    low = f"floor({_rank(percent)})"
+    return low, f"least({low} + 1, _n - 1)"
 
 
-def _covers(rank: Column, count: str) -> Column:
+def _covers(rank: str, count: str) -> str:
     """Whether the rank falls among the ``count`` rows that follow ``_before`` rows."""
-    return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col(count))
+    return f"({rank} >= _before AND {rank} < _before + {count})"
 
 
 def exact_percentiles(
@@ -56,71 +54,64 @@ def exact_percentiles(
     the second pass is skipped when every bucket needed holds a single value.
     """
     keys = list(keys)
-    number = F.col(value).cast("double")
-    rows = df.where(number.isNotNull()).select(
-        *keys,
-        number.alias("_value"),
-        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"),
-        log_bucket(number, BUCKETS_PER_E_FOLD).alias("_bucket"),
+    rows = (
+        df.select(
+            *keys,
+            F.col(value).cast("double").alias("_value"),
+            (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"),
+        )
+        .where("_value IS NOT NULL")
+        .withColumn("_bucket", log_bucket("_value", BUCKETS_PER_E_FOLD))
     )
     histogram = rows.groupBy(*keys, "_bucket").agg(
-        F.sum("_weight").alias("_rows"),
-        F.min("_value").alias("_low"),
-        F.max("_value").alias("_high"),
+        F.expr("sum(_weight) AS _count"), F.expr("min(_value) AS _low"), F.expr("max(_value) AS _high")
     )
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = histogram.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).withColumn("_n", F.sum("_rows").over(group))
-    wanted = [rank for percent in percents for rank in _bounds(percent)]
-    needed = materialise(
-        ranked.where(reduce(or_, [_covers(rank, "_rows") for rank in wanted])), "buckets"
+    wanted = " OR ".join(
+        _covers(rank, "_count") for percent in percents for rank in _bounds(percent)
     )
-
-    spread = needed.where(F.col("_low") < F.col("_high"))
-    settled = needed.select(
-        *keys, "_n", "_before", F.col("_low").alias("_value"), F.col("_rows").alias("_count")
+    needed = materialise(
+        histogram.select(
+            "*",
+            F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_count").over(group).alias("_n"),
+        ).where(wanted),
+        "buckets",
     )
-    if not spread.isEmpty():
-        narrow = spread.select(*keys, "_bucket", "_before", "_n")
-        counted = (
-            join_null_safe(rows, narrow, [*keys, "_bucket"])
-            .groupBy(*keys, "_bucket", "_n", "_before", "_value")
-            .agg(F.sum("_weight").alias("_count"))
-        )
+    spans = [*keys, "_n", "_before", "_value", "_count"]
+    settled = needed.withColumn("_value", F.col("_low")).select(*spans)
+    if not needed.where("_low < _high").isEmpty():
+        narrow = needed.where("_low < _high").select(*keys, "_bucket", "_before", "_n")
         inside = (
             Window.partitionBy(*keys, "_bucket")
             .orderBy("_value")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        refined = counted.select(
-            *keys,
-            "_n",
-            (F.col("_before") + F.coalesce(F.sum("_count").over(inside), F.lit(0))).alias(
-                "_before"
-            ),
-            "_value",
-            "_count",
-        )
-        single = needed.where(F.col("_low") == F.col("_high")).select(
-            *keys, "_n", "_before", F.col("_low").alias("_value"), F.col("_rows").alias("_count")
+        refined = (
+            join_null_safe(rows, narrow, [*keys, "_bucket"])
+            .groupBy(*keys, "_bucket", "_n", "_before", "_value")
+            .agg(F.sum("_weight").alias("_count"))
+            .withColumn(
+                "_before",
+                F.col("_before") + F.coalesce(F.sum("_count").over(inside), F.lit(0)),
+            )
         )
-        settled = single.unionByName(refined)
-
-    picks = []
-    for i, percent in enumerate(percents):
-        low, high = _bounds(percent)
-        picks.append(F.max(F.when(_covers(low, "_count"), F.col("_value"))).alias(f"_low{i}"))
-        picks.append(F.max(F.when(_covers(high, "_count"), F.col("_value"))).alias(f"_high{i}"))
-    ends = settled.groupBy(*keys, "_n").agg(*picks)
+        single = needed.where("_low = _high").withColumn("_value", F.col("_low"))
+        settled = single.select(*spans).unionByName(refined.select(*spans))
+
+    ends = settled.groupBy(*keys, "_n").agg(
+        *[
+            F.expr(f"max(CASE WHEN {_covers(rank, '_count')} THEN _value END) AS _{side}{i}")
+            for i, percent in enumerate(percents)
+            for side, rank in zip(("low", "high"), _bounds(percent), strict=True)
+        ]
+    )
     return ends.select(
         *keys,
         *[
-            (
-                F.col(f"_low{i}")
-                + (F.col(f"_high{i}") - F.col(f"_low{i}"))
-                * (_rank(percent) - F.floor(_rank(percent)).cast("double"))
+            F.expr(
+                f"_low{i} + (_high{i} - _low{i}) * ({_rank(percent)} - floor({_rank(percent)}))"
             ).alias(name)
             for i, (percent, name) in enumerate(zip(percents, names, strict=True))
         ],

@@ -75,16 +75,17 @@ def execution_accuracy(
     """
     correct = F.coalesce(F.sum(F.col("correct").cast("bigint")), F.lit(0))
     extra = [] if gen_seconds is None else [F.max(gen_seconds).cast("double").alias("_seconds")]
-    totals = verdicts.groupBy(*keys).agg(
-        F.count("*").alias("n"), correct.alias("correct"), *extra
-    )
-    share = F.coalesce(rate(F.col("correct"), F.col("n")), F.lit(0.0))
-    report = totals.withColumn("execution_accuracy", round_half_even(share, 4))
+    totals = verdicts.groupBy(*keys).agg(F.count("*").alias("n"), correct.alias("correct"), *extra)
+    shares = totals.withColumn("_share", F.coalesce(rate("correct", "n"), F.lit(0.0)))
+    report = shares.withColumn("execution_accuracy", round_half_even("_share", 4))
     if gen_seconds is not None:
-        report = report.withColumn(
-            "examples_per_sec", round_half_even(rate(F.col("n"), F.col("_seconds")), 3)
-        ).withColumn("gen_seconds", round_half_even(F.col("_seconds"), 2))
-    return report.drop("_seconds")
+        report = report.withColumns(
+            {
+                "examples_per_sec": round_half_even("try_divide(CAST(n AS DOUBLE), _seconds)", 3),
+                "gen_seconds": round_half_even("_seconds", 2),
+            }
+        )
+    return report.drop("_seconds", "_share")
 
 
 def status_counts(verdicts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -184,7 +184,8 @@ SELECT * FROM report
 def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports per six-hour window from a stream over the events, up to the watermark."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    # As a glob the path may be a folder of files or, which a stream refuses otherwise, a file.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     out = new_path(spark, "windows")
     running = start_window_reports(
         request_log(events), out, new_path(spark, "stream"), "6 hours", "1 hour",

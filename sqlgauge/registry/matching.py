@@ -48,7 +48,7 @@ def _supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _long(rows: DataFrame, side: str) -> DataFrame:
     """The first column as example id, the rest as canonical cells."""
-    cells = [canonical_cell(F.col(f.name), f.dataType) for f in rows.schema.fields[1:]]
+    cells = [canonical_cell(f.name, f.dataType) for f in rows.schema.fields[1:]]
     return C.long_form(rows, F.col(rows.columns[0]), side, F.array(*cells))
 
 
@@ -214,7 +214,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr(quantity).cast("double").alias("quantity"),
         )
         cells = F.array(*[
-            canonical_cell(F.col(name), rows.schema[name].dataType)
+            canonical_cell(name, rows.schema[name].dataType)
             for name in ("l_partkey", "quantity")
         ])
         part = C.long_form(
@@ -287,7 +287,7 @@ PAIRS = [
         "SELECT l_returnflag, sum(l_linenumber) FROM lineitem GROUP BY l_returnflag",
         "SELECT l_returnflag, sum(l_linenumber) FROM lineitem WHERE l_quantity > 1 GROUP BY l_returnflag",
     ),
-    ("SELECT count(*) FROM orders", "SELECT count(*) FROM"),
+    ("SELECT count(*) FROM orders", "SELECT count(* FROM orders"),
     ("SELECT count(*) FROM orders", " "),
     ("SELECT no_such_column FROM orders", "SELECT count(*) FROM orders"),
     ("SELECT count(*) FROM orders", "INSERT INTO region VALUES (9, 'X')"),
@@ -299,7 +299,7 @@ def _pair_sql(number: int) -> str:
     gold, pred = PAIRS[number]
     ordered = "order by" in gold.lower()
     if number == 7:
-        return f"SELECT 7 AS id, 'gold_error' AS status, false AS correct, 0 AS gold_rows, 0 AS pred_rows"
+        return "SELECT 7 AS id, 'gold_error' AS status, false AS correct, 0 AS gold_rows, 0 AS pred_rows"
     gold_rows = f"(SELECT count(*) FROM ({gold}\n))"
     if number in _FAILED:
         return (

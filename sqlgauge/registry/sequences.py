@@ -42,7 +42,7 @@ word_lengths = Q.token_udf(make_word_tokenizer)
 
 
 def sql_tokens(expression: str) -> str:
-    return f"list_transform(string_split({expression}, ' '), w -> length(w))"
+    return f"list_transform(string_split({expression}, ' '), lambda w: length(w))"
 
 
 _DOC_TEXT = (
@@ -107,7 +107,7 @@ texts AS (
   FROM conversations
 ),
 encoded AS (
-  SELECT id, ids, list_transform(ids, (x, i) -> CASE WHEN i <= len(prompt) THEN -100 ELSE x END) AS labels
+  SELECT id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= len(prompt) THEN -100 ELSE x END) AS labels
   FROM (SELECT id, prompt, list_slice(full_ids, 1, {_MAX_LEN}) AS ids FROM texts)
 )
 """
@@ -131,7 +131,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_ENCODED_SQL}
 SELECT id, len(ids) AS n_ids, list_sum(ids)::BIGINT AS sum_ids, list_sum(labels)::BIGINT AS sum_labels,
-  len(list_filter(labels, x -> x = -100)) AS n_masked
+  len(list_filter(labels, lambda x: x = -100)) AS n_masked
 FROM encoded
 """)
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
