@@ -15,7 +15,7 @@ from ..functions.numbers import rate, round_half_even
 from ..session import materialise
 from .joins import join_null_safe
 from .ordering import number_rows, running_max
-from .percentiles import exact_percentiles
+from .percentiles import bucket_of, exact_percentiles
 
 PERCENTS = (50.0, 95.0, 99.0)
 PERCENT_NAMES = ("p50", "p95", "p99")
@@ -75,25 +75,45 @@ def drop_warmup(
     return joined.where(F.struct(*order_by) > F.col("_last")).drop("_last")
 
 
-def latency_totals(log: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Counts, extremes, mean, tokens and wall time per configuration, unrounded.
+def latency_counts(log: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """The log counted by configuration, success and latency bucket.
 
-    The mean adds the latencies as decimals, so it does not depend on the order in
-    which tasks deliver their parts.
+    Everything a report needs except the exact percentiles can be added up from
+    here, so the log is read once. Latencies are added up as whole milliseconds and
+    nanoseconds: integers are fast, and unlike a sum of doubles theirs does not depend
+    on the order in which tasks deliver their parts.
     """
     rows = weight or "1"
+    return log.groupBy(*keys, "ok", bucket_of("latency_ms").alias("_bucket")).agg(
+        F.expr(f"sum({rows}) AS _rows"),
+        F.expr(f"coalesce(sum({rows}) FILTER (WHERE latency_ms IS NOT NULL), 0) AS _count"),
+        F.expr("CAST(min(latency_ms) AS DOUBLE) AS _low"),
+        F.expr("CAST(max(latency_ms) AS DOUBLE) AS _high"),
+        F.expr(f"sum(floor(latency_ms) * {rows}) AS _millis"),
+        F.expr(
+            f"sum(CAST(rint((latency_ms - floor(latency_ms)) * 1e6D) AS BIGINT) * {rows}) AS _nanos"
+        ),
+        F.expr("sum(out_tokens) AS _tokens"),
+        F.expr("min(start_ts) AS _start"),
+        F.expr("max(end_ts) AS _end"),
+    )
+
+
+def latency_totals(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts, extremes, mean, rates and wall time per configuration, unrounded."""
     return (
-        log.groupBy(*keys)
+        counts.groupBy(*keys)
         .agg(
-            F.expr(f"sum({rows}) AS num_requests"),
-            F.expr(f"coalesce(sum({rows}) FILTER (WHERE NOT ok), 0) AS failed"),
-            F.expr(f"coalesce(sum({rows}) FILTER (WHERE ok), 0) AS _ok"),
+            F.expr("sum(_rows) AS num_requests"),
+            F.expr("coalesce(sum(_rows) FILTER (WHERE NOT ok), 0) AS failed"),
+            F.expr("coalesce(sum(_rows) FILTER (WHERE ok), 0) AS _ok"),
             F.expr(
-                f"sum(CAST(latency_ms AS DECIMAL(28,9)) * {rows}) FILTER (WHERE ok) AS _total_ms"
+                "CAST(sum(_millis * 1000000BD + _nanos) FILTER (WHERE ok) AS DOUBLE) / 1e6D"
+                " AS _total_ms"
             ),
-            F.expr("max(latency_ms) FILTER (WHERE ok) AS _max"),
-            F.expr("coalesce(sum(out_tokens) FILTER (WHERE ok), 0) AS output_tokens_total"),
-            F.expr("(unix_micros(max(end_ts)) - unix_micros(min(start_ts))) / 1e6D AS _wall"),
+            F.expr("max(_high) FILTER (WHERE ok) AS _max"),
+            F.expr("coalesce(sum(_tokens) FILTER (WHERE ok), 0) AS output_tokens_total"),
+            F.expr("(unix_micros(max(_end)) - unix_micros(min(_start))) / 1e6D AS _wall"),
         )
         .withColumns(
             {
@@ -108,16 +128,22 @@ def latency_totals(log: DataFrame, keys: Sequence[str], weight: str | None = Non
 def latency_report(
     log: DataFrame, keys: Sequence[str] = ("config",), weight: str | None = None
 ) -> DataFrame:
-    """Nested latency report, one row per configuration (runs a job).
+    """Nested latency report, one row per configuration (runs jobs).
 
     Statistics cover successful requests. Without any, percentiles are 0.0 while
     mean and maximum are NULL. ``weight`` names the number of requests a row stands
     for; its ``out_tokens`` are then the total of those requests.
+
+    The counted log is written to the shared folder, and totals and ranks come from
+    there. The log itself is read a second time only where a percentile falls into a
+    bucket of several values, and then only those buckets get past the first filter.
     """
     keys = list(keys)
-    totals = latency_totals(log, keys, weight)
+    counts = materialise(latency_counts(log, keys, weight), "latencies")
+    totals = latency_totals(counts, keys)
     percentiles = exact_percentiles(
-        log.where("ok"), keys, "latency_ms", PERCENTS, PERCENT_NAMES, weight
+        log.where("ok"), keys, "latency_ms", PERCENTS, PERCENT_NAMES, weight,
+        histogram=counts.where("ok AND _count > 0"),
     )
     report = join_null_safe(totals, percentiles, keys, "left").na.fill(0.0, list(PERCENT_NAMES))
     return report.select(

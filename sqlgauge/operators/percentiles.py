@@ -11,16 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import log_bucket
 from ..session import materialise
 from .joins import join_null_safe
 
-# Buckets per e-fold: 1/131072 wide in relative terms, about 1.8 million buckets
-# between 1 microsecond and an hour when values are milliseconds.
-BUCKETS_PER_E_FOLD = 131072
+# Buckets per e-fold. Each is 1/65536 wide in relative terms: fine enough to hold few
+# distinct values, coarse enough that counting combines most rows before the shuffle.
+BUCKETS_PER_E_FOLD = 65536
+
+
+def bucket_of(value: str) -> Column:
+    return log_bucket(f"CAST({value} AS DOUBLE)", BUCKETS_PER_E_FOLD)
 
 
 def _rank(percent: float) -> str:
@@ -45,6 +49,7 @@ def exact_percentiles(
     percents: Sequence[float],
     names: Sequence[str],
     weight: str | None = None,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key with the linearly interpolated percentiles of ``value``.
 
@@ -52,6 +57,9 @@ def exact_percentiles(
     values do not count, and keys without a value are absent. ``weight`` names a
     column saying how many rows each row stands for. Runs a job for the first pass;
     the second pass is skipped when every bucket needed holds a single value.
+
+    Whoever has counted the buckets already may hand in ``histogram``: the keys,
+    ``_bucket`` by ``bucket_of``, ``_count``, and the extremes ``_low`` and ``_high``.
     """
     keys = list(keys)
     rows = (
@@ -61,11 +69,14 @@ def exact_percentiles(
             (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"),
         )
         .where("_value IS NOT NULL")
-        .withColumn("_bucket", log_bucket("_value", BUCKETS_PER_E_FOLD))
-    )
-    histogram = rows.groupBy(*keys, "_bucket").agg(
-        F.expr("sum(_weight) AS _count"), F.expr("min(_value) AS _low"), F.expr("max(_value) AS _high")
+        .withColumn("_bucket", bucket_of("_value"))
     )
+    if histogram is None:
+        histogram = rows.groupBy(*keys, "_bucket").agg(
+            F.expr("sum(_weight) AS _count"),
+            F.expr("min(_value) AS _low"),
+            F.expr("max(_value) AS _high"),
+        )
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     wanted = " OR ".join(
@@ -73,7 +84,7 @@ def exact_percentiles(
     )
     needed = materialise(
         histogram.select(
-            "*",
+            *keys, "_bucket", "_count", "_low", "_high",
             F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_count").over(group).alias("_n"),
         ).where(wanted),

@@ -76,16 +76,27 @@ def execution_accuracy(
     correct = F.coalesce(F.sum(F.col("correct").cast("bigint")), F.lit(0))
     extra = [] if gen_seconds is None else [F.max(gen_seconds).cast("double").alias("_seconds")]
     totals = verdicts.groupBy(*keys).agg(F.count("*").alias("n"), correct.alias("correct"), *extra)
-    shares = totals.withColumn("_share", F.coalesce(rate("correct", "n"), F.lit(0.0)))
-    report = shares.withColumn("execution_accuracy", round_half_even("_share", 4))
-    if gen_seconds is not None:
-        report = report.withColumns(
+    if gen_seconds is None:
+        return _rates(totals.withColumn("_seconds", F.lit(None))).drop(
+            "gen_seconds", "examples_per_sec"
+        )
+    return _rates(totals)
+
+
+def _rates(totals: DataFrame) -> DataFrame:
+    """Rounded accuracy and generation speed from ``n``, ``correct`` and ``_seconds``."""
+    return (
+        totals.withColumn("_share", F.coalesce(rate("correct", "n"), F.lit(0.0)))
+        .withColumn("_speed", rate("n", "_seconds"))
+        .withColumns(
             {
-                "examples_per_sec": round_half_even("try_divide(CAST(n AS DOUBLE), _seconds)", 3),
+                "execution_accuracy": round_half_even("_share", 4),
+                "examples_per_sec": round_half_even("_speed", 3),
                 "gen_seconds": round_half_even("_seconds", 2),
             }
         )
-    return report.drop("_seconds", "_share")
+        .drop("_share", "_speed", "_seconds")
+    )
 
 
 def status_counts(verdicts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -99,11 +110,21 @@ def metrics(
 ) -> DataFrame:
     """Accuracy report with the status histogram as a map, one row per configuration.
 
-    The map is built from counted families, a handful of entries per row.
+    Verdicts are counted once, by status family; the report adds those counts up.
     """
-    histogram = status_counts(verdicts, keys).groupBy(*keys).agg(
+    seconds = F.lit(None) if gen_seconds is None else gen_seconds
+    counted = verdicts.groupBy(*keys, status_family(F.col("status")).alias("status")).agg(
+        F.count("*").alias("n"),
+        F.count_if("correct").alias("correct"),
+        F.max(seconds.cast("double")).alias("_seconds"),
+    )
+    totals = counted.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        F.sum("correct").alias("correct"),
+        F.max("_seconds").alias("_seconds"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias(
             "status_counts"
-        )
-    )
-    return execution_accuracy(verdicts, keys, gen_seconds).join(histogram, list(keys), "left")
+        ),
+    ).withColumnRenamed("_n", "n")
+    report = _rates(totals)
+    return report if gen_seconds is not None else report.drop("gen_seconds", "examples_per_sec")

@@ -60,7 +60,7 @@ percentiles AS (
 ),
 totals AS (
   SELECT {keys}, count(*) AS num_requests, count(*) FILTER (WHERE NOT ok) AS failed,
-    CAST(sum(CAST(v AS DECIMAL(28,9))) FILTER (WHERE ok) AS DOUBLE)
+    CAST(sum(CAST(round(v * 1000000) AS HUGEINT)) FILTER (WHERE ok) AS DOUBLE) / 1000000.0::DOUBLE
       / nullif(CAST(count(*) FILTER (WHERE ok) AS DOUBLE), 0) AS mean,
     max(v) FILTER (WHERE ok) AS max_v,
     coalesce(sum(coalesce(tokens, 0)) FILTER (WHERE ok), 0)::BIGINT AS output_tokens_total,

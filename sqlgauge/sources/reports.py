@@ -27,9 +27,18 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder per configuration under ``path``."""
-    reports.write.mode(mode).option("ignoreNullFields", False).partitionBy("config").json(path)
+def write_reports(
+    reports: DataFrame, path: str, mode: str = "errorifexists", folder_per_config: bool = False
+) -> None:
+    """Reports as JSON lines, if wanted in one folder per configuration under ``path``.
+
+    The folders suit people comparing a few configurations; with many they would be
+    many tiny files.
+    """
+    writer = reports.write.mode(mode).option("ignoreNullFields", False)
+    if folder_per_config:
+        writer = writer.partitionBy("config")
+    writer.json(path)
 
 
 def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -58,7 +58,8 @@ def start_window_reports(
     def write(counts: DataFrame, batch_id: int) -> None:
         counts.persist()
         try:
-            window_report(counts).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            if not counts.isEmpty():
+                window_report(counts).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         finally:
             counts.unpersist()
 

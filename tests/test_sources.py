@@ -140,15 +140,16 @@ def test_json_lines_limit_blank_and_malformed(spark, tmp_path, rows):
         E.read_examples(spark, str(path), allow_empty=False)
 
 
-def test_reports_keep_nulls_and_configs(spark, tmp_path, rows):
+@pytest.mark.parametrize("folders", [False, True])
+def test_reports_keep_nulls_and_configs(spark, tmp_path, folders):
     path = str(tmp_path / "metrics")
     reports = spark.createDataFrame(
         [("a", "m", None, 3, {"match": 2}), ("b", "m", "lora", 0, {})],
         "config string, model string, adapter string, n bigint, status_counts map<string,bigint>",
     )
-    O.write_reports(reports, path)
+    O.write_reports(reports, path, folder_per_config=folders)
     assert '"adapter":null' in "".join(
-        p.read_text() for p in (tmp_path / "metrics").glob("config=a/part-*")
+        p.read_text() for p in (tmp_path / "metrics").glob("config=a/part-*" if folders else "part-*")
     )
     back = O.read_reports(spark, path, O.METRICS_TYPE)
     got = {r.config: (r.model, r.adapter, r.n, r.status_counts) for r in back.collect()}
