@@ -35,6 +35,29 @@ def long_form(
     )
 
 
+def long_form_pairs(
+    rows: DataFrame,
+    example_id: Column,
+    gold_cells: Column,
+    pred_cells: Column,
+    gold_no: Column | None = None,
+    pred_no: Column | None = None,
+) -> DataFrame:
+    """Both sides in long form where each row carries a gold and a predicted row.
+
+    Whatever lies before is scanned and joined once instead of once per side.
+    """
+    sides = [
+        F.struct(
+            F.lit(side).alias("side"),
+            (F.lit(None) if number is None else number).cast("bigint").alias("row_no"),
+            cells.alias("cells"),
+        )
+        for side, cells, number in (("gold", gold_cells, gold_no), ("pred", pred_cells, pred_no))
+    ]
+    return rows.select(example_id.alias("example_id"), F.inline(F.array(*sides)))
+
+
 def row_balance(results: DataFrame, id_columns: Sequence[str] = ("example_id",)) -> DataFrame:
     """How often each distinct row occurs on either side.
 

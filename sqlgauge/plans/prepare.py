@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import build_messages
 from ..operators.ordering import number_rows
-from ..sources.catalog import schema_texts
+from ..session import materialise
+from ..sources.catalog import database_schemas, schema_texts
 
 
 def database_path(root: str, db_id: Column, test: Column | bool = False) -> Column:
@@ -20,14 +21,17 @@ def database_path(root: str, db_id: Column, test: Column | bool = False) -> Colu
 def prepare_examples(
     raw: DataFrame, catalog: DataFrame, root: str = "", test: bool = False
 ) -> DataFrame:
-    """Prepared examples of each split (runs a job).
+    """Prepared examples of each split (runs jobs).
 
     ``raw`` is ``(split, file_no, pos, db_id, question, gold_sql)``. Examples whose
     database is missing or has no readable schema are dropped; the rest are numbered
-    from 0 in file order, restarting per split. Numbering happens before the schema
-    texts are attached, so those are not sorted along.
+    from 0 in file order, restarting per split.
+
+    The catalog is read once: its schema texts are written to the shared folder, and
+    their size there decides whether they are broadcast. Numbering happens before
+    they are attached, so they are not sorted along.
     """
-    schemas = schema_texts(catalog)
+    schemas = materialise(schema_texts(catalog), "schemas")
     survivors = raw.join(schemas.select("db_id"), "db_id", "left_semi")
     numbered = number_rows(survivors, ["file_no", "pos"], ["split"], "id")
     return numbered.join(schemas, "db_id").select(
@@ -44,15 +48,15 @@ def prepare_examples(
 
 def skipped_examples(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """The examples ``prepare_examples`` drops, with the reason."""
-    known = catalog.select("db_id").distinct().withColumn("_known", F.lit(True))
-    dropped = raw.join(schema_texts(catalog).select("db_id"), "db_id", "left_anti")
+    known = database_schemas(catalog).select("db_id", F.col("schema").isNotNull().alias("_good"))
+    reason = F.when(F.col("_good").isNull(), F.lit("missing database")).when(
+        ~F.col("_good"), F.lit("bad schema")
+    )
     return (
-        dropped.join(known, "db_id", "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("_known"), F.lit("bad schema")).otherwise(F.lit("missing database")),
-        )
-        .drop("_known")
+        raw.join(known, "db_id", "left")
+        .withColumn("reason", reason)
+        .where("reason IS NOT NULL")
+        .drop("_good")
     )
 
 

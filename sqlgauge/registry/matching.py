@@ -34,22 +34,21 @@ balance AS (
 def _supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of each supplier; the prediction returns quantities as integers."""
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_quantity", "l_returnflag", "l_discount", "l_tax"
+        "l_suppkey", "l_returnflag", "l_quantity", "l_discount",
+        F.col("l_quantity").cast("int").alias("pred_quantity"),
+        F.expr(_PRED_DISCOUNT).cast("double").alias("pred_discount"),
     )
-    gold = lines.select("l_suppkey", "l_quantity", "l_returnflag", "l_discount")
-    pred = lines.select(
-        "l_suppkey",
-        F.col("l_quantity").cast("int"),
-        "l_returnflag",
-        F.expr(_PRED_DISCOUNT).cast("double").alias("l_discount"),
+    return C.long_form_pairs(
+        lines,
+        F.col("l_suppkey"),
+        _cells(lines, "l_quantity", "l_returnflag", "l_discount"),
+        _cells(lines, "pred_quantity", "l_returnflag", "pred_discount"),
     )
-    return _long(gold, "gold").unionByName(_long(pred, "pred"))
 
 
-def _long(rows: DataFrame, side: str) -> DataFrame:
-    """The first column as example id, the rest as canonical cells."""
-    cells = [canonical_cell(f.name, f.dataType) for f in rows.schema.fields[1:]]
-    return C.long_form(rows, F.col(rows.columns[0]), side, F.array(*cells))
+def _cells(rows: DataFrame, *names: str) -> F.Column:
+    """Canonical cells of the columns named."""
+    return F.array(*[canonical_cell(name, rows.schema[name].dataType) for name in names])
 
 
 @query(f"""
@@ -204,23 +203,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"
     )
-    joined = lines.join(flags, F.col("l_orderkey") == F.col("id"))
-    results = None
-    for side, line, quantity in (
-        ("gold", "l_linenumber", "l_quantity"), ("pred", _PRED_LINE, _PRED_QUANTITY),
-    ):
-        rows = joined.select(
-            "id", "ordered", F.expr(line).alias("line"), "l_partkey",
-            F.expr(quantity).cast("double").alias("quantity"),
-        )
-        cells = F.array(*[
-            canonical_cell(name, rows.schema[name].dataType)
-            for name in ("l_partkey", "quantity")
-        ])
-        part = C.long_form(
-            rows, F.col("id"), side, cells, F.when(F.col("ordered"), F.col("line"))
-        )
-        results = part if results is None else results.unionByName(part)
+    rows = lines.join(flags, F.col("l_orderkey") == F.col("id")).select(
+        "id", "ordered", "l_linenumber", "l_partkey", "l_quantity",
+        F.expr(_PRED_LINE).alias("pred_line"),
+        F.expr(_PRED_QUANTITY).cast("double").alias("pred_quantity"),
+    )
+    results = C.long_form_pairs(
+        rows,
+        F.col("id"),
+        _cells(rows, "l_partkey", "l_quantity"),
+        _cells(rows, "l_partkey", "pred_quantity"),
+        F.when(F.col("ordered"), F.col("l_linenumber")),
+        F.when(F.col("ordered"), F.col("pred_line")),
+    )
     return S.score_examples(examples, results, outcomes)
 
 

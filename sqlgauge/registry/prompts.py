@@ -13,7 +13,7 @@ from ..functions.prompts import (
     MESSAGES_TYPE, PLAIN_TEMPLATE, SYSTEM_PROMPT, append_answer, build_messages,
     messages_or_default, parse_response, request_body, user_prompt,
 )
-from ..functions.text import WHITESPACE_CLASS, extract_sql
+from ..functions.text import extract_sql
 from ..operators.inference import attach_completions
 from ..plans.prepare import prepare_examples as prepare
 from ..plans.prepare import skip_counts
@@ -86,7 +86,11 @@ CASE
   ELSE text
 END
 """
-_WS = f"[{WHITESPACE_CLASS}]"
+# White space, spelled out for an engine whose classes know ASCII only.
+_WS = (
+    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
 # chr() of the second engine gives code points, of the first only bytes.
 _SPARK_COMPLETION = _COMPLETION.replace("chr(12288)", "'\\u3000'").replace("chr(160)", "'\\u00a0'")
 

@@ -10,7 +10,7 @@ import sqlite3
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_ddl
@@ -63,39 +63,39 @@ def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def user_tables(catalog: DataFrame) -> DataFrame:
-    """Tables with a CREATE statement that are not internal.
+def is_user_table() -> Column:
+    """Whether a catalog row is a table with a CREATE statement that is not internal.
 
     The underscore of the name test is a wildcard: every name that starts with
     'sqlite', in any case, and has at least one more character counts as internal.
     """
-    return catalog.where(
-        (F.col("type") == "table")
-        & F.col("ddl").isNotNull()
-        & ~F.lower("table_name").like("sqlite_%")
-    )
+    return F.expr("type = 'table' AND ddl IS NOT NULL AND NOT lower(table_name) LIKE 'sqlite_%'")
 
 
-def schema_texts(catalog: DataFrame) -> DataFrame:
-    """One schema text per database: its CREATE statements in table name order.
+def database_schemas(catalog: DataFrame) -> DataFrame:
+    """One row per database: its CREATE statements in table name order as one text,
+    NULL where there is none.
 
     The text is a single value by definition, so the statements of one database, and
     no more than those, meet in one task.
     """
     statement = F.struct("table_name", clean_ddl(F.col("ddl")).alias("ddl"))
+    joined = F.array_join(F.transform("_tables", lambda t: t["ddl"]), ";\n\n")
     return (
-        user_tables(catalog)
-        .groupBy("db_id")
-        .agg(F.sort_array(F.collect_list(statement)).alias("_tables"))
+        catalog.groupBy("db_id")
+        .agg(F.sort_array(F.collect_list(F.when(is_user_table(), statement))).alias("_tables"))
         .select(
             "db_id",
-            F.concat(
-                F.array_join(F.transform("_tables", lambda t: t["ddl"]), ";\n\n"), F.lit(";")
-            ).alias("schema"),
+            F.when(F.size("_tables") > 0, F.concat(joined, F.lit(";"))).alias("schema"),
         )
     )
 
 
+def schema_texts(catalog: DataFrame) -> DataFrame:
+    """The schema texts of the databases that have one."""
+    return database_schemas(catalog).where("schema IS NOT NULL")
+
+
 def schema_text(catalog: DataFrame, db_id: str) -> DataFrame:
     """The schema text of one database; ValueError when it has no user table."""
     return require_rows(

@@ -56,7 +56,7 @@ def test_internal_names(spark, rows):
         + [("d", "view", "v", "CREATE VIEW v"), ("d", "table", "auto", None)],
         C.CATALOG_TYPE,
     )
-    kept = sorted(r[2] for r in rows(C.user_tables(catalog)))
+    kept = sorted(r[2] for r in rows(catalog.where(C.is_user_table())))
     assert kept == ["my_sqlite_x", "sqlit_e", "sqlite"]
 
 

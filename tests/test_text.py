@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ CASES = [
     ("``````", ""),
     ("``` \n ``` SELECT 1", ""),
     ("Sure:\n```SQL\nSELECT 1;\n```\n```sql\nSELECT 2\n```", "SELECT 1"),
+    ("query without: SELECT 1", "query without: SELECT 1"),
+    ("SELECT a::INT", "SELECT a::INT"),
     ("SQLite :　SELECT\xa01\x1f", "SELECT 1"),
     ("\x1c SELECT\x85a ", "SELECT a"),
 ]
@@ -119,8 +120,3 @@ def test_request_and_response(spark):
     ]
     parsed = spark.createDataFrame(bodies, "b string").select(P.parse_response(F.col("b")))
     assert [tuple(r[0]) for r in parsed.collect()] == [("SELECT 1", 3, 0), (None, 0, 0)]
-
-
-def test_patterns_compile_in_python_too():
-    # The white-space class is written for two engines; its members are checked above.
-    assert re.search(r"```(?:sql)?", X.FENCE_PATTERN.removeprefix("(?isu)"))
