@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import log_bucket
+from .joins import join_null_safe
 
 # The columns of the summary table, in order.
 SUMMARY_COLUMNS = (
@@ -63,7 +64,7 @@ def pareto_front(
         Window.partitionBy("_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        best.join(earlier, "_bucket")
+        join_null_safe(best, earlier, ["_bucket"])
         .where(F.col("_before").isNull() | (F.col("_y") > F.col("_before")))
         .withColumn("_within", F.max("_y").over(inside))
         .where(F.col("_within").isNull() | (F.col("_y") > F.col("_within")))

@@ -18,8 +18,9 @@ def direct(values, percent):
     return ordered[below] + (ordered[above] - ordered[below]) * (rank - below)
 
 
+@pytest.mark.parametrize("rows_per_task", [1, 40, 10**6])
 @pytest.mark.parametrize("kind", ["spread", "ties", "narrow", "signed"])
-def test_percentiles_equal_the_definition(spark, kind):
+def test_percentiles_equal_the_definition(spark, kind, rows_per_task):
     rng = random.Random(kind)
     make = {
         "spread": lambda: rng.lognormvariate(4, 1),
@@ -33,7 +34,8 @@ def test_percentiles_equal_the_definition(spark, kind):
     rng.shuffle(data)
     df = spark.createDataFrame(data, "k string, v double").repartition(7)
     percents = [0.0, 50.0, 95.0, 99.0, 100.0]
-    got = exact_percentiles(df, ["k"], "v", percents, ["a", "b", "c", "d", "e"])
+    names = ["a", "b", "c", "d", "e"]
+    got = exact_percentiles(df, ["k"], "v", percents, names, rows_per_task=rows_per_task)
     found = {r[0]: tuple(r[1:]) for r in got.collect()}
     assert set(found) == set(groups)
     for key, values in groups.items():
