@@ -174,8 +174,11 @@ def peak_memory(
     return peaks.withColumn("peak_gpu_mem_mib", F.coalesce("peak_gpu_mem_mib", F.lit(-1)))
 
 
-def running_peak(samples: DataFrame, key: str = "config", chunk: str = "hour") -> DataFrame:
-    """Peak memory so far at every sampling time, over all devices sampled then."""
+def running_peak(samples: DataFrame, key: str = "config", chunk: str = "minute") -> DataFrame:
+    """Peak memory so far at every sampling time, over all devices sampled then.
+
+    ``chunk`` is the stretch of time one task scans for one configuration.
+    """
     per_time = samples.groupBy(key, "ts").agg(F.max("used_mib").alias("used_mib"))
     return running_max(
         per_time, [key], "ts", "used_mib", F.date_trunc(chunk, F.col("ts")), "peak_mib"

@@ -119,8 +119,8 @@ def metrics(
         F.max(seconds.cast("double")).alias("_seconds"),
     )
     totals = counted.groupBy(*keys).agg(
-        F.sum("n").alias("_n"),
-        F.sum("correct").alias("correct"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"),
         F.max("_seconds").alias("_seconds"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias(
             "status_counts"

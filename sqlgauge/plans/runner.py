@@ -22,9 +22,9 @@ from ..functions.canonical import canonical_row, positional
 from ..functions.status import order_matters
 from ..functions.text import extract_sql
 from ..operators.compare import RESULTS_TYPE
-from ..operators.inference import complete
+from ..operators.inference import Generate, complete
 from ..operators.ordering import dense_numbers, in_sequence
-from ..operators.score import OUTCOMES_TYPE, score_examples
+from ..operators.score import OUTCOMES_TYPE, metrics, score_examples
 from ..session import materialise, new_path
 
 UseDatabase = Callable[[SparkSession, str], None]
@@ -239,22 +239,30 @@ def execution_match(
 
 def evaluate(
     examples: DataFrame,
-    make_generate,
+    make_generate: Callable[[], Generate],
     batch_size: int = 8,
     timeout: float = 30.0,
     use_database: UseDatabase = current_database,
     workers: int = 1,
-) -> DataFrame:
-    """Predictions of a model on prepared examples, scored.
+    labels: dict[str, str | None] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions of a model on prepared examples, and the accuracy report (runs jobs).
 
     The completions are written to the shared folder before any query runs, so the
-    model is asked once per example.
+    model is asked once per example; the time that takes is the generation time of
+    the report. ``labels`` (model, adapter, backend) become columns of the report.
     """
     asked = complete(examples, make_generate, batch_size)
-    predictions = materialise(
+    began = time.perf_counter()
+    predicted = materialise(
         asked.withColumn("pred_sql", extract_sql(F.col("raw"))), "predictions"
     )
-    judged = execution_match(predictions, timeout, use_database, workers)
-    return judged.select(
+    seconds = time.perf_counter() - began
+    judged = materialise(execution_match(predicted, timeout, use_database, workers), "verdicts")
+    report = metrics(judged, [], F.lit(seconds))
+    for name, text in (labels or {}).items():
+        report = report.withColumn(name, F.lit(text).cast("string"))
+    predictions = judged.select(
         "id", "db_id", "question", "gold_sql", "pred_sql", "raw", "correct", "status"
     )
+    return predictions, report

@@ -147,7 +147,7 @@ FROM per_time
 """)
 def running_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak memory so far at every sampling time."""
-    peaks = L.running_peak(samples(table(spark, sf_dir, "events")), chunk="day")
+    peaks = L.running_peak(samples(table(spark, sf_dir, "events")), chunk="hour")
     return peaks.select("config", F.unix_micros("ts").alias("ts_us"), "used_mib", "peak_mib")
 
 

@@ -102,11 +102,17 @@ def test_evaluate_end_to_end(spark):
     def make_generate():
         return lambda batch: [f"```sql\n{m[-1]['content']}\n```" for m in batch]
 
-    judged = evaluate(examples, make_generate, batch_size=2, use_database=nums)
-    got = {r.id: r for r in judged.collect()}
+    predictions, report = evaluate(
+        examples, make_generate, 2, use_database=nums, labels={"model": "m", "adapter": None}
+    )
+    got = {r.id: r for r in predictions.collect()}
     assert got[0].correct and got[0].pred_sql == "SELECT n FROM nums"
     assert got[1].status == "mismatch" and got[1].pred_sql == "SELECT 2"
     assert got[2].status == "gold_error: unknown database elsewhere"
+    total = report.first()
+    assert (total.model, total.adapter, total.n, total.correct) == ("m", None, 3, 1)
+    assert total.status_counts == {"match": 1, "mismatch": 1, "gold_error": 1}
+    assert total.execution_accuracy == 0.3333 and total.examples_per_sec > 0
 
 
 def test_precedence_from_outcome_tables(spark, rows):
@@ -145,6 +151,8 @@ def test_accuracy_of_nothing_and_metrics(spark):
         [("a", True, "match", 2.0), ("a", False, "pred_error: x", 2.0), ("b", True, "match", 0.0)],
         "config string, correct boolean, status string, secs double",
     )
+    nothing = metrics(empty, [], empty["correct"].cast("int")).first()
+    assert (nothing.n, nothing.execution_accuracy, nothing.status_counts) == (0, 0.0, {})
     got = {r.config: r for r in metrics(verdicts, ["config"], verdicts["secs"]).collect()}
     assert got["a"].status_counts == {"match": 1, "pred_error": 1}
     assert (got["a"].execution_accuracy, got["a"].examples_per_sec) == (0.5, 1.0)
