@@ -14,24 +14,21 @@ from ..sources import reports as R
 from .base import query, sql_round, table
 from .latency import LOG_SQL, request_log, samples, sql_report
 
-# Users as configurations: dear events were scored, the memory of some was sampled.
+# Accuracy goes by the event's property k and speed by its user, so that some
+# configurations have both reports and some only one.
 _VERDICT = "CASE WHEN event_type IN ('purchase', 'click') THEN 'match' WHEN event_type = 'error' THEN 'pred_error: x' ELSE 'mismatch' END"
 _SUMMARY_SQL = f"""
 {LOG_SQL},
 verdicts AS (
-  SELECT 'u' || user_id AS config, {_VERDICT} AS status FROM events WHERE value > 150
+  SELECT 'u' || CAST(json_extract(props, '$.k') AS BIGINT) AS config, {_VERDICT} AS status FROM events
 ),
 accuracy AS (
   SELECT config, count(*) AS n, count(*) FILTER (WHERE status = 'match') AS correct,
     {sql_round("count(*) FILTER (WHERE status = 'match')::DOUBLE / count(*)::DOUBLE", 4)} AS execution_accuracy
   FROM verdicts GROUP BY config
 ),
-quick AS (SELECT * FROM log WHERE v < 5),
-{sql_report('config', 'quick')},
-memory AS (
-  SELECT config, coalesce(max(CAST(round(v * 100) AS BIGINT)) FILTER (WHERE v > 2), -1) AS peak_gpu_mib
-  FROM quick GROUP BY config
-),
+{sql_report('config')},
+memory AS (SELECT config, max(CAST(round(v * 100) AS BIGINT)) AS peak_gpu_mib FROM log GROUP BY config),
 joined AS (
   SELECT config, execution_accuracy, p50 AS p50_ms, p95 AS p95_ms, p99 AS p99_ms,
     requests_per_sec AS req_per_sec, output_tokens_per_sec AS tok_per_sec, peak_gpu_mib
@@ -50,18 +47,16 @@ summary AS (
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Accuracy and latency reports per user."""
+    """Accuracy and latency reports."""
     events = table(spark, sf_dir, "events")
-    verdicts = events.where("value > 150").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("config"),
+    verdicts = events.select(
+        F.concat(F.lit("u"), F.get_json_object("props", "$.k")).alias("config"),
         F.expr(_VERDICT).alias("status"),
     )
     accuracy = S.metrics(
         verdicts.withColumn("correct", F.col("status") == "match"), ["config"]
     )
-    quick = events.where("value < 5")
-    memory = L.peak_memory(samples(quick.where("value > 2")), samples(quick))
-    latency = L.latency_report(request_log(quick)).join(memory, "config")
+    latency = L.latency_report(request_log(events)).join(L.peak_memory(samples(events)), "config")
     return accuracy, latency
 
 
@@ -115,7 +110,7 @@ def baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SUMMARY_SQL}, {_DELTA_SQL}
-SELECT CASE WHEN peak_gpu_mib > 400 THEN 'gpu' ELSE 'cpu' END AS stack, config, p99_ms, execution_accuracy
+SELECT CASE WHEN peak_gpu_mib > 20000 THEN 'gpu' ELSE 'cpu' END AS stack, config, p99_ms, execution_accuracy
 FROM checked WHERE within_loss AND p99_ms IS NOT NULL
 QUALIFY row_number() OVER (
   PARTITION BY stack ORDER BY p99_ms, execution_accuracy DESC, config
@@ -123,7 +118,7 @@ QUALIFY row_number() OVER (
 """)
 def best_per_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fastest configuration of each stack within the accuracy loss allowed."""
-    stack = F.when(F.col("peak_gpu_mib") > 400, "gpu").otherwise("cpu")
+    stack = F.when(F.col("peak_gpu_mib") > 20000, "gpu").otherwise("cpu")
     return P.best_per_stack(_delta(spark, sf_dir).withColumn("stack", stack))
 
 
