@@ -95,20 +95,20 @@ _WS = (
 _SPARK_COMPLETION = _COMPLETION.replace("chr(12288)", "'\\u3000'").replace("chr(160)", "'\\u00a0'")
 
 
-@query(f"""
-WITH wrapped AS (SELECT doc_id, {sql_strip(_COMPLETION)} AS t FROM documents),
-body AS (
-  SELECT doc_id, {sql_strip(
-    f"CASE WHEN regexp_matches(t, '(?is)```(?:sql)?{_WS}*(.*?)```')"
-    f" THEN regexp_extract(t, '(?is)```(?:sql)?{_WS}*(.*?)```', 1) ELSE t END"
-  )} AS t FROM wrapped
-),
-bare AS (
-  SELECT doc_id,
-    regexp_replace(t, '(?i)\\A{_WS}*(?:sql|sqlite|query){_WS}*:{_WS}*', '') AS t FROM body
-)
-SELECT doc_id, trim(regexp_replace(split_part(t, ';', 1), '{_WS}+', ' ', 'g')) AS pred_sql FROM bare
-""")
+def sql_extraction(source: str, key: str, completion: str) -> str:
+    """Extraction by regular expressions, for the second engine."""
+    fence = f"'(?is)```(?:sql)?{_WS}*(.*?)```'"
+    label = f"'(?i)\\A{_WS}*(?:sql|sqlite|query){_WS}*:{_WS}*'"
+    found = f"CASE WHEN regexp_matches(t, {fence}) THEN regexp_extract(t, {fence}, 1) ELSE t END"
+    return f"""
+WITH wrapped AS (SELECT {key}, {sql_strip(completion)} AS t FROM {source}),
+body AS (SELECT {key}, {sql_strip(found)} AS t FROM wrapped),
+bare AS (SELECT {key}, regexp_replace(t, {label}, '') AS t FROM body)
+SELECT {key}, trim(regexp_replace(split_part(t, ';', 1), '{_WS}+', ' ', 'g')) AS pred_sql FROM bare
+"""
+
+
+@query(sql_extraction("documents", "doc_id", _COMPLETION))
 def extract_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statement inside fenced, labelled, commented and plain completions."""
     docs = table(spark, sf_dir, "documents").withColumn("raw", F.expr(_SPARK_COMPLETION))

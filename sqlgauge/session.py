@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -36,8 +38,10 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back (runs a job).
 
     Cuts the lineage, fixes anything nondeterministic once and for all, and gives
-    the planner the true size of the table.
+    the planner the true size of the table. A column of bare NULLs becomes text.
     """
+    untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    df = df.withColumns({name: F.col(name).cast("string") for name in untyped})
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import prompts as P
 from sqlgauge.functions import text as X
+from sqlgauge.registry.prompts import sql_extraction
 
 CASES = [
     ("SELECT a FROM t", "SELECT a FROM t"),
@@ -42,6 +44,21 @@ def test_extract_sql(spark, spaces):
         assert got == want, raw
 
 
+def test_extraction_equals_regular_expressions_of_another_engine(spark):
+    rng = random.Random(11)
+    pieces = ["```", "`", "sql", "SQL", "ite", ":", "query", ";", " ", "\n", "\u3000", "\x1d", "x", "é"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = dict(map(tuple, df.select("n", X.extract_sql(F.col("t"))).collect()))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE texts (n INT, raw VARCHAR)")
+    connection.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(texts)))
+    expected = dict(connection.execute(sql_extraction("texts", "n", "raw")).fetchall())
+    assert {n: (texts[n], s) for n, s in got.items()} == {
+        n: (texts[n], s) for n, s in expected.items()
+    }
+
+
 def test_strip_and_collapse_agree_with_python(spark):
     rng = random.Random(1)
     alphabet = X.WHITESPACE + "ab;é​中"
