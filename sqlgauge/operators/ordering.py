@@ -58,7 +58,8 @@ def number_rows(
     """Dense 0-based row numbers, restarting per ``partition_by`` (runs a job).
 
     ``order_by=None`` keeps the order the DataFrame already has. An order with
-    ties is settled once, when the sorted rows are written.
+    ties is settled once, when the sorted rows are written. Sorting reads its input
+    twice, the first time to find even ranges, so hand in what is cheap to read.
     """
     if order_by is not None:
         df = df.orderBy(*partition_by, *order_by)

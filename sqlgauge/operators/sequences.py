@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,26 +47,27 @@ def encode_examples(
     tokenize: Callable[[Column], Column],
     template: ChatTemplate,
     max_len: int,
-    id_column: str = "id",
+    keep: Sequence[str] = ("id",),
 ) -> DataFrame:
     """``input_ids`` and ``labels`` of examples with ``messages`` and ``gold_sql``.
 
     Only the answer is supervised: a prompt of ``max_len`` tokens or more leaves
-    nothing. All other columns are dropped.
+    nothing. Other columns than ``keep`` are dropped. Number the batches before
+    encoding rather than after: sorting reads its input twice.
     """
     texts = examples.select(
-        id_column,
+        *keep,
         template.render(F.col("messages"), True).alias("_prompt"),
         template.render(append_answer(F.col("messages"), F.col("gold_sql")), False).alias("_full"),
     )
     ids = texts.select(
-        id_column,
+        *keep,
         F.size(tokenize(F.col("_prompt"))).alias("_prompt_length"),
         tokenize(F.col("_full")).alias("_ids"),
     )
     cut = ids.withColumn("input_ids", truncate(F.col("_ids"), max_len))
     return cut.select(
-        id_column,
+        *keep,
         "input_ids",
         mask_prompt(F.col("input_ids"), F.col("_prompt_length")).alias("labels"),
     )

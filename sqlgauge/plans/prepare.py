@@ -28,11 +28,13 @@ def prepare_examples(
     from 0 in file order, restarting per split.
 
     The catalog is read once: its schema texts are written to the shared folder, and
-    their size there decides whether they are broadcast. Numbering happens before
-    they are attached, so they are not sorted along.
+    their size there decides whether they are broadcast. The surviving examples are
+    written too, since the sort reads its input twice and JSON is dear to parse; the
+    texts are attached after it, so they are not sorted along.
     """
     schemas = materialise(schema_texts(catalog), "schemas")
     survivors = raw.join(schemas.select("db_id"), "db_id", "left_semi")
+    survivors = materialise(survivors, "survivors")
     numbered = number_rows(survivors, ["file_no", "pos"], ["split"], "id")
     return numbered.join(schemas, "db_id").select(
         "split",

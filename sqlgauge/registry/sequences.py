@@ -113,21 +113,24 @@ encoded AS (
 """
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _turns(spark: SparkSession, sf_dir: str, batch_size: int | None = None) -> DataFrame:
+    """Turns with messages and answer, in numbered batches if a size is given."""
+    chat = table(spark, sf_dir, "conversations").select(
+        F.expr(_TURN_ID).alias("id"), "conv_id", "turn", "text"
+    )
+    kept = ["id"]
+    if batch_size:
+        chat = batch_numbers(chat, ["id"], batch_size)
+        kept.append("batch_id")
     schema = F.concat(F.lit("CREATE TABLE c_"), F.col("conv_id").cast("string"))
     answer = "'SELECT a, b FROM c_' || conv_id || ' WHERE turn = ' || turn"
-    return table(spark, sf_dir, "conversations").select(
-        F.expr(_TURN_ID).alias("id"),
-        "role",
+    return chat.select(
+        *kept,
         build_messages(schema, F.col("text")).alias("messages"),
         F.expr(answer).alias("gold_sql"),
     )
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.encode_examples(_turns(spark, sf_dir), word_lengths, PLAIN_TEMPLATE, _MAX_LEN)
-
-
 @query(f"""
 WITH {_ENCODED_SQL}
 SELECT id, len(ids) AS n_ids, list_sum(ids)::BIGINT AS sum_ids, list_sum(labels)::BIGINT AS sum_labels,
@@ -136,7 +139,8 @@ FROM encoded
 """)
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training sequences in which only the answer is supervised."""
-    return _encoded(spark, sf_dir).select(
+    encoded = Q.encode_examples(_turns(spark, sf_dir), word_lengths, PLAIN_TEMPLATE, _MAX_LEN)
+    return encoded.select(
         "id",
         F.size("input_ids").alias("n_ids"),
         _sum("input_ids").alias("sum_ids"),
@@ -156,8 +160,10 @@ FROM sized
 """)
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of eight in id order, padded on the right."""
-    batched = batch_numbers(_encoded(spark, sf_dir), ["id"], 8)
-    padded = Q.pad_batches(batched, -1)
+    encoded = Q.encode_examples(
+        _turns(spark, sf_dir, 8), word_lengths, PLAIN_TEMPLATE, _MAX_LEN, ["id", "batch_id"]
+    )
+    padded = Q.pad_batches(encoded, -1)
     return padded.select(
         "id", "batch_id",
         F.size("labels").alias("width"),
@@ -179,10 +185,12 @@ FROM sized
 """)
 def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts cut to 100 tokens and padded on the left; the prompt stripped from the output."""
-    prompts = _turns(spark, sf_dir).select(
-        "id", word_lengths(PLAIN_TEMPLATE.render(F.col("messages"), True)).alias("input_ids")
+    prompts = _turns(spark, sf_dir, 16).select(
+        "id",
+        "batch_id",
+        word_lengths(PLAIN_TEMPLATE.render(F.col("messages"), True)).alias("input_ids"),
     )
-    padded = Q.prompt_batches(batch_numbers(prompts, ["id"], 16), -1, 100)
+    padded = Q.prompt_batches(prompts, -1, 100)
     answer = F.array(F.col("id").cast("int"), (F.col("id") + 1).cast("int"))
     generated = Q.strip_prompt(F.concat("input_ids", answer), F.size("input_ids"))
     return padded.withColumn("generated", generated).select(
