@@ -17,20 +17,28 @@ IGNORED = -100
 Tokenize = Callable[[str], list[int]]
 
 
-def token_udf(make_tokenizer: Callable[[], Tokenize]) -> Callable[[Column], Column]:
-    """A column function giving the token ids of a text.
+def token_udf(make_tokenizer: Callable[[], Tokenize]) -> Callable[..., Column]:
+    """A column function giving the token ids of a text, or of several texts at once.
 
-    ``make_tokenizer`` is called once per task, so that a tokenizer is loaded where
-    it is used; it returns a function from a text to its ids.
+    With one text the result is an array of ids, with more an array of such arrays,
+    all from a single trip through Python. ``make_tokenizer`` is called once per
+    task, so that a tokenizer is loaded where it is used; it returns a function from
+    a text to its ids.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def token_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenize = make_tokenizer()
-        for texts in batches:
-            yield texts.map(lambda text: None if text is None else list(tokenize(text)))
+        for rows in batches:
+            yield rows.map(
+                lambda texts: [None if text is None else list(tokenize(text)) for text in texts]
+            )
 
-    return token_ids
+    def apply(*texts: Column) -> Column:
+        ids = token_ids(F.array(*texts))
+        return ids if len(texts) > 1 else F.get(ids, F.lit(0))
+
+    return apply
 
 
 def truncate(ids: Column, max_len: int) -> Column:
@@ -44,7 +52,7 @@ def mask_prompt(ids: Column, prompt_length: Column) -> Column:
 
 def encode_examples(
     examples: DataFrame,
-    tokenize: Callable[[Column], Column],
+    tokenize: Callable[..., Column],
     template: ChatTemplate,
     max_len: int,
     keep: Sequence[str] = ("id",),
@@ -60,16 +68,11 @@ def encode_examples(
         template.render(F.col("messages"), True).alias("_prompt"),
         template.render(append_answer(F.col("messages"), F.col("gold_sql")), False).alias("_full"),
     )
-    ids = texts.select(
-        *keep,
-        F.size(tokenize(F.col("_prompt"))).alias("_prompt_length"),
-        tokenize(F.col("_full")).alias("_ids"),
-    )
-    cut = ids.withColumn("input_ids", truncate(F.col("_ids"), max_len))
+    ids = texts.select(*keep, tokenize(F.col("_prompt"), F.col("_full")).alias("_ids"))
+    cut = ids.withColumn("input_ids", truncate(F.get("_ids", F.lit(1)), max_len))
+    prompt_length = F.size(F.get("_ids", F.lit(0)))
     return cut.select(
-        *keep,
-        "input_ids",
-        mask_prompt(F.col("input_ids"), F.col("_prompt_length")).alias("labels"),
+        *keep, "input_ids", mask_prompt(F.col("input_ids"), prompt_length).alias("labels")
     )
 
 
@@ -116,7 +119,7 @@ def strip_prompt(generated: Column, prompt_width: Column) -> Column:
 
 
 def calibration_ids(
-    texts: DataFrame, tokenize: Callable[[Column], Column], max_len: int = 2048
+    texts: DataFrame, tokenize: Callable[..., Column], max_len: int = 2048
 ) -> DataFrame:
     """Truncated token ids and mask of calibration texts."""
     ids = texts.withColumn("input_ids", truncate(tokenize(F.col("text")), max_len))
