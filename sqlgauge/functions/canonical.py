@@ -30,9 +30,8 @@ def _small_fraction(v: str) -> str:
     text = f"CAST({v} AS STRING)"
     mantissa = f"replace(concat(substring_index({text}, 'E-', 1), 'E'), '.0E', 'E')"
     exponent = f"substring_index({text}, 'E-', -1)"
-    return (
-        f"concat(rtrim('E', {mantissa}), 'e-', lpad({exponent}, greatest(2, length({exponent})), '0'))"
-    )
+    padded = f"lpad({exponent}, greatest(2, length({exponent})), '0')"
+    return f"concat(rtrim('E', {mantissa}), 'e-', {padded})"
 
 
 def _double_text(v: str) -> str:

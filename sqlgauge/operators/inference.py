@@ -117,6 +117,8 @@ def timed_calls(
     return df.select(*dict.fromkeys([*keep, messages])).mapInArrow(run, schema)
 
 
-def attach_completions(examples: DataFrame, completions: DataFrame, id_column: str = "id") -> DataFrame:
+def attach_completions(
+    examples: DataFrame, completions: DataFrame, id_column: str = "id"
+) -> DataFrame:
     """Examples with completions that were made elsewhere, matched by id, never by position."""
     return examples.join(completions, id_column)

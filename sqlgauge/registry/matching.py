@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_cell
@@ -46,7 +46,7 @@ def _supplier_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _cells(rows: DataFrame, *names: str) -> F.Column:
+def _cells(rows: DataFrame, *names: str) -> Column:
     """Canonical cells of the columns named."""
     return F.array(*[canonical_cell(name, rows.schema[name].dataType) for name in names])
 

@@ -6,7 +6,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import (
@@ -327,7 +327,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _chat_messages() -> F.Column:
+def _chat_messages() -> Column:
     schema = F.concat(F.lit("CREATE TABLE c_"), F.col("conv_id").cast("string"))
     return build_messages(schema, F.col("text"))
 
