@@ -39,6 +39,7 @@ def test_query_agrees_with_sql(spark, checker, name):
 
 
 def test_entry_points(spark):
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql()) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
     verdicts = {r.id: r.status for r in entry_points.entry(spark).collect()}
     assert verdicts[0] == "match" and verdicts[7] == "gold_error"
