@@ -20,11 +20,15 @@ def line_windows(keyed: DataFrame, min_lines: int, gram: int) -> DataFrame:
     so two equal windows have equal fingerprints.
     """
     width = min_lines - gram + 1
-    hashed = keyed.where(F.size("lines") >= min_lines).select(
-        "doc_id",
-        "_key",
-        _hashes(F.col("lines"), 1).alias("_a"),
-        _hashes(F.col("lines"), 2).alias("_b"),
+    hashed = (
+        keyed.where(F.size("lines") >= min_lines)
+        .select(
+            "doc_id",
+            "_key",
+            _hashes(F.col("lines"), 1).alias("_a"),
+            _hashes(F.col("lines"), 2).alias("_b"),
+        )
+        .dropDuplicates(["doc_id", "_key"])
     )
 
     def joined(column: str, start: Column, count: int) -> Column:
@@ -48,7 +52,7 @@ def line_windows(keyed: DataFrame, min_lines: int, gram: int) -> DataFrame:
 
 def repeated_runs(keyed: DataFrame, min_lines: int, gram: int) -> DataFrame:
     """``doc_id, _key, runs``: the stretches of lines that occur earlier, per document."""
-    windows = materialise(line_windows(keyed.distinct(), min_lines, gram), "windows")
+    windows = materialise(line_windows(keyed, min_lines, gram), "windows")
     shared = windows.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     candidates = windows.join(shared, "fingerprint", "left_semi")
     place = F.struct("doc_id", "_key", "pos")

@@ -9,14 +9,21 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .lines import drop_repeated_lines
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import digest_columns, find_pii
 from .sharding import shard_by_bytes
 from .token_files import token_digests, write_token_files
+from .toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copies of every document, on shingles of four words."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mix_sources(table(spark, sf_dir, "documents")).select(
@@ -39,6 +46,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(places)
 
 
+def op8_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows that are not held out."""
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans")
+    )
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight contiguous shards of nearly equal bytes."""
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
@@ -65,9 +80,46 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_cube_mix, op6_pii_boosting, op7_token_files, op9_byte_shards, op10_line_winnowing)
+    for f in (
+        op1_minhash_tensored,
+        op3_cube_mix,
+        op6_pii_boosting,
+        op7_token_files,
+        op8_toxicity_crf,
+        op9_byte_shards,
+        op10_line_winnowing,
+    )
 }
 
+_OP1 = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ \t-\r]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM tokens WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
+), least AS (
+  SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
 _OP10 = """
 WITH lines AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i,
@@ -97,4 +149,4 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_line_winnowing": _OP10}
+ORACLES: dict[str, str] = {"op1_minhash_tensored": _OP1, "op10_line_winnowing": _OP10}

@@ -17,6 +17,7 @@ table of files gives it with the document's place.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -35,8 +36,8 @@ MAGIC = b"TOKIDS01"
 _HEADER = 8 + 8 * 8
 _SAMPLE = 64
 # Bytes of text that one Python pass turns into ids, and that one task writes.
-_PASS_BYTES = 12_000_000
-_TASK_BYTES = 96_000_000
+_PASS_BYTES = 6_000_000
+_TASK_BYTES = 48_000_000
 
 
 # --- Elias-Fano -------------------------------------------------------------------
@@ -188,6 +189,8 @@ class WordwiseEncoder:
     """
 
     def __init__(self, path: str):
+        # The tasks are the parallel work; threads of the library's own would only wait.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -200,21 +203,27 @@ class WordwiseEncoder:
         self._special = [token.content for token in added]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=f"<u{self.width}") for x in found]
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word with a blank in front of it."""
         out: list[np.ndarray] = []
+        for at in range(0, len(texts), 64):  # an encoding is far larger than its ids
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
+            out.extend(np.array(x.ids, dtype=f"<u{self.width}") for x in found)
+        return out
+
+    def _words(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids, and how many each word has, of words with a blank in front of them."""
+        ids, sizes = [], []
         groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        joined = self._whole(["".join(" " + w for w in group) for group in groups])
-        for group, ids in zip(groups, joined, strict=True):
-            starts = np.flatnonzero(self._leads[ids])
-            if len(starts) == len(group) and (not len(starts) or starts[0] == 0):
-                out.extend(np.split(ids, starts[1:]))
+        joined = self._whole([" " + " ".join(group) for group in groups])
+        for group, found in zip(groups, joined, strict=True):
+            starts = np.flatnonzero(self._leads[found])
+            if len(starts) != len(group) or starts[0] != 0:
+                single = self._whole([" " + w for w in group])
+                found, sizes_ = np.concatenate(single), np.array([len(x) for x in single])
             else:
-                out.extend(self._whole([" " + w for w in group]))
-        return out
+                sizes_ = np.diff(np.append(starts, len(found)))
+            ids.append(found)
+            sizes.append(sizes_)
+        return ids, sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Length of each text in ids, and all ids one after another."""
@@ -239,12 +248,14 @@ class WordwiseEncoder:
         used = np.zeros(len(words), dtype=bool)
         used[codes[~heads]] = True
         renumber = np.cumsum(used) - 1
-        pieces = self._words(words.filter(pa.array(used)).to_pylist())
+        ids, sizes = self._words(words.filter(pa.array(used)).to_pylist())
         head_codes, head_at = np.unique(codes[heads], return_inverse=True)
-        pieces += self._whole(words.take(pa.array(head_codes)).to_pylist())
+        singles = self._whole(words.take(pa.array(head_codes)).to_pylist())
+        singles += self._whole(texts.take(pa.array(whole)).to_pylist())
+        sizes = np.concatenate([*sizes, [len(x) for x in singles]]).astype(np.int64)
+        flat = np.concatenate([*ids, *singles]) if len(sizes) else np.empty(0, f"<u{self.width}")
         codes = np.where(heads, 0, renumber[codes])
         codes[firsts] = int(used.sum()) + head_at
-        pieces += self._whole(texts.take(pa.array(whole)).to_pylist())
 
         order = np.empty(int(counts.sum()) + len(whole), dtype=np.int64)
         per_text = np.ones(n, dtype=np.int64)
@@ -252,16 +263,15 @@ class WordwiseEncoder:
         begins = np.cumsum(per_text) - per_text
         spread = np.repeat(begins[plain] - firsts, counts) + np.arange(len(codes))
         order[spread] = codes
-        order[begins[whole]] = len(pieces) - len(whole) + np.arange(len(whole))
+        order[begins[whole]] = len(sizes) - len(whole) + np.arange(len(whole))
 
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        flat = np.concatenate(pieces) if pieces else np.empty(0, f"<u{self.width}")
         from_ = np.cumsum(sizes) - sizes
         taken = sizes[order]
         ends = np.cumsum(taken)
-        gather = np.repeat(from_[order] - (ends - taken), taken) + np.arange(
-            int(ends[-1]) if len(ends) else 0
-        )
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        gather = np.repeat((from_[order] - (ends - taken)).astype(narrow), taken)
+        gather += np.arange(total, dtype=narrow)
         totals = np.zeros(len(order) + 1, dtype=np.int64)
         np.cumsum(taken, out=totals[1:])
         lengths = totals[begins + per_text] - totals[begins]
@@ -346,7 +356,7 @@ def write_token_files(
     that. Null ids come first; equal ids follow each other by a hash of the text, and
     equal rows are written as often as they come. No rows in, no files.
 
-    Rows are spread by id ranges, so one task writes one file of about 96 MB of text;
+    Rows are spread by id ranges, so one task writes one file of about 48 MB of text;
     it holds that file's ids. Files lie under ``folder``, by default in the folder that
     all executors share, and are moved into place when whole: a lost task is repeated
     under the same name.
