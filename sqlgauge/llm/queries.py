@@ -15,6 +15,7 @@ from .pii import digest_columns, find_pii
 from .sharding import shard_by_bytes
 from .token_files import token_digests, write_token_files
 from .toxicity import classify
+from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,11 @@ def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return digest_columns(find_pii(table(spark, sf_dir, "documents")))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_minhash_tensored,
         op3_cube_mix,
+        op4_embedding_tiles,
         op6_pii_boosting,
         op7_token_files,
         op8_toxicity_crf,
@@ -120,6 +127,25 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+_OP4 = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r
+), least AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)
+"""
+
 _OP10 = """
 WITH lines AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i,
@@ -149,4 +175,8 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_tensored": _OP1, "op10_line_winnowing": _OP10}
+ORACLES: dict[str, str] = {
+    "op1_minhash_tensored": _OP1,
+    "op4_embedding_tiles": _OP4,
+    "op10_line_winnowing": _OP10,
+}
