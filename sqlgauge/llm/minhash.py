@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import text_key, texts
+from .common import MATCH_COLUMNS, match_columns, text_key, texts, with_match
 from .components import components
 from .words import column_bytes, mix, pieces, shingles, words
 
@@ -84,11 +84,12 @@ def sketches(
 
 
 def bucket_keys(sets: DataFrame, half_keys: int) -> DataFrame:
-    """``key, rep`` for every table key that can be shared.
+    """``key, rep, weight`` for every table key that can be shared.
 
     A table key joins half key i of the first collection with half key j of the second.
     Two sets can share it only if they share both halves, so halves that occur once are
-    left out before any pair is formed, which loses nothing.
+    left out before any pair is formed, which loses nothing. ``weight`` is the number of
+    keys of a set: those in the middle of a group share most.
     """
     halves = sets.select("rep", F.posexplode("halves").alias("i", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("_n")).where("_n > 1").select("half")
@@ -97,9 +98,10 @@ def bucket_keys(sets: DataFrame, half_keys: int) -> DataFrame:
         F.collect_list(F.when(F.col("i") < half_keys, F.col("half"))).alias("u"),
         F.collect_list(F.when(F.col("i") >= half_keys, F.col("half"))).alias("v"),
     )
-    first = sides.select("rep", "v", F.explode("u").alias("u"))
-    return first.select("rep", "u", F.explode("v").alias("v")).select(
-        F.xxhash64("u", "v").alias("key"), "rep"
+    weight = (F.size("u") * F.size("v")).alias("weight")
+    first = sides.select("rep", "v", weight, F.explode("u").alias("u"))
+    return first.select("rep", "weight", "u", F.explode("v").alias("v")).select(
+        F.xxhash64("u", "v").alias("key"), "rep", "weight"
     )
 
 
@@ -113,19 +115,23 @@ def _verify(shingle: int, percent: int):
                     _, hashes, of = words(raw, bounds)
                     sets.append(shingles(hashes, of, shingle))
                 good = np.zeros(piece.num_rows, dtype=bool)
+                apart = np.ones(piece.num_rows)
                 for row, (x, y) in enumerate(zip(*sets, strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[row] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                    united = len(x) + len(y) - both
+                    good[row] = both > 0 and 100 * both >= percent * united
+                    apart[row] = 1.0 - both / max(united, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("a"), piece.column("b"), pa.array(good)],
-                    names=["a", "b", "linked"],
+                    [piece.column("a"), piece.column("b"), pa.array(good), pa.array(apart)],
+                    names=["a", "b", "linked", "apart"],
                 )
 
     return run
 
 
 def verify(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, shingle: int, percent: int):
-    """``a, b, linked`` for candidate pairs, decided on the full sets of both texts."""
+    """``a, b, linked, apart`` for candidate pairs, decided on the full sets of both texts;
+    ``apart`` is their Jaccard distance."""
     named = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
     wanted = reps.join(named.distinct(), "rep", "left_semi").select(
         "rep", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")
@@ -138,13 +144,133 @@ def verify(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, shingle: int, pe
     b = found.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return materialise(
-        joined.mapInArrow(_verify(shingle, percent), "a long, b long, linked boolean"), "verified"
+        joined.mapInArrow(
+            _verify(shingle, percent), "a long, b long, linked boolean, apart double"
+        ),
+        "verified",
     )
 
 
-def _size_match(percent: int):
+# Members of a bucket that all others are checked against.
+HUBS = 4
+# Of all half keys, how many two linked sets have in common at least; at similarity 0.8
+# fewer turn up with a probability of 6 in a million.
+LEAST_COMMON = 5
+
+
+def _plausible(percent: int, half_keys: int) -> Column:
+    """Whether sizes and half keys of ``n_a, n_b, halves_a, halves_b`` allow a link."""
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return small * 100 >= large * percent
+    equal = F.zip_with("halves_a", "halves_b", lambda x, y: (x == y).cast("int"))
+    common = F.aggregate(equal, F.lit(0), lambda total, x: total + x)
+    least = min(LEAST_COMMON, half_keys)
+    return (small * 100 >= large * percent) & (common >= least)
+
+
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    return sets.select(
+        F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("halves").alias(f"halves_{name}")
+    )
+
+
+def hub_pairs(buckets: DataFrame, sets: DataFrame, percent: int, half_keys: int) -> DataFrame:
+    """``a, b``: each member ``b`` of a bucket with the bucket's hubs.
+
+    The sets are dealt into ``HUBS`` lots and the one of most keys in each lot is a hub, so
+    the hubs of one group are the same in most of its buckets. They are found with
+    map-side combining.
+    """
+    rank = F.struct("weight", "rep")
+    lot = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
+    tops = [F.max(F.when(lot == k, rank)).alias(f"_h{k}") for k in range(HUBS)]
+    hubs = F.array_compact(F.array(*[F.col(f"_h{k}.rep") for k in range(HUBS)]))
+    chosen = (
+        buckets.groupBy("key")
+        .agg(F.count("*").alias("_n"), *tops)
+        .where("_n > 1")
+        .select("key", hubs.alias("hubs"))
+    )
+    met = buckets.join(chosen, "key").select("rep", "hubs").distinct()
+    pairs = met.select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
+    pairs = pairs.where("a <> b").distinct()
+    sides = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
+    return sides.where(_plausible(percent, half_keys)).select("a", "b")
+
+
+def rest_pairs(
+    buckets: DataFrame,
+    sets: DataFrame,
+    groups: DataFrame,
+    checked: DataFrame,
+    percent: int,
+    half_keys: int,
+) -> DataFrame:
+    """``a, b``: the pairs of a bucket that its hubs have not settled.
+
+    In a bucket whose members are in several components, the members outside the
+    component of its first hub meet all those of other components. A pair comes out in
+    its first common bucket only. Jaccard distance obeys the triangle inequality, so two
+    sets whose distances to a common hub differ by more than a link allows are no link.
+    """
+    placed = buckets.join(groups, buckets["rep"] == groups["node"], "left").select(
+        "key", "rep", "weight", F.coalesce("component", "rep").alias("component")
+    )
+    mixed = (
+        placed.groupBy("key")
+        .agg(
+            F.min("component").alias("_low"),
+            F.max("component").alias("_high"),
+            F.max(F.struct("weight", "component")).alias("_top"),
+            F.count("*").alias("_n"),
+        )
+        .where("_low < _high AND _n > 2")
+        .select("key", F.col("_top.component").alias("main"))
+    )
+    seen = checked.groupBy(F.col("b").alias("rep")).agg(
+        F.collect_list(F.struct(F.col("a").alias("hub"), "apart")).alias("_seen")
+    )
+    itself = F.array(F.struct(F.col("rep").alias("hub"), F.lit(0.0).alias("apart")))
+    known = F.concat(itself, F.coalesce("_seen", F.array().cast("array<struct<hub:long,apart:double>>")))
+    open_ = placed.join(mixed, "key")
+    open_ = (
+        open_.join(sets.select("rep", "n", "halves"), "rep")
+        .join(seen, "rep", "left")
+        .select("key", "rep", "component", "main", "n", "halves", known.alias("hubs"))
+    )
+    open_ = materialise(open_, "open")
+
+    def side(name: str) -> list[Column]:
+        return [
+            F.col("key"),
+            *[
+                F.col(c).alias(f"{c}_{name}")
+                for c in ("rep", "component", "n", "halves", "hubs")
+            ],
+        ]
+
+    left = open_.where("component <> main").select(*side("a"))
+    right = open_.select(*side("b"), (F.col("component") != F.col("main")).alias("_outside"))
+    in_b = F.zip_with("halves_a", "halves_b", lambda x, y: F.when(x == y, x))
+    first_u = F.array_compact(F.slice(in_b, 1, half_keys))
+    first_v = F.array_compact(F.slice(in_b, half_keys + 1, half_keys))
+    first = F.xxhash64(F.get(first_u, F.lit(0)), F.get(first_v, F.lit(0))) == F.col("key")
+    allowed = 1 - percent / 100 + 1e-9
+    ruled_out = F.exists(
+        "hubs_a",
+        lambda x: F.exists(
+            "hubs_b",
+            lambda y: (x["hub"] == y["hub"]) & (F.abs(x["apart"] - y["apart"]) > allowed),
+        ),
+    )
+    differ = (F.col("component_a") != F.col("component_b")) & (
+        ~F.col("_outside") | (F.col("rep_a") < F.col("rep_b"))
+    )
+    known_pair = F.exists("hubs_a", lambda x: x["hub"] == F.col("rep_b")) | F.exists(
+        "hubs_b", lambda x: x["hub"] == F.col("rep_a")
+    )
+    condition = differ & _plausible(percent, half_keys) & first & ~known_pair & ~ruled_out
+    joined = left.join(right.withColumnRenamed("key", "_key2"), (F.col("key") == F.col("_key2")) & condition)
+    return joined.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(
@@ -166,12 +292,13 @@ def near_duplicates(
 
     Equal sets are merged first, so a thousand copies count as one from then on. Two
     collections of ``half_keys`` half keys are combined to half_keys squared table keys
-    per set at the price of 2 * half_keys. In each bucket every set is checked against
-    the bucket's smallest and largest member; what that leaves in different components is
-    then checked in full, so a bucket whose members hang together costs no pairs. Every
-    link is confirmed on full sets.
+    per set at the price of 2 * half_keys. In each bucket every set is checked against a
+    few hubs; members that this leaves in other components meet the rest of the bucket, but
+    for pairs that their distances to the hubs rule out. So a bucket whose members hang
+    together costs no pairs. Every link is confirmed on full sets.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, one row per row given.
+    Returns ``doc_id, _key, n_shingles, component_id, kept``, one row per row given (``_key``
+    is a hash of the text, ``_component`` a number of the component, null without one).
     ``component_id`` is the smallest doc_id of the component. Null or empty texts, and
     texts of white space, have no shingles and stay alone, as do rows of null id without a
     near copy, whose component_id is null; null ids are never a component's name if it has
@@ -201,39 +328,13 @@ def near_duplicates(
         )
     )
     sets = materialise(sets, "sets")
-    sizes = sets.select("rep", "n")
     buckets = materialise(bucket_keys(sets.select("rep", "halves"), half_keys), "buckets")
-
-    ends = (
-        buckets.groupBy("key")
-        .agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        .where("low < high")
-    )
-    met = buckets.join(ends, "key")
-    stars = met.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(
-        met.select(F.col("rep").alias("a"), F.col("high").alias("b"))
-    )
-    pairs = _sized(stars.where("a < b").distinct(), sizes, percent)
-    checked = verify(materialise(pairs, "pairs"), sets, keyed, shingle, percent)
+    pairs = materialise(hub_pairs(buckets, sets, percent, half_keys), "pairs")
+    checked = verify(pairs, sets, keyed, shingle, percent)
     links = checked.where("linked").select("a", "b")
     groups = materialise(components(links), "groups")
-
-    # Buckets whose members do not hang together yet: the pairs between components.
-    placed = buckets.join(groups, buckets["rep"] == groups["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    split = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("_n"))
-        .where("c1 < c2 AND _n > 2")
-        .select("key")
-    )
-    open_ = materialise(placed.join(split, "key", "left_semi").distinct(), "open")
-    left = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("c_a"))
-    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("c_b"))
-    across = left.join(right, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct()
-    across = _sized(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sizes, percent)
-    more = verify(materialise(across, "pairs"), sets, keyed, shingle, percent)
+    rest = materialise(rest_pairs(buckets, sets, groups, checked, percent, half_keys), "rest")
+    more = verify(rest, sets, keyed, shingle, percent)
     fresh = more.where("linked").select("a", "b")
     if not fresh.isEmpty():
         spanning = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -243,22 +344,50 @@ def near_duplicates(
         "set_a", "set_b", "least_id", F.coalesce("component", "rep").alias("component")
     )
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(names, "component").select("set_a", "set_b", "component_id")
+    of_set = named.join(names, "component").select(
+        "set_a", "set_b", "component_id", F.col("component").alias("_component")
+    )
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
-        rows.select("doc_id", "n_shingles", "set_a", "set_b")
+        rows.select("doc_id", "_key", "n_shingles", "set_a", "set_b")
         .join(of_set, ["set_a", "set_b"], "left")
         .select(
             "doc_id",
+            "_key",
             "n_shingles",
             component_id.alias("component_id"),
             F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+            "_component",
         )
     )
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes alone do not rule a link out."""
-    n_a = sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    n_b = sizes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    return pairs.join(n_a, "a").join(n_b, "b").where(_size_match(percent)).select("a", "b")
+def drop_near_duplicates(
+    docs: DataFrame,
+    shingle: int = 5,
+    percent: int = 80,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each component left: the one of the smallest id.
+
+    All columns stay. Of rows equal in id and text one stays, too. Rows without shingles
+    all stay but for such repetitions.
+    """
+    found = near_duplicates(
+        docs, shingle, percent, id_column=id_column, text_column=text_column
+    )
+    place = found.select("_component", *match_columns("doc_id", F.col("_key")))
+    firsts = (
+        place.where("_component IS NOT NULL")
+        .groupBy("_component")
+        .agg(F.min(F.struct(*MATCH_COLUMNS)).alias("_first"))
+        .select("_first.*")
+    )
+    alone = place.where("_component IS NULL").select(*MATCH_COLUMNS).distinct()
+    kept = materialise(firsts.unionByName(alone), "kept")
+    rows = with_match(docs, id_column, text_column).join(kept, MATCH_COLUMNS, "left_semi")
+    once = Window.partitionBy(*MATCH_COLUMNS).orderBy("_key")
+    return (
+        rows.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select("_row.*")
+    )
