@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import texts
 from .words import BY_PUNCTUATION, column_bytes, pieces, prefixes, words
 
@@ -20,6 +22,8 @@ FORMS = 1 + len(PREFIXES)
 # Buckets of each hashed feature: the forms of a word, the word before and the one after.
 BUCKETS = 1 << 16
 TEMPLATES = FORMS + 2
+# Labelled documents that take part in training at most.
+FIT_DOCUMENTS = 3000
 # Tokens of one training stretch.
 STRETCH = 96
 _NONE = BUCKETS - 1
@@ -28,23 +32,33 @@ _NONE = BUCKETS - 1
 def word_forms(
     raw: np.ndarray, bounds: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start bytes of all words, their forms (one column each) and whose words they are."""
+    """Start bytes of all words, their forms (32-bit hashes, one column each, 0 for none)
+    and whose words they are."""
     starts, hashes, of = words(raw, bounds, BY_PUNCTUATION)
     stems = prefixes(raw, starts, PREFIXES, BY_PUNCTUATION)
-    return starts, np.concatenate([hashes[:, None], stems], axis=1), of
+    forms = np.concatenate([hashes[:, None], stems], axis=1) >> np.uint64(32)
+    return starts, forms.astype(np.uint32), of
 
 
 def features(forms: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Feature numbers of every token, one column per feature template."""
-    found = np.empty((len(forms), TEMPLATES), dtype=np.int64)
-    coded = (forms >> np.uint64(20)).astype(np.int64) % (BUCKETS - 1)
+    found = np.empty((len(forms), TEMPLATES), dtype=np.int32)
+    coded = (forms % np.uint32(BUCKETS - 1)).astype(np.int32)
     found[:, :FORMS] = np.where(forms != 0, coded, _NONE)
     before, after = found[:, FORMS], found[:, FORMS + 1]
     before[:], after[:] = _NONE, _NONE
     before[1:], after[:-1] = coded[:-1, 0], coded[1:, 0]
     heads, tails = of[:-1][of[:-1] < of[1:]], of[1:][of[:-1] < of[1:]] - 1
     before[heads], after[tails] = _NONE, _NONE
-    return found + np.arange(TEMPLATES) * BUCKETS
+    return found + np.arange(TEMPLATES, dtype=np.int32) * np.int32(BUCKETS)
+
+
+def _summed(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Sum of each token's feature weights."""
+    total = np.zeros(len(found))
+    for column in found.T:
+        total += weights[column]
+    return total
 
 
 @dataclass
@@ -57,7 +71,7 @@ class Field:
     scale: np.ndarray  # of the document score: constant, highest marginal, sum
 
     def emission(self, found: np.ndarray) -> np.ndarray:
-        return self.weights[found].sum(axis=1) + self.bias
+        return _summed(self.weights, found) + self.bias
 
     def odds(self, emission: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward messages at every token, as odds of label 1.
@@ -124,7 +138,7 @@ def token_labels(
     """
     doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
     in_toxic = toxic[doc] > 0
-    around = np.roll(forms[:, 0], 1) * np.uint64(31) + np.roll(forms[:, 0], -1)
+    around = np.roll(forms[:, 0], 1) * np.uint32(31) + np.roll(forms[:, 0], -1)
     label = np.zeros(len(forms), dtype=bool)
     for form in forms.T:
         # Only forms of toxic documents can be evidence.
@@ -169,7 +183,7 @@ def fit_field(
     of: np.ndarray,
     toxic: np.ndarray,
     rounds: int = 60,
-    most_stretches: int = 6000,
+    most_stretches: int = 5000,
     seed: int = 5,
 ) -> Field:
     """Fit the field to labelled tokens by gradient ascent, then the document score.
@@ -193,7 +207,7 @@ def fit_field(
     inner[cut[1:] - 1] = False
     here = np.flatnonzero(inner)
     used, compact = np.unique(found_s, return_inverse=True)
-    compact = compact.reshape(found_s.shape)
+    compact = compact.reshape(found_s.shape).astype(np.int32)
     weights, moves, bias = np.zeros(len(used)), np.zeros((2, 2)), -4.0
     m, v = (np.zeros(len(used) + 5) for _ in range(2))
     pairs_seen = np.array(
@@ -202,7 +216,7 @@ def fit_field(
     )
     for turn in range(1, rounds + 1):
         field.bias, field.moves = bias, moves
-        emission = weights[compact].sum(axis=1) + bias
+        emission = _summed(weights, compact) + bias
         forward, backward = field.odds(emission, cut)
         both = np.clip(forward * backward, 1e-30, 1e30)
         gap = y - both / (1.0 + both)
@@ -251,17 +265,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = 4000) -> Field:
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forms, sizes, toxic = [np.empty((0, FORMS), np.uint32)], [], []
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            _, found, of = word_forms(*column_bytes(piece.column("text")))
+            forms.append(found)
+            sizes.extend(np.diff(of).tolist())
+            toxic.extend(piece.column("toxic").to_pylist())
+    of = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    field = fit_field(np.concatenate(forms), of, np.array(toxic, dtype=float))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)])], names=["field"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Field:
     """Learn from at most ``fit_documents`` labelled documents, drawn by a hash of the id.
 
-    Only rows that are not held out take part. The draw is made on ids alone; the word
-    forms of the drawn documents, as 64-bit numbers, are the only rows that reach the driver.
+    Only rows that are not held out take part. The draw is made on ids alone. The drawn
+    documents meet in one task, which ``fit_documents`` keeps small; only the weights, of
+    fixed size, reach the driver.
     """
     rows = texts(docs)
     marked = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
     ).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    known = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic")
+    )
     drawn = (
         rows.select("doc_id")
         .join(known, "doc_id")
@@ -270,30 +300,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = 4000) -> Field:
         .limit(fit_documents)
     )
     found = (
-        rows.join(drawn, "doc_id")
-        .mapInArrow(_word_rows, "doc_id long, toxic int, words array<long>")
-        .orderBy("doc_id")
-        .toArrow()
+        rows.join(materialise(drawn, "drawn"), "doc_id")
+        .repartition(1)
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .mapInArrow(_fit_task, "field binary")
+        .collect()
     )
-    lists = found.column("words").combine_chunks()
-    of = np.concatenate([[0], np.cumsum([len(x) // FORMS for x in lists])]).astype(np.int64)
-    flat = lists.flatten() if len(lists) else pa.array([], pa.int64())
-    forms = flat.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    toxic = found.column("toxic").to_numpy().astype(float)
-    return fit_field(forms.reshape(-1, FORMS), of, toxic)
-
-
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            _, forms, of = word_forms(*column_bytes(piece.column("text")))
-            lists = pa.ListArray.from_arrays(
-                pa.array((of * FORMS).astype(np.int32)), pa.array(forms.view(np.int64).ravel())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("toxic"), lists],
-                names=["doc_id", "toxic", "words"],
-            )
+    if not found:
+        return fit_field(np.empty((0, FORMS), np.uint32), np.zeros(1, np.int64), np.empty(0))
+    return pickle.loads(bytes(found[0]["field"]))
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())])
@@ -356,7 +371,7 @@ def score_documents(
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_documents: int = 4000
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_documents: int = FIT_DOCUMENTS
 ) -> DataFrame:
     """Fit on ``labels`` and score every document (runs jobs).
 
@@ -372,3 +387,29 @@ def classify(
         (F.col("score") >= threshold).cast("int").alias("predicted"),
         "spans",
     )
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    fit_documents: int = FIT_DOCUMENTS,
+    text_column: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay.
+
+    The rows are scored where they lie, in one pass.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_documents))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for piece in pieces(batch, text_column):
+                raw, bounds = column_bytes(piece.column(text_column))
+                _, forms, of = word_forms(raw, bounds)
+                marginal = model.marginals(model.emission(features(forms, of)), of)
+                score = model.score(model.summary(marginal, of))
+                yield piece.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
