@@ -397,62 +397,48 @@ def write_token_files(
     )
 
 
-_READ = "path string, place long, first long, n_tokens long, ids_crc32 long"
+_DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_DIGEST_NAMES = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            file = TokenFile(row["path"])
+            docs = sorted(row["docs"], key=lambda doc: doc["place"])
+            low, high = docs[0]["place"], docs[-1]["place"]
+            bounds = file.boundaries.all()[max(low - 1, 0) : high + 1]
+            bounds = bounds if low else np.concatenate([[0], bounds])
+            sums = [
+                zlib.crc32(file.between(start, end).astype("<u4").tobytes())
+                for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+            ]
+            file.close()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([doc["doc_id"] for doc in docs], pa.int64()),
+                    pa.array(bounds[:-1].astype(np.int64) + row["before"]),
+                    pa.array(np.diff(bounds).astype(np.int64)),
+                    pa.array(sums, pa.int64()),
+                ],
+                names=_DIGEST_NAMES,
+            )
 
 
-def read_digests(places: DataFrame, slice_docs: int = 20_000) -> DataFrame:
-    """Length and checksum of every document as the files have them.
+def token_digests(places: DataFrame, slice_docs: int = 5_000) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` per document, as the files have them.
 
-    ``places`` names files and document numbers (``path, place``). Each file is read in
-    slices of documents by separate tasks, ids a stretch at a time.
+    ``places`` is what ``write_token_files`` returned. Each file is read in slices of
+    documents by separate tasks, the ids of one document at a time; lengths and places
+    come out of the boundaries in the file.
     """
-    slices = (
-        places.groupBy("path", F.floor(F.col("place") / slice_docs).alias("_slice"))
-        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
-        .drop("_slice")
+    slices = places.groupBy("path", F.floor(F.col("place") / slice_docs).alias("_slice")).agg(
+        F.min(F.col("start") - F.col("file_start")).alias("before"),
+        F.collect_list(F.struct("place", "doc_id")).alias("docs"),
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                file = TokenFile(row["path"])
-                low, high = row["low"], row["high"]
-                first = file.boundaries.end(low - 1)
-                ends = file.boundaries.all()[low : high + 1]
-                starts = np.concatenate([[first], ends[:-1]])
-                sums = []
-                for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-                    sums.append(zlib.crc32(file.between(start, end).astype("<u4").tobytes()))
-                file.close()
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["path"]] * n, pa.string()),
-                        pa.array(np.arange(low, low + n)),
-                        pa.array(starts.astype(np.int64)),
-                        pa.array((ends - starts).astype(np.int64)),
-                        pa.array(sums, pa.int64()),
-                    ],
-                    names=["path", "place", "first", "n_tokens", "ids_crc32"],
-                )
-
     n = task_count(places.sparkSession, 0, 1)
-    return slices.repartition(n, "path", "low").mapInArrow(run, _READ)
-
-
-def token_digests(places: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` per document, read back from the files."""
-    found = read_digests(places).alias("f")
     return (
-        places.alias("p")
-        .join(
-            found,
-            (F.col("p.path") == F.col("f.path")) & (F.col("p.place") == F.col("f.place")),
-        )
-        .select(
-            "p.doc_id",
-            (F.col("p.start") - F.col("p.file_start") + F.col("f.first")).alias("start"),
-            F.col("f.n_tokens").alias("n_tokens"),
-            F.col("f.ids_crc32").alias("ids_crc32"),
-        )
+        slices.repartition(n, "path", "_slice")
+        .select("path", "before", "docs")
+        .mapInArrow(_read_task, _DIGESTS)
     )
