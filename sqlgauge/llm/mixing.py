@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import in_sequence, number_rows
 from ..session import materialise
+from .common import MATCH_COLUMNS, match_columns, text_key, with_match
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Units of one source that one task balances at a time.
@@ -216,7 +217,7 @@ def mix_sources(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
         word_count(F.col(text_column)).alias("size"),
-        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("_text"),
+        text_key(F.col(text_column)).alias("_text"),
     )
     sized = materialise(in_sequence(sized), "sizes")
     targets = materialise(source_targets(sized, weights, share, float(most)), "targets")
@@ -250,6 +251,7 @@ def mix_sources(
         .join(chosen.select("_seq", "_chance").alias("c"), F.col("k._seq") == F.col("c._seq"))
         .select(
             "doc_id",
+            F.col("_text").alias("_key"),
             "source",
             F.col("k.size").alias("size"),
             "source_size",
@@ -258,3 +260,43 @@ def mix_sources(
             (F.col("k.size") * copies).cast("long").alias("taken"),
         )
     )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: int = 2,
+    seed: int = 7,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns stay.
+
+    Rows equal in id, text and source share their copies evenly, the first ones getting
+    one more where they do not divide.
+    """
+    found = mix_sources(
+        docs, weights, share, most, seed, id_column, text_column, source_column
+    )
+    origin = F.xxhash64(F.col("source"), F.col("source").isNull()).alias("_origin")
+    names = [*MATCH_COLUMNS, "_origin"]
+    copies = (
+        found.select(*match_columns("doc_id", F.col("_key")), origin, "copies")
+        .groupBy(*names)
+        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+        .where("_copies > 0")
+    )
+    source = F.col(f"_row.{source_column}").cast("string")
+    rows = (
+        with_match(docs, id_column, text_column)
+        .withColumn("_origin", F.xxhash64(source, source.isNull()))
+        .join(copies, names)
+    )
+    twin = F.row_number().over(Window.partitionBy(*names).orderBy("_key"))
+    times = F.expr("_copies div _rows + int(_twin <= _copies % _rows)")
+    repeated = rows.withColumn("_twin", twin).withColumn("_times", times)
+    return repeated.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select(
+        "_row.*"
+    )

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .contamination import find_leaks
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .pii import digest_columns, find_pii
+from .repeats import remove_repeats
 from .sharding import shard_by_bytes
 from .token_files import token_digests, write_token_files
 from .toxicity import classify
@@ -22,7 +24,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies of every document, on shingles of four words."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return found.drop("_key", "_component")
+
+
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, whole or edited."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_key")
 
 
 def op3_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +46,19 @@ def op4_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur elsewhere."""
+    left = remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return digest_columns(find_pii(table(spark, sf_dir, "documents")))
@@ -88,8 +110,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_tensored,
+        op2_benchmark_leaks,
         op3_cube_mix,
         op4_embedding_tiles,
+        op5_suffix_repeats,
         op6_pii_boosting,
         op7_token_files,
         op8_toxicity_crf,
