@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import number_rows
 from ..session import materialise
-from .common import MATCH_COLUMNS, match_columns, text_key, texts, with_match
+from .common import MATCH_COLUMNS, match_columns, task_count, text_key, texts, with_match
 from .components import components
 from .words import column_bytes, mix, pieces, shingles, words
 
@@ -19,7 +20,17 @@ from .words import column_bytes, mix, pieces, shingles, words
 HALF_KEYS = 16
 HALF_MINIMA = 3
 
-_SKETCH = "doc_id long, _key long, set_a long, set_b long, n_shingles long, halves array<long>"
+_SKETCH = (
+    "doc_id long, _key long, set_a long, set_b long, n_shingles long, halves array<long>, "
+    "marks binary"
+)
+# Members of a bucket that all others are checked against first.
+HUBS = 3
+# Sets that one task compares with each other, and with as many others.
+TILE = 512
+# How many standard errors the similarity that the minima suggest may lie below the wanted
+# one: four leave out a link of just that similarity 3 times in 100,000.
+_ERRORS = 4.0
 
 
 def _hashers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +62,9 @@ def _sketch(shingle: int, half_keys: int, half_minima: int, seed: int):
                 raw, bounds = column_bytes(piece.column("text"))
                 _, hashes, of = words(raw, bounds)
                 sets = shingles(hashes, of, shingle)
-                least = minima(sets, factors, shifts).reshape(len(sets), -1, half_minima)
+                least = minima(sets, factors, shifts)
+                marks = (least & np.uint64(255)).astype(np.uint8)
+                least = least.reshape(len(sets), -1, half_minima)
                 halves = number[None, :].repeat(len(sets), axis=0)
                 for k in range(half_minima):
                     halves = mix(halves + least[:, :, k])
@@ -67,8 +80,9 @@ def _sketch(shingle: int, half_keys: int, half_minima: int, seed: int):
                         pa.array(np.array(b, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array([len(s) for s in sets], dtype=np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), flat),
+                        pa.array([row.tobytes() for row in marks], pa.binary()),
                     ],
-                    names=["doc_id", "_key", "set_a", "set_b", "n_shingles", "halves"],
+                    names=["doc_id", "_key", "set_a", "set_b", "n_shingles", "halves", "marks"],
                 )
 
     return run
@@ -77,7 +91,8 @@ def _sketch(shingle: int, half_keys: int, half_minima: int, seed: int):
 def sketches(
     keyed: DataFrame, shingle: int, half_keys: int, half_minima: int, seed: int
 ) -> DataFrame:
-    """Per row: two fingerprints and the size of its shingle set, and its half keys."""
+    """Per row: two fingerprints and the size of its shingle set, its half keys, and the
+    last byte of each minimum."""
     return keyed.select("doc_id", "_key", "text").mapInArrow(
         _sketch(shingle, half_keys, half_minima, seed), _SKETCH
     )
@@ -115,23 +130,19 @@ def _verify(shingle: int, percent: int):
                     _, hashes, of = words(raw, bounds)
                     sets.append(shingles(hashes, of, shingle))
                 good = np.zeros(piece.num_rows, dtype=bool)
-                apart = np.ones(piece.num_rows)
                 for row, (x, y) in enumerate(zip(*sets, strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    united = len(x) + len(y) - both
-                    good[row] = both > 0 and 100 * both >= percent * united
-                    apart[row] = 1.0 - both / max(united, 1)
+                    good[row] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("a"), piece.column("b"), pa.array(good), pa.array(apart)],
-                    names=["a", "b", "linked", "apart"],
+                    [piece.column("a"), piece.column("b"), pa.array(good)],
+                    names=["a", "b", "linked"],
                 )
 
     return run
 
 
 def verify(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, shingle: int, percent: int):
-    """``a, b, linked, apart`` for candidate pairs, decided on the full sets of both texts;
-    ``apart`` is their Jaccard distance."""
+    """``a, b, linked`` for candidate pairs, decided on the full sets of both texts."""
     named = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
     wanted = reps.join(named.distinct(), "rep", "left_semi").select(
         "rep", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")
@@ -145,35 +156,40 @@ def verify(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, shingle: int, pe
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     return materialise(
         joined.mapInArrow(
-            _verify(shingle, percent), "a long, b long, linked boolean, apart double"
+            _verify(shingle, percent), "a long, b long, linked boolean"
         ),
         "verified",
     )
 
 
-# Members of a bucket that all others are checked against.
-HUBS = 4
-# Of all half keys, how many two linked sets have in common at least; at similarity 0.8
-# fewer turn up with a probability of 6 in a million.
-LEAST_COMMON = 5
+def least_common(n: int, percent: int) -> int:
+    """How many of ``n`` minima two linked sets have in common at least."""
+    p = percent / 100
+    return max(1, int(np.floor(n * p - _ERRORS * np.sqrt(n * p * (1 - p)))))
 
 
-def _plausible(percent: int, half_keys: int) -> Column:
-    """Whether sizes and half keys of ``n_a, n_b, halves_a, halves_b`` allow a link."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    equal = F.zip_with("halves_a", "halves_b", lambda x, y: (x == y).cast("int"))
-    common = F.aggregate(equal, F.lit(0), lambda total, x: total + x)
-    least = min(LEAST_COMMON, half_keys)
-    return (small * 100 >= large * percent) & (common >= least)
+def _plausible(percent: int):
+    """Keep the pairs whose sizes and minima allow a link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(
+                    batch.num_rows, -1
+                )
+                for c in ("marks_a", "marks_b")
+            )
+            n = np.stack([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+            good = n.min(axis=0) * 100 >= n.max(axis=0) * percent
+            good &= (x == y).sum(axis=1) >= least_common(x.shape[1], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-def _side(sets: DataFrame, name: str) -> DataFrame:
-    return sets.select(
-        F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("halves").alias(f"halves_{name}")
-    )
+    return run
 
 
-def hub_pairs(buckets: DataFrame, sets: DataFrame, percent: int, half_keys: int) -> DataFrame:
+def hub_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: each member ``b`` of a bucket with the bucket's hubs.
 
     The sets are dealt into ``HUBS`` lots and the one of most keys in each lot is a hub, so
@@ -192,85 +208,179 @@ def hub_pairs(buckets: DataFrame, sets: DataFrame, percent: int, half_keys: int)
     )
     met = buckets.join(chosen, "key").select("rep", "hubs").distinct()
     pairs = met.select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
-    pairs = pairs.where("a <> b").distinct()
-    sides = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
-    return sides.where(_plausible(percent, half_keys)).select("a", "b")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialise(pairs.distinct(), "met")
+
+    def side(name: str) -> DataFrame:
+        return sets.select(
+            F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("marks").alias(f"marks_{name}")
+        )
+
+    sides = pairs.join(side("a"), "a").join(side("b"), "b")
+    return sides.mapInArrow(_plausible(percent), "a long, b long")
+
+
+def _set_rows(shingle: int):
+    """The shingle set of every text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                _, hashes, of = words(*column_bytes(piece.column("text")))
+                sets = [s.tobytes() for s in shingles(hashes, of, shingle)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("rep"), pa.array(sets, pa.binary())], names=["rep", "grams"]
+                )
+
+    return run
+
+
+class _Forest:
+    """Union-find over row numbers."""
+
+    def __init__(self, labels: np.ndarray):
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(label, i) for i, label in enumerate(labels.tolist())]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
 
 
-def rest_pairs(
+def _tile_links(rows: list[dict], percent: int, half_keys: int) -> list[tuple[int, int]]:
+    """Links that join components within one group of sets, each confirmed on full sets.
+
+    Candidates share a table key (half keys of either collection), and enough of all
+    minima; the likeliest come first, and pairs that hang together already are passed by.
+    """
+    tile = np.array([row["tile"] for row in rows])
+    labels = np.array([row["component"] for row in rows])
+    if (labels == labels[0]).all():
+        return []
+    marks = np.frombuffer(b"".join(row["marks"] for row in rows), np.uint8)
+    marks = marks.reshape(len(rows), -1)
+    size = np.array([row["n"] for row in rows])
+    grams = [np.frombuffer(row["grams"], np.uint64) for row in rows]
+    forest = _Forest(labels)
+    minima_ = marks.shape[1] // (2 * half_keys)
+    least = least_common(marks.shape[1], percent)
+    alone = tile[0] == tile[-1]
+    order: list[tuple[int, int, int]] = []
+    for i in range(len(rows)):
+        others = np.arange(i + 1, len(rows))
+        if not alone:
+            others = others[tile[others] != tile[i]]
+        low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
+        others = others[(labels[others] != labels[i]) & (low * 100 >= high * percent)]
+        if not len(others):
+            continue
+        equal = marks[others] == marks[i]
+        common = equal.sum(axis=1)
+        halves = equal.reshape(len(others), 2, half_keys, minima_).all(axis=3).any(axis=2).all(axis=1)
+        for j in np.flatnonzero(halves & (common >= least)).tolist():
+            order.append((-int(common[j]), i, int(others[j])))
+    out = []
+    for _, i, j in sorted(order):
+        a, b = forest.root(i), forest.root(j)
+        if a == b:
+            continue
+        both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+        if both and 100 * both >= percent * (size[i] + size[j] - both):
+            forest.parent[b] = a
+            out.append((rows[i]["rep"], rows[j]["rep"]))
+    return out
+
+
+def _tile_task(percent: int, half_keys: int):
+    """Compare the groups of ``cluster, first, second``, whose rows arrive together."""
+
+    def settle(rows: list[dict]) -> pa.RecordBatch:
+        links = _tile_links(rows, percent, half_keys)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        name = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                this = (row["cluster"], row["first"], row["second"])
+                if this != name and rows:
+                    yield settle(rows)
+                    rows = []
+                name = this
+                rows.append(row)
+        if rows:
+            yield settle(rows)
+
+    return run
+
+
+def rest_links(
     buckets: DataFrame,
     sets: DataFrame,
     groups: DataFrame,
-    checked: DataFrame,
+    keyed: DataFrame,
+    shingle: int,
     percent: int,
     half_keys: int,
 ) -> DataFrame:
-    """``a, b``: the pairs of a bucket that its hubs have not settled.
+    """``a, b``: links between sets of one bucket that its hubs have left apart.
 
-    In a bucket whose members are in several components, the members outside the
-    component of its first hub meet all those of other components. A pair comes out in
-    its first common bucket only. Jaccard distance obeys the triangle inequality, so two
-    sets whose distances to a common hub differ by more than a link allows are no link.
+    Buckets with members in several components are joined to clusters where they share
+    members. A cluster is cut into tiles of ``TILE`` sets and every two tiles meet in one
+    task, which compares their minima as matrices and returns only links that join
+    components. No pairs are written, and no task holds more than two tiles.
     """
     placed = buckets.join(groups, buckets["rep"] == groups["node"], "left").select(
-        "key", "rep", "weight", F.coalesce("component", "rep").alias("component")
+        "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     mixed = (
         placed.groupBy("key")
         .agg(
             F.min("component").alias("_low"),
             F.max("component").alias("_high"),
-            F.max(F.struct("weight", "component")).alias("_top"),
+            F.min("rep").alias("_rep"),
             F.count("*").alias("_n"),
         )
         .where("_low < _high AND _n > 2")
-        .select("key", F.col("_top.component").alias("main"))
+        .select("key", F.col("_rep").alias("hub"))
     )
-    seen = checked.groupBy(F.col("b").alias("rep")).agg(
-        F.collect_list(F.struct(F.col("a").alias("hub"), "apart")).alias("_seen")
+    open_ = placed.join(mixed, "key").select("rep", "component", "hub").distinct()
+    open_ = materialise(open_, "open")
+    clusters = components(open_, "hub", "rep").withColumnsRenamed(
+        {"node": "rep", "component": "cluster"}
     )
-    itself = F.array(F.struct(F.col("rep").alias("hub"), F.lit(0.0).alias("apart")))
-    known = F.concat(itself, F.coalesce("_seen", F.array().cast("array<struct<hub:long,apart:double>>")))
-    open_ = placed.join(mixed, "key")
-    open_ = (
-        open_.join(sets.select("rep", "n", "halves"), "rep")
-        .join(seen, "rep", "left")
-        .select("key", "rep", "component", "main", "n", "halves", known.alias("hubs"))
+    members = open_.select("rep", "component").distinct().join(clusters, "rep")
+    members = number_rows(members, ["rep"], ["cluster"], "_place")
+    members = materialise(
+        members.withColumn("tile", F.floor(F.col("_place") / TILE).cast("int")), "members"
     )
-    open_ = materialise(open_, "open")
-
-    def side(name: str) -> list[Column]:
-        return [
-            F.col("key"),
-            *[
-                F.col(c).alias(f"{c}_{name}")
-                for c in ("rep", "component", "n", "halves", "hubs")
-            ],
-        ]
-
-    left = open_.where("component <> main").select(*side("a"))
-    right = open_.select(*side("b"), (F.col("component") != F.col("main")).alias("_outside"))
-    in_b = F.zip_with("halves_a", "halves_b", lambda x, y: F.when(x == y, x))
-    first_u = F.array_compact(F.slice(in_b, 1, half_keys))
-    first_v = F.array_compact(F.slice(in_b, half_keys + 1, half_keys))
-    first = F.xxhash64(F.get(first_u, F.lit(0)), F.get(first_v, F.lit(0))) == F.col("key")
-    allowed = 1 - percent / 100 + 1e-9
-    ruled_out = F.exists(
-        "hubs_a",
-        lambda x: F.exists(
-            "hubs_b",
-            lambda y: (x["hub"] == y["hub"]) & (F.abs(x["apart"] - y["apart"]) > allowed),
-        ),
+    tiles = members.groupBy("cluster").agg(F.max("tile").alias("_last"))
+    wanted = sets.join(members.select("rep"), "rep", "left_semi").select(
+        "rep", F.col("doc_id").alias("_id"), F.col("_key").alias("_k")
     )
-    differ = (F.col("component_a") != F.col("component_b")) & (
-        ~F.col("_outside") | (F.col("rep_a") < F.col("rep_b"))
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    texts_ = keyed.join(wanted, hit).select("rep", "text").dropDuplicates(["rep"])
+    found = materialise(texts_.mapInArrow(_set_rows(shingle), "rep long, grams binary"), "grams")
+    full = (
+        members.join(tiles, "cluster")
+        .join(sets.select("rep", "n", "marks"), "rep")
+        .join(found, "rep")
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
+        .withColumns(
+            {"first": F.least("tile", "_other"), "second": F.greatest("tile", "_other")}
+        )
     )
-    known_pair = F.exists("hubs_a", lambda x: x["hub"] == F.col("rep_b")) | F.exists(
-        "hubs_b", lambda x: x["hub"] == F.col("rep_a")
+    columns = ["cluster", "first", "second", "tile", "rep", "component", "n", "marks", "grams"]
+    n = task_count(keyed.sparkSession, 0, 1)
+    dealt = full.select(*columns).repartition(n, "cluster", "first", "second")
+    return dealt.sortWithinPartitions("cluster", "first", "second", "tile", "rep").mapInArrow(
+        _tile_task(percent, half_keys), "a long, b long"
     )
-    condition = differ & _plausible(percent, half_keys) & first & ~known_pair & ~ruled_out
-    joined = left.join(right.withColumnRenamed("key", "_key2"), (F.col("key") == F.col("_key2")) & condition)
-    return joined.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(
@@ -293,8 +403,8 @@ def near_duplicates(
     Equal sets are merged first, so a thousand copies count as one from then on. Two
     collections of ``half_keys`` half keys are combined to half_keys squared table keys
     per set at the price of 2 * half_keys. In each bucket every set is checked against a
-    few hubs; members that this leaves in other components meet the rest of the bucket, but
-    for pairs that their distances to the hubs rule out. So a bucket whose members hang
+    few hubs. Buckets whose members this leaves apart are compared in tiles of bounded
+    size, by tasks that return only links between components; a bucket whose members hang
     together costs no pairs. Every link is confirmed on full sets.
 
     Returns ``doc_id, _key, n_shingles, component_id, kept``, one row per row given (``_key``
@@ -315,6 +425,7 @@ def near_duplicates(
             F.min("doc_id").alias("least_id"),
             F.first("n_shingles").alias("n"),
             F.first("halves").alias("halves"),
+            F.first("marks").alias("marks"),
         )
         .select(
             F.monotonically_increasing_id().alias("rep"),
@@ -323,19 +434,19 @@ def near_duplicates(
             "least_id",
             "n",
             "halves",
+            "marks",
             "_first.doc_id",
             "_first._key",
         )
     )
     sets = materialise(sets, "sets")
     buckets = materialise(bucket_keys(sets.select("rep", "halves"), half_keys), "buckets")
-    pairs = materialise(hub_pairs(buckets, sets, percent, half_keys), "pairs")
+    pairs = materialise(hub_pairs(buckets, sets, percent), "pairs")
     checked = verify(pairs, sets, keyed, shingle, percent)
-    links = checked.where("linked").select("a", "b")
-    groups = materialise(components(links), "groups")
-    rest = materialise(rest_pairs(buckets, sets, groups, checked, percent, half_keys), "rest")
-    more = verify(rest, sets, keyed, shingle, percent)
-    fresh = more.where("linked").select("a", "b")
+    groups = materialise(components(checked.where("linked")), "groups")
+    fresh = materialise(
+        rest_links(buckets, sets, groups, keyed, shingle, percent, half_keys), "links"
+    )
     if not fresh.isEmpty():
         spanning = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = materialise(components(spanning.unionByName(fresh)), "groups")
