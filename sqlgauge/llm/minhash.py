@@ -336,18 +336,19 @@ def rest_links(
     components. No pairs are written, and no task holds more than two tiles.
     """
     placed = buckets.join(groups, buckets["rep"] == groups["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "rep", "weight", F.coalesce("component", "rep").alias("component")
     )
     mixed = (
         placed.groupBy("key")
         .agg(
             F.min("component").alias("_low"),
             F.max("component").alias("_high"),
-            F.min("rep").alias("_rep"),
+            # The member of most keys is the same in most buckets of a group.
+            F.max(F.struct("weight", "rep")).alias("_top"),
             F.count("*").alias("_n"),
         )
         .where("_low < _high AND _n > 2")
-        .select("key", F.col("_rep").alias("hub"))
+        .select("key", F.col("_top.rep").alias("hub"))
     )
     open_ = placed.join(mixed, "key").select("rep", "component", "hub").distinct()
     open_ = materialise(open_, "open")
