@@ -59,7 +59,8 @@ def canonical_cell(value: str, data_type: T.DataType, digits: int | None = None)
         number = f"CAST({value} AS DOUBLE)"
         text = _double_text(number if digits is None else f"round({number}, {digits})")
     elif isinstance(data_type, T.DecimalType):
-        text = f"CAST({value} AS STRING)"
+        # Formatting, unlike a cast, never writes an exponent, whatever the ANSI setting.
+        text = f"replace(format_number({value}, {data_type.scale}), ',', '')"
         if data_type.scale > 0:
             text = f"rtrim('.', rtrim('0', {text}))"
     elif isinstance(data_type, T.BooleanType):

@@ -35,10 +35,18 @@ def log_bucket(value: str, per_e_fold: int) -> Column:
 
     Buckets have a constant relative width of ``1 / per_e_fold`` above 0.001 and a
     constant absolute width below; negative values mirror positive ones. Equal
-    values share a bucket, so a bucket can be refined by the value itself.
+    values share a bucket, so a bucket can be refined by the value itself. Infinities
+    have buckets of their own, and NaN comes after everything else.
     """
-    magnitude = f"floor(log1p(abs({value}) * 1000D) * {per_e_fold}D)"
-    return F.expr(f"CASE WHEN {value} < 0 THEN -{magnitude} ELSE {magnitude} END")
+    # The product overflows for the largest doubles, which then share the last bucket.
+    magnitude = f"floor(least(log1p(abs({value}) * 1000D), 709D) * {per_e_fold}D)"
+    last = 2**63 - 1
+    return F.expr(
+        f"CASE WHEN isnan({value}) THEN {last}L"
+        f" WHEN {value} = CAST('inf' AS DOUBLE) THEN {last - 1}L"
+        f" WHEN {value} = CAST('-inf' AS DOUBLE) THEN -{last - 1}L"
+        f" WHEN {value} < 0 THEN -{magnitude} ELSE {magnitude} END"
+    )
 
 
 def rate(amount: str, seconds: str) -> Column:

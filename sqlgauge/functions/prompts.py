@@ -72,13 +72,6 @@ class ChatTemplate:
         return F.concat(body, F.lit(self.generation_prompt)) if add_generation_prompt else body
 
 
-PLAIN_TEMPLATE = ChatTemplate(
-    turn=lambda role, content: F.concat(role, F.lit(":"), content),
-    separator=" | ",
-    generation_prompt=" <gen>",
-)
-
-
 def request_body(model: Column, messages: Column, max_tokens: int) -> Column:
     """One greedy chat-completion request as JSON text."""
     return F.to_json(

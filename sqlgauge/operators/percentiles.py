@@ -88,7 +88,8 @@ def exact_percentiles(
     """One row per key with the linearly interpolated percentiles of ``value``.
 
     The rank of percentile p among n sorted values is ``(n - 1) * p / 100``. NULL
-    values do not count, and keys without a value are absent. ``weight`` names a
+    values do not count, and keys without a value are absent; NaN ranks above all other
+    values. ``weight`` names a
     column saying how many rows each row stands for. Runs a job per pass; buckets
     that hold a single value need no second one.
 
@@ -138,7 +139,9 @@ def exact_percentiles(
         single = needed.where("_low = _high").withColumn("_value", F.col("_low"))
         settled = settled.unionByName(single.select(*span))
         needed = needed.where("_low < _high")
-        fullest = needed.agg(F.max("_count")).first()[0]
+        before, fullest = fullest, needed.agg(F.max("_count")).first()[0]
+        if fullest == before:
+            break  # not split further; the last step orders it as it is
     if fullest is not None:
         values = (
             join_null_safe(rows, needed.select(*ids, "_before", "_n"), ids)
@@ -158,8 +161,11 @@ def exact_percentiles(
     return ends.select(
         *keys,
         *[
+            # Equal ends, or a rank that is whole, need no arithmetic that infinities break.
             F.expr(
-                f"_low{i} + (_high{i} - _low{i}) * ({_rank(percent)} - floor({_rank(percent)}))"
+                f"CASE WHEN _low{i} = _high{i} OR {_rank(percent)} = floor({_rank(percent)})"
+                f" THEN _low{i} ELSE"
+                f" _low{i} + (_high{i} - _low{i}) * ({_rank(percent)} - floor({_rank(percent)})) END"
             ).alias(name)
             for i, (percent, name) in enumerate(zip(percents, names, strict=True))
         ],

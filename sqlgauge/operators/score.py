@@ -28,12 +28,22 @@ def outcomes_by_example(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("example_id").agg(*sides)
 
 
+def _outcome(side: str) -> tuple[Column, Column]:
+    """Outcome and message of one side; a missing outcome is an error."""
+    outcome, message = F.col(f"{side}_outcome"), F.col(f"{side}_message")
+    return (
+        F.coalesce(outcome, F.lit("error")),
+        F.when(outcome.isNull(), F.lit("not executed")).otherwise(message),
+    )
+
+
 def score_examples(
     examples: DataFrame, results: DataFrame, outcomes: DataFrame, id_column: str = "id"
 ) -> DataFrame:
     """Add ``correct``, ``status`` and both result sizes to every example.
 
-    ``examples`` needs ``pred_sql``. Examples, outcomes and comparisons all have one
+    ``examples`` needs ``pred_sql``. A query without an outcome was not executed, which is
+    an error of its side, never a match. Examples, outcomes and comparisons all have one
     row per example when they meet, so no key is hot in these joins.
     """
     verdicts = compare_results(results)
@@ -47,11 +57,9 @@ def score_examples(
         .withColumn(
             "status",
             verdict_status(
-                F.coalesce("gold_outcome", F.lit("ok")),
-                F.col("gold_message"),
+                *_outcome("gold"),
                 F.col("pred_sql"),
-                F.coalesce("pred_outcome", F.lit("ok")),
-                F.col("pred_message"),
+                *_outcome("pred"),
                 F.coalesce("results_equal", F.lit(True)),
             ),
         )

@@ -16,22 +16,23 @@ def equal(spark, gold, pred, schema_gold, schema_pred, ordered=False):
 
 
 def test_multiset_or_ordered(spark):
-    a, b = [("1", "x"), ("2", "y")], [("2", "y"), ("1", "x")]
-    schema = "a string, b string"
-    assert equal(spark, a, b, schema, schema)
-    assert not equal(spark, a, b, schema, schema, ordered=True)
-    assert equal(spark, a, a, schema, schema, ordered=True)
+    rows = [("oslo", "fog"), ("rome", "sun"), ("oslo", "sun")]
+    turned = [rows[2], rows[0], rows[1]]
+    schema = "town string, sky string"
+    assert equal(spark, rows, turned, schema, schema)
+    assert not equal(spark, rows, turned, schema, schema, ordered=True)
+    assert equal(spark, turned, turned, schema, schema, ordered=True)
 
 
 @pytest.mark.parametrize(
     "gold, gold_type, pred, pred_type, want",
     [
-        (1, "int", 1.0, "double", True),
-        (1, "int", "1", "string", True),
-        (3, "int", 3.5, "double", False),
-        (3.5, "double", 3.5, "double", True),
-        (None, "int", "", "string", True),
-        ("1.0", "string", 1, "int", False),
+        (7, "bigint", 7.0, "float", True),
+        (-20, "int", "-20", "string", True),
+        (8, "int", 8.25, "double", False),
+        (0.125, "double", 0.125, "float", True),
+        ("", "string", None, "double", True),
+        (7, "int", "7.00", "string", False),
     ],
 )
 def test_cell_equality(spark, gold, gold_type, pred, pred_type, want):
@@ -39,6 +40,23 @@ def test_cell_equality(spark, gold, gold_type, pred, pred_type, want):
     assert got is want
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_decimals_never_have_an_exponent(spark, ansi):
+    from sqlgauge.functions.canonical import canonical_cell
+    from pyspark.sql import types as T
+
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        texts = ["0", "0.0000001", "-12.5000000000", "1234567.25"]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+            "CAST(t AS DECIMAL(20,10)) AS d"
+        )
+        got = [r[0] for r in df.select(canonical_cell("d", T.DecimalType(20, 10))).collect()]
+        assert got == ["0", "0.0000001", "-12.5", "1234567.25"]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_duplicates_arity_and_empty(spark):
     assert not equal(spark, [(1,), (1,)], [(1,)], "a int", "a int")
     assert not equal(spark, [(1, None)], [(1,)], "a int, b string", "a int")

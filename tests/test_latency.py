@@ -3,6 +3,8 @@ import statistics
 from datetime import datetime, timedelta
 
 import pytest
+
+from sqlgauge.operators.latency import latency_report
 from pyspark.sql import functions as F
 
 from sqlgauge.operators import latency as L
@@ -134,3 +136,12 @@ def test_memory(spark, rows):
     assert dict(rows(L.peak_memory(samples, configs))) == {"a": 12, "b": -1}
     running = L.running_peak(samples).orderBy("ts").select("peak_mib")
     assert [r[0] for r in rows(running)] == [7, 7, 9, 9, 9, 11, 11, 11, 12]
+
+
+def test_unknown_success_counts_as_failed(spark):
+    log = spark.createDataFrame(
+        [("a", True, 10.0, 1), ("a", None, 20.0, 1), ("a", False, 30.0, 1)],
+        "config string, ok boolean, latency_ms double, out_tokens bigint",
+    ).selectExpr("*", "timestamp'2024-01-01' AS start_ts", "timestamp'2024-01-01' AS end_ts")
+    row = latency_report(log).first()
+    assert (row.num_requests, row.failed, row.latency_ms.max) == (3, 2, 10.0)

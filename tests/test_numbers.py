@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 import struct
@@ -84,3 +85,27 @@ def test_other_types(spark):
     assert df.select(canonical_row(df)).first()[0] == [
         "1", "2.5", "100", "1", "0AFF", "2024-01-02", "1.0", "", repr(single), "3",
     ]
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 3, 10**6])
+def test_percentiles_with_nan_and_infinities(spark, rows_per_task):
+    from sqlgauge.operators.percentiles import exact_percentiles
+
+    nan, inf = math.nan, math.inf
+    groups = {
+        "nan": [nan, *map(float, range(1, 10))],
+        "ends": [-inf, 1.0, 2.0, 3.0, inf],
+        "huge": [1e307, 1.1e307, inf, inf],
+        "same": [2.5] * 6,
+    }
+    df = spark.createDataFrame(
+        [(k, v) for k, values in groups.items() for v in values], "k string, v double"
+    )
+    got = exact_percentiles(
+        df, ["k"], "v", [0.0, 50.0, 99.0, 100.0], list("abcd"), rows_per_task=rows_per_task
+    )
+    found = {r.k: (r.a, r.b, r.c, r.d) for r in got.collect()}
+    assert found["nan"][:2] == (1.0, 5.5) and all(map(math.isnan, found["nan"][2:]))
+    assert found["ends"] == (-inf, 2.0, inf, inf)
+    assert found["huge"] == (1e307, inf, inf, inf)
+    assert found["same"] == (2.5, 2.5, 2.5, 2.5)
