@@ -12,20 +12,22 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
+from py4j.java_gateway import is_instance_of
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_row, positional
+from ..functions.prompts import messages_or_default
 from ..functions.status import order_matters
 from ..functions.text import extract_sql
 from ..operators.compare import RESULTS_TYPE
 from ..operators.inference import Generate, complete
 from ..operators.ordering import dense_numbers, in_sequence
 from ..operators.score import OUTCOMES_TYPE, metrics, score_examples
-from ..session import materialise, new_path
+from ..session import delete_path, materialise, new_path
 
 UseDatabase = Callable[[SparkSession, str], None]
 SessionOf = Callable[[str], SparkSession]
@@ -60,10 +62,42 @@ def session_pool(spark: SparkSession, use_database: UseDatabase) -> SessionOf:
     return session_of
 
 
+# Expressions that call into the JVM.
+_REFLECTIVE = {"CallMethodViaReflection", "TryReflect"}
+
+
+def _elements(sequence) -> Iterable:
+    items = sequence.iterator()
+    while items.hasNext():
+        yield items.next()
+
+
+_CATALYST = "org.apache.spark.sql.catalyst"
+
+
+def _is_reflective(gateway, node) -> bool:
+    """Whether a plan, or an expression, calls JVM methods anywhere below."""
+    if node.getClass().getSimpleName() in _REFLECTIVE:
+        return True
+    below = list(_elements(node.children()))
+    if is_instance_of(gateway, node, f"{_CATALYST}.plans.QueryPlan"):
+        below += [*_elements(node.expressions()), *_elements(node.innerChildren())]
+    elif is_instance_of(gateway, node, f"{_CATALYST}.expressions.PlanExpression"):
+        below.append(node.plan())
+    return any(_is_reflective(gateway, part) for part in below)
+
+
 def read_only(session: SparkSession, query: str) -> DataFrame:
-    """The query as a DataFrame. Wrapped in a SELECT, anything that would write,
-    and any second statement, fails to parse."""
-    return session.sql(f"SELECT * FROM (\n{query}\n)")
+    """The query as a DataFrame over the session's tables, and nothing else.
+
+    Wrapped in a SELECT, anything that would write, and any second statement, fails to
+    parse. Paths do not count as tables, and calls of JVM methods are refused.
+    """
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    rows = session.sql(f"SELECT * FROM (\n{query}\n)")
+    if _is_reflective(session.sparkContext._gateway, rows._jdf.queryExecution().analyzed()):
+        raise QueryError("calls of JVM methods are not allowed")
+    return rows
 
 
 # How long a cancelled query may take to unwind before it is left behind, in seconds.
@@ -91,12 +125,16 @@ def within_budget(spark: SparkSession, work: Callable[[], None], timeout: float)
     thread.start()
     thread.join(timeout)
     expired = thread.is_alive()
+    # Fixed value: the wording of a timeout.
+    message = f"query exceeded {timeout}s"
     give_up = time.monotonic() + _GRACE
     while thread.is_alive() and time.monotonic() < give_up:
         context.cancelJobGroup(group)
         thread.join(0.5)
+    if thread.is_alive():
+        raise QueryTimeout(f"{message} and is still unwinding")
     if expired:
-        raise QueryTimeout(f"query exceeded {timeout}s")
+        raise QueryTimeout(message)
     if failure:
         raise QueryError(_first_line(failure[0])) from failure[0]
 
@@ -159,13 +197,12 @@ def _store(
 
 
 _STORED_TYPE = "example_id bigint, side string, ordered boolean, _seq bigint, cells array<string>"
+# Examples whose results are put into one table together.
+_STRETCH = 256
 
 
-def stored_results(spark: SparkSession, root: str, any_rows: bool) -> DataFrame:
-    """All stored results in long form, with dense positions where order counts."""
-    if not any_rows:
-        return spark.createDataFrame([], RESULTS_TYPE)
-    stored = spark.read.schema(_STORED_TYPE).parquet(f"{root}/*")
+def long_results(stored: DataFrame) -> DataFrame:
+    """Stored results in long form, with dense positions where order counts."""
     plain = stored.where(~F.col("ordered")).select(
         "example_id", "side", F.lit(None).cast("bigint").alias("row_no"), "cells"
     )
@@ -177,20 +214,25 @@ def run_pairs(
     examples: DataFrame,
     timeout: float = 30.0,
     use_database: UseDatabase = current_database,
-    workers: int = 1,
+    workers: int | None = None,
     digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run gold and predicted queries; returns results and outcomes (runs many jobs).
 
-    ``examples`` is ``(id, db_id, gold_sql, pred_sql)`` with unique ids. Only these
-    texts visit the driver, and only a stretch of them at a time. The prediction is
-    not run when the gold query fails or the prediction is blank. ``workers`` queries
-    run side by side; their budgets then include waiting for free task slots, so give
-    the session ``spark.scheduler.mode=FAIR`` when some of them are heavy.
+    ``examples`` is ``(id, db_id, gold_sql, pred_sql)`` with unique ids; a repeated one is
+    a ValueError. Only these texts visit the driver, a stretch of 256 at a time. The
+    prediction is not run when the gold query fails or the prediction is blank.
+    ``workers`` queries run side by side, by default a quarter of the cluster's task slots;
+    their budgets then include waiting for free slots, so give the session
+    ``spark.scheduler.mode=FAIR`` when some of them are heavy. The next stretch starts while
+    the last queries of the one before still run. After each stretch its outcomes and
+    results become one table each, and the folders of its queries are deleted.
     """
     spark = examples.sparkSession
     root = new_path(spark, "results")
     session_of = session_pool(spark, use_database)
+    if not examples.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("example ids must be unique")
     rows = examples.select(
         "id",
         "db_id",
@@ -199,19 +241,40 @@ def run_pairs(
         F.coalesce(order_matters(F.col("gold_sql")), F.lit(False)).alias("ordered"),
     )
 
-    def run_one(example: dict) -> list[tuple]:
-        gold = _store(spark, example, "gold", root, timeout, session_of, digits)
+    def run_one(example: dict, folder: str) -> list[tuple]:
+        store = (spark, example)
+        rest = (folder, timeout, session_of, digits)
+        gold = _store(*store, "gold", *rest)
         if gold[2] != "ok" or not example["pred_sql"].strip():
             return [gold]
-        return [gold, _store(spark, example, "pred", root, timeout, session_of, digits)]
-
-    outcomes: list[tuple] = []
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        for stretch in _stretches(rows.toLocalIterator(), 64 * workers):
-            for found in pool.map(run_one, stretch):
-                outcomes.extend(found)
-    results = stored_results(spark, root, any(outcome[2] == "ok" for outcome in outcomes))
-    return results, spark.createDataFrame(outcomes, OUTCOMES_TYPE)
+        return [gold, _store(*store, "pred", *rest)]
+
+    def settle(number: int, futures: list[Future]) -> None:
+        outcomes = [outcome for future in futures for outcome in future.result()]
+        folder = f"{root}/queries/{number}"
+        spark.createDataFrame(outcomes, OUTCOMES_TYPE).coalesce(1).write.mode("append").parquet(
+            f"{root}/outcomes"
+        )
+        if any(outcome[2] == "ok" for outcome in outcomes):
+            stored = spark.read.schema(_STORED_TYPE).parquet(f"{folder}/*")
+            stored.write.mode("append").parquet(f"{root}/rows")
+        delete_path(spark, folder)
+
+    spark.createDataFrame([], OUTCOMES_TYPE).write.parquet(f"{root}/outcomes")
+    spark.createDataFrame([], _STORED_TYPE).write.parquet(f"{root}/rows")
+    slots = workers or max(1, spark.sparkContext.defaultParallelism // 4)
+    waiting: tuple[int, list[Future]] | None = None
+    with ThreadPoolExecutor(max_workers=slots) as pool:
+        for number, stretch in enumerate(_stretches(rows.toLocalIterator(), _STRETCH)):
+            folder = f"{root}/queries/{number}"
+            futures = [pool.submit(run_one, example, folder) for example in stretch]
+            if waiting:
+                settle(*waiting)
+            waiting = (number, futures)
+        if waiting:
+            settle(*waiting)
+    results = long_results(spark.read.schema(_STORED_TYPE).parquet(f"{root}/rows"))
+    return results, spark.read.schema(OUTCOMES_TYPE).parquet(f"{root}/outcomes")
 
 
 def _stretches(rows: Iterable, size: int) -> Iterable[list[dict]]:
@@ -229,7 +292,7 @@ def execution_match(
     examples: DataFrame,
     timeout: float = 30.0,
     use_database: UseDatabase = current_database,
-    workers: int = 1,
+    workers: int | None = None,
     digits: int | None = None,
 ) -> DataFrame:
     """Examples with ``correct`` and ``status`` after running both queries of each."""
@@ -243,15 +306,20 @@ def evaluate(
     batch_size: int = 8,
     timeout: float = 30.0,
     use_database: UseDatabase = current_database,
-    workers: int = 1,
+    workers: int | None = None,
     labels: dict[str, str | None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Predictions of a model on prepared examples, and the accuracy report (runs jobs).
 
+    Missing or empty messages are built from schema and question, where those are there.
+
     The completions are written to the shared folder before any query runs, so the
     model is asked once per example; the time that takes is the generation time of
     the report. ``labels`` (model, adapter, backend) become columns of the report.
     """
+    if {"messages", "schema", "question"} <= set(examples.columns):
+        rebuilt = messages_or_default(F.col("messages"), F.col("schema"), F.col("question"))
+        examples = examples.withColumn("messages", rebuilt)
     asked = complete(examples, make_generate, batch_size)
     began = time.perf_counter()
     predicted = materialise(

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="sqlgauge-")
@@ -34,7 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/sqlgauge/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sqlgauge/{label}-{uuid.uuid4().hex}"
+    scope = getattr(_SCOPES, "paths", None)
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(target, True)
+
+
+_SCOPES = threading.local()
+
+
+@contextmanager
+def shared_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables that this thread wrote inside.
+
+    Results that still depend on them must have been written by then.
+    """
+    paths: list[str] = []
+    outer = getattr(_SCOPES, "paths", None)
+    _SCOPES.paths = paths
+    try:
+        yield
+    finally:
+        _SCOPES.paths = outer
+        for path in paths:
+            delete_path(spark, path)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

@@ -48,20 +48,23 @@ def test_timeout(spark):
 
 
 CASES = [
-    ("SELECT n FROM nums", "SELECT n FROM nums WHERE n IN (1,2,3)", "match"),
-    ("SELECT n FROM nums", "SELECT n FROM nums WHERE n = 1", "mismatch"),
-    ("SELECT n FROM nums ORDER BY n ASC", "SELECT n FROM nums ORDER BY n DESC", "mismatch"),
-    ("SELECT n FROM nums ORDER BY n ASC", "SELECT n FROM nums ORDER BY n ASC", "match"),
-    ("SELECT n FROM nums", "SELECT n FROM nums ORDER BY n DESC", "match"),
-    ("SELECT n FROM nums", "SELECT bad syntax (", "pred_error"),
-    ("SELECT n FROM nums", "   ", "pred_error: empty"),
-    ("SELECT n FROM nums", None, "pred_error: empty"),
-    ("SELECT * FROM no_such_table", "SELECT 1", "gold_error"),
-    ("SELECT * FROM no_such_table", "", "gold_error"),
-    ("SELECT n FROM nums WHERE n > 9", "SELECT 'x' WHERE false", "match"),
-    ("SELECT NULL FROM nums", "SELECT '' FROM nums", "match"),
-    ("SELECT n FROM nums", SLOW, "pred_timeout"),
+    ("SELECT max(n) FROM nums", "SELECT 3", "match"),
+    ("SELECT n * 2 FROM nums", "SELECT n + n AS twice FROM nums ORDER BY twice DESC", "match"),
+    ("SELECT n * 2 FROM nums", "SELECT n * n FROM nums", "mismatch"),
+    ("SELECT -n FROM nums order BY 1", "SELECT -n FROM nums ORDER BY 1 DESC", "mismatch"),
+    ("SELECT -n FROM nums order BY 1", "SELECT 0 - n FROM nums ORDER BY n DESC", "match"),
+    ("SELECT min(n) FROM nums", "SELEC min(n) FROM nums", "pred_error"),
+    ("SELECT min(n) FROM nums", "\n\t ", "pred_error: empty"),
+    ("SELECT min(n) FROM nums", None, "pred_error: empty"),
+    ("SELECT m FROM nums", "SELECT min(n) FROM nums", "gold_error"),
+    ("SELECT m FROM nums", "", "gold_error"),
+    ("SELECT n FROM nums WHERE n < 0", "SELECT 'none' WHERE 1 = 2", "match"),
+    ("SELECT nullif(n, n) FROM nums", "SELECT substr('x', 2) FROM nums", "match"),
+    ("SELECT min(n) FROM nums", SLOW, "pred_timeout"),
     (SLOW, "SELECT 1", "gold_error"),
+    ("SELECT 1", "SELECT java_method('java.lang.Math', 'abs', -1)", "pred_error"),
+    ("SELECT 1", "SELECT * FROM text.`/etc/hostname`", "pred_error"),
+    ("SELECT 1", "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.Math', 'abs', -1))", "pred_error"),
 ]
 
 
@@ -79,7 +82,7 @@ def test_execution_match(spark):
         if want == "pred_error: empty":
             assert got[i].status == want
     accuracy = execution_accuracy(judged).first()
-    assert (accuracy.n, accuracy.correct, accuracy.execution_accuracy) == (14, 5, 0.3571)
+    assert (accuracy.n, accuracy.correct, accuracy.execution_accuracy) == (17, 5, 0.2941)
 
 
 def test_workers_do_not_change_verdicts(spark, rows):
@@ -132,6 +135,7 @@ def test_precedence_from_outcome_tables(spark, rows):
             (3, "gold", "ok", None), (3, "pred", "timeout", "late"),
             (4, "gold", "ok", None), (4, "pred", "error", "bad: column"),
             (5, "gold", "timeout", "query exceeded 1s"),
+            (6, "gold", "ok", None), (6, "pred", "ok", None),
         ],
         "example_id bigint, side string, outcome string, message string",
     )
@@ -147,7 +151,7 @@ def test_precedence_from_outcome_tables(spark, rows):
     assert dict(rows(status_counts(judged))) == {
         "match": 1, "pred_error": 2, "pred_timeout": 1, "gold_error": 1, "mismatch": 1,
     }
-    assert outcomes_by_example(outcomes).count() == 5
+    assert outcomes_by_example(outcomes).count() == 6
 
 
 def test_accuracy_of_nothing_and_metrics(spark):
@@ -163,3 +167,37 @@ def test_accuracy_of_nothing_and_metrics(spark):
     assert got["a"].status_counts == {"match": 1, "pred_error": 1}
     assert (got["a"].execution_accuracy, got["a"].examples_per_sec) == (0.5, 1.0)
     assert got["b"].examples_per_sec is None
+
+
+def test_many_pairs_leave_few_folders_and_no_list(spark, tmp_path, monkeypatch):
+    from sqlgauge.plans import runner
+
+    monkeypatch.setattr("sqlgauge.session.shared_dir", lambda session: str(tmp_path))
+    examples = spark.range(300).selectExpr(
+        "id", "'nums' AS db_id", "'SELECT 1' AS gold_sql",
+        "CASE WHEN id % 50 = 0 THEN 'SELECT 2' ELSE ' ' END AS pred_sql",
+    )
+    results, outcomes = runner.run_pairs(examples, use_database=nums, workers=4)
+    assert outcomes.count() == 306 and results.count() == 306
+    (made,) = [p for p in (tmp_path / "sqlgauge").iterdir() if p.name.startswith("results-")]
+    assert sorted(p.name for p in made.iterdir()) == ["outcomes", "queries", "rows"]
+    assert not [p for p in (made / "queries").iterdir() if p.is_dir()]
+    with pytest.raises(ValueError):
+        runner.run_pairs(examples.union(examples), use_database=nums)
+
+
+def test_what_was_not_executed_is_no_match(spark):
+    examples = spark.createDataFrame(
+        [(1, "SELECT 1"), (2, "SELECT 1"), (3, " ")], "id bigint, pred_sql string"
+    )
+    outcomes = spark.createDataFrame(
+        [(2, "gold", "ok", None), (3, "gold", "ok", None)],
+        "example_id bigint, side string, outcome string, message string",
+    )
+    results = spark.createDataFrame(
+        [], "example_id bigint, side string, row_no bigint, cells array<string>"
+    )
+    got = {r.id: r.status for r in score_examples(examples, results, outcomes).collect()}
+    assert got == {
+        1: "gold_error: not executed", 2: "pred_error: not executed", 3: "pred_error: empty"
+    }
