@@ -20,5 +20,6 @@ def join_null_safe(
     """
     a, b = left.alias("a"), right.alias("b")
     condition = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    extra = [F.col(f"b.{c}") for c in right.columns if c not in keys]
+    semi = how in ("left_semi", "left_anti")
+    extra = [] if semi else [F.col(f"b.{c}") for c in right.columns if c not in keys]
     return a.join(b, condition, how).select("a.*", *extra)

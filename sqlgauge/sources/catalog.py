@@ -6,10 +6,8 @@ database whose file is empty or unreadable is one row with nothing but its ``db_
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,50 +15,19 @@ from ..functions.text import clean_ddl
 from ..operators.sampling import require_rows
 
 CATALOG_TYPE = "db_id string, type string, table_name string, ddl string"
-_CATALOG_ARROW = pa.schema(
-    [(name, pa.string()) for name in ("db_id", "type", "table_name", "ddl")]
-)
-
-
-def _schema_objects(db_id: str, image: bytes) -> list[tuple]:
-    """Rows of one database image; bytes that are not UTF-8 are dropped."""
-    connection = sqlite3.connect(":memory:")
-    connection.text_factory = lambda raw: raw.decode("utf-8", "ignore")
-    try:
-        connection.deserialize(image)
-        found = connection.execute("SELECT type, name, sql FROM sqlite_master").fetchall()
-    except (sqlite3.Error, ValueError, TypeError):
-        found = []
-    finally:
-        connection.close()
-    return [(db_id, *row) for row in found] or [(db_id, None, None, None)]
-
-
-def catalog_from_images(images: DataFrame) -> DataFrame:
-    """Catalog of database files given as ``(db_id, content)``, read where they lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("db_id").to_pylist()
-            contents = batch.column("content")
-            for db_id, content in zip(ids, contents, strict=True):
-                rows = _schema_objects(db_id, content.as_py())
-                columns = [pa.array(cells, pa.string()) for cells in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=_CATALOG_ARROW)
-
-    return images.select("db_id", "content").mapInArrow(run, CATALOG_TYPE)
 
 
 def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Catalog of the database files under the given paths or globs.
+    """Catalog from dumps of schema tables, one file or folder of JSON lines per database.
 
-    ``db_id`` is the file name without its extension.
+    A line is a schema object (``type``, ``table_name``, ``ddl``). The database is named
+    after the file, or the folder, without its extension. Lines that do not parse are
+    rows with nothing but their ``db_id``, as is fit for a database that cannot be read.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    return catalog_from_images(
-        files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("db_id"), "content")
-    )
+    rows = spark.read.schema("type string, table_name string, ddl string").json(paths)
+    place = F.col("_metadata.file_path")
+    named = F.regexp_extract(place, r"/([^/]+?)(?:\.[^./]*)?(?:/part-[^/]*)?$", 1)
+    return rows.select(F.url_decode(named).alias("db_id"), "type", "table_name", "ddl")
 
 
 def is_user_table() -> Column:
@@ -92,8 +59,11 @@ def database_schemas(catalog: DataFrame) -> DataFrame:
 
 
 def schema_texts(catalog: DataFrame) -> DataFrame:
-    """The schema texts of the databases that have one."""
-    return database_schemas(catalog).where("schema IS NOT NULL")
+    """The schema texts of the databases that have one.
+
+    What is no user table is left out before the shuffle.
+    """
+    return database_schemas(catalog.where(is_user_table())).where("schema IS NOT NULL")
 
 
 def schema_text(catalog: DataFrame, db_id: str) -> DataFrame:

@@ -77,16 +77,27 @@ def read_examples(
 ) -> DataFrame:
     """Prepared examples from JSON lines with declared types; blank lines are skipped.
 
-    ``limit`` keeps the first rows in file order (0 or None: all). A malformed line
-    fails the read. ``allow_empty=False`` raises ValueError when nothing is left.
+    ``limit`` keeps the first rows in file order (0 or None: all); files after the one in
+    which it is reached are not read. A malformed line fails the read.
+    ``allow_empty=False`` raises ValueError when nothing is left.
     """
-    paths = path if isinstance(path, str) else list(path)
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    paths = [path] if isinstance(path, str) else list(path)
+
+    def lines(files: Sequence[str]) -> DataFrame:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(list(files))
+
+    rows = lines(paths)
     if not allow_empty:
         require_rows(rows, "examples")
     if not limit:
         return rows
-    placed = rows.select(
+    files = sorted(rows.inputFiles())
+    taken = 1
+    while taken < len(files) and lines(files[:taken]).limit(limit).count() < limit:
+        taken *= 2
+    if not files:
+        return rows
+    placed = lines(files[:taken]).select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,13 +49,40 @@ def read_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The summary as CSV with fixed columns, by configuration; absent values stay empty."""
-    ordered = summary.select(*SUMMARY_COLUMNS).orderBy("config")
+    """The summary as CSV with fixed columns, by configuration; absent values stay empty.
+
+    A ``rank`` column, where there is one, is written as well and gives the order.
+    """
+    extra = ["rank"] if "rank" in summary.columns else []
+    ordered = summary.select(*SUMMARY_COLUMNS, *extra).orderBy("config")
     ordered.write.mode(mode).option("header", True).csv(path)
 
 
+def write_results_tree(reports: DataFrame, root: str, file_name: str) -> None:
+    """One report per configuration as ``root/<config>/<file_name>``, a folder of JSON.
+
+    Spark writes all of them in one job, under partition names; these folders then get
+    their final names. Configurations are few here: people compare them.
+    """
+    spark = reports.sparkSession
+    staged = f"{root.rstrip('/')}/_{file_name}"
+    reports.withColumn("_folder", F.col("config")).drop("config").repartition(
+        "_folder"
+    ).write.partitionBy("_folder").option("ignoreNullFields", False).json(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(staged)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(source):
+        name = status.getPath().getName()
+        if name.startswith("_folder="):
+            folder = hadoop.Path(f"{root.rstrip('/')}/{name[len('_folder='):]}")
+            system.mkdirs(folder)
+            system.rename(status.getPath(), hadoop.Path(folder, file_name))
+    system.delete(source, True)
+
+
 def _read_tree(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame:
-    """The files of that name exactly one folder below ``root``."""
+    """The files, or folders, of that name exactly one folder below ``root``."""
     try:
         rows = spark.read.schema(schema).option("multiLine", True).option(
             "mode", "FAILFAST"
@@ -62,7 +91,8 @@ def _read_tree(spark: SparkSession, root: str, file_name: str, schema: str) -> D
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{schema}, config string")
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    ending = re.escape(f"/{file_name}") + "(?:/[^/]*)?$"
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"([^/]+){ending}", 1)
     return rows.withColumn("config", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))
 
 

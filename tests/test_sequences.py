@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.prompts import MESSAGES_TYPE, PLAIN_TEMPLATE
+from sqlgauge.functions.prompts import MESSAGES_TYPE
+from sqlgauge.registry.base import TEMPLATE
 from sqlgauge.operators import inference as I
 from sqlgauge.operators import sampling as A
 from sqlgauge.operators import sequences as S
@@ -31,12 +32,12 @@ def test_token_udf_null_and_unicode(spark):
 @pytest.mark.parametrize("max_len", [4, 12, 18, 500])
 def test_only_the_answer_is_supervised(spark, max_len):
     df = examples(spark, 8)
-    encoded = S.encode_examples(df, tokenize, PLAIN_TEMPLATE, max_len)
+    encoded = S.encode_examples(df, tokenize, TEMPLATE, max_len)
     assert encoded.columns == ["id", "input_ids", "labels"]
     for i, ids, labels in encoded.collect():
         question = f"Q{i}" * (i % 4 + 1)
-        full = [ord(c) for c in f"user:{question} | assistant:SELECT {i}"][:max_len]
-        prompt = len(f"user:{question} <gen>")
+        full = [ord(c) for c in f"[user] {question}\n[assistant] SELECT {i}"][:max_len]
+        prompt = len(f"[user] {question}\n[assistant]")
         assert ids == full
         assert labels == [-100] * min(prompt, len(full)) + full[prompt:]
 
@@ -68,22 +69,22 @@ def test_prompt_batches_pad_left_and_cut(spark):
 def test_calibration(spark):
     df = examples(spark, 20)
     draw = lambda seed, n=5: [
-        r.text for r in A.calibration_texts(df, PLAIN_TEMPLATE, n_samples=n, seed=seed).collect()
+        r.text for r in A.calibration_texts(df, TEMPLATE, n_samples=n, seed=seed).collect()
     ]
     assert draw(7) == draw(7) != draw(8)
     assert len(draw(7)) == 5 and len(draw(7, 99)) == 20
-    assert all(t.startswith("user:Q") and t.endswith(" <gen>") for t in draw(7))
+    assert all(t.startswith("[user] Q") and t.endswith("\n[assistant]") for t in draw(7))
     again = A.seeded_sample(df.repartition(5), "id", 5, 7)
     assert sorted(r.id for r in again.collect()) == sorted(
         r.id for r in A.seeded_sample(df, "id", 5, 7).collect()
     )
     with pytest.raises(ValueError):
-        A.calibration_texts(df.where("id < 0"), PLAIN_TEMPLATE)
+        A.calibration_texts(df.where("id < 0"), TEMPLATE)
 
 
 def test_calibration_falls_back_and_tokenizes(spark):
     df = spark.createDataFrame([(1, None, "CREATE TABLE t (a)", "Qx", "")], EXAMPLES)
-    texts = A.calibration_texts(df, PLAIN_TEMPLATE, n_samples=1)
+    texts = A.calibration_texts(df, TEMPLATE, n_samples=1)
     text = texts.first().text
     assert "Qx" in text and "CREATE TABLE t (a)" in text
     ids = S.calibration_ids(texts, tokenize, max_len=10).first()
@@ -133,3 +134,18 @@ def test_timed_calls_capture_errors(spark):
     log = log_from_calls(calls).withColumn("config", F.lit("c"))
     report = latency_report(log).first()
     assert (report.num_requests, report.failed, report.output_tokens_total) == (6, 1, 4)
+
+
+def test_top_rows_are_chosen_on_narrow_columns(spark):
+    wide = spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 100))
+    assert A.head_limit(wide, ["id"], 5).count() == 5
+    drawn = A.seeded_sample(wide, "id", 10)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan
+    assert drawn.count() == 10
+
+
+def test_calibration_draw_of_nulls_and_twins(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "id bigint, t string")
+    assert A.seeded_sample(df, "id", 99).count() == 3
+    assert A.seeded_sample(df.where("id IS NULL AND t = 'z'"), "id", 9).count() == 0

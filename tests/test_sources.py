@@ -1,5 +1,4 @@
 import json
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,42 +10,42 @@ from sqlgauge.sources import reports as O
 from sqlgauge.functions.prompts import SYSTEM_PROMPT
 
 
-def make_database(path, statements):
-    path.parent.mkdir(parents=True, exist_ok=True)
-    connection = sqlite3.connect(path)
-    for statement in statements:
-        connection.execute(statement)
-    connection.commit()
-    connection.close()
-
-
 @pytest.fixture
-def databases(tmp_path):
-    root = tmp_path / "databases"
-    make_database(root / "shop.sqlite", [
-        "CREATE TABLE orders (id INTEGER PRIMARY KEY, customer TEXT)",
-        "CREATE TABLE customers (id INTEGER PRIMARY KEY, name TEXT)",
-        "CREATE INDEX by_name ON customers(name)",
-        "CREATE VIEW v AS SELECT 1",
-    ])
-    make_database(root / "auto.sqlite", ["CREATE TABLE t (id INTEGER PRIMARY KEY AUTOINCREMENT)"])
-    make_database(root / "empty.sqlite", ["CREATE TABLE _x (a)", "DROP TABLE _x"])
-    (root / "broken.sqlite").write_bytes(b"this is no database file" * 100)
+def dumps(tmp_path):
+    root = tmp_path / "catalogs"
+    root.mkdir()
+
+    def dump(name, *objects):
+        lines = [json.dumps(dict(zip(("type", "table_name", "ddl"), o))) for o in objects]
+        (root / f"{name}.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+    dump(
+        "harbour",
+        ("table", "ships", "CREATE TABLE ships (hull TEXT, tons REAL)"),
+        ("table", "berths", " CREATE TABLE berths (no INT);"),
+        ("index", "ships_by_tons", "CREATE INDEX ships_by_tons ON ships(tons)"),
+        ("view", "heavy", "CREATE VIEW heavy AS SELECT 1"),
+    )
+    dump(
+        "counters",
+        ("table", "sqlite_sequence", "CREATE TABLE sqlite_sequence(name, seq)"),
+        ("table", "c", "CREATE TABLE c (k INTEGER PRIMARY KEY AUTOINCREMENT)"),
+    )
+    dump("bare", ("index", "nothing", None))
+    (root / "torn.json").write_text("no json at all\n", encoding="utf-8")
     return str(root)
 
 
-def test_catalog_and_schema_texts(spark, databases, rows):
-    catalog = C.read_catalog(spark, databases)
-    texts = dict(rows(C.schema_texts(catalog)))
-    assert texts == {
-        "shop": "CREATE TABLE customers (id INTEGER PRIMARY KEY, name TEXT);\n\n"
-        "CREATE TABLE orders (id INTEGER PRIMARY KEY, customer TEXT);",
-        "auto": "CREATE TABLE t (id INTEGER PRIMARY KEY AUTOINCREMENT);",
+def test_catalog_and_schema_texts(spark, dumps, rows):
+    catalog = C.read_catalog(spark, dumps)
+    assert dict(rows(C.schema_texts(catalog))) == {
+        "harbour": "CREATE TABLE berths (no INT);\n\nCREATE TABLE ships (hull TEXT, tons REAL);",
+        "counters": "CREATE TABLE c (k INTEGER PRIMARY KEY AUTOINCREMENT);",
     }
-    assert rows(catalog.where("db_id = 'broken'")) == [("broken", None, None, None)]
-    assert C.schema_text(catalog, "auto").count() == 1
+    assert rows(catalog.where("db_id = 'torn'")) == [("torn", None, None, None)]
+    assert C.schema_text(catalog, "counters").count() == 1
     with pytest.raises(ValueError):
-        C.schema_text(catalog, "empty")
+        C.schema_text(catalog, "bare")
 
 
 def test_internal_names(spark, rows):
@@ -83,25 +82,25 @@ def test_raw_split_order_keys_and_missing_file(spark, tmp_path, caplog, rows):
     assert E.read_raw_split(spark, [str(tmp_path / "missing.json")]).count() == 0
 
 
-def test_prepare(spark, databases, tmp_path, rows):
-    names = ["shop", "gone", "auto", "empty", "broken", "shop", "shop"]
+def test_prepare(spark, dumps, tmp_path, rows):
+    names = ["harbour", "gone", "counters", "bare", "torn", "harbour", "harbour"]
     path = write_array(tmp_path / "train.json", [
         {"db_id": name, "question": f" q{i} é", "query": f"SELECT {i}"}
         for i, name in enumerate(names)
     ])
     raw = E.read_raw_split(spark, [path, path])
     raw = raw.withColumn("split", F.when(F.col("file_no") == 0, "train").otherwise("dev"))
-    catalog = C.read_catalog(spark, databases)
+    catalog = C.read_catalog(spark, dumps)
     prepared = R.prepare_examples(raw, catalog, "/data")
     got = rows(prepared.orderBy("split", "id").select("split", "id", "question", "db_path"))
-    expected = [(0, 0, "shop"), (1, 2, "auto"), (2, 5, "shop"), (3, 6, "shop")]
+    expected = [(0, 0, "harbour"), (1, 2, "counters"), (2, 5, "harbour"), (3, 6, "harbour")]
     assert got == [
         (split, i, f" q{n} é", f"/data/database/{db}/{db}.sqlite")
         for split in ("dev", "train") for i, n, db in expected
     ]
     turns = prepared.where("split = 'train' AND id = 0").first().messages
     assert turns[0].content == SYSTEM_PROMPT
-    assert turns[1].content.startswith("Database schema:\nCREATE TABLE customers")
+    assert turns[1].content.startswith("Database schema:\nCREATE TABLE berths")
     assert turns[1].content.endswith("Question: q0 é\n\nSQL:")
     counts = {tuple(r[:2]): r[2] for r in rows(R.skip_counts(raw, catalog))}
     assert counts == {
