@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
@@ -74,20 +76,39 @@ _CALL_ARROW = pa.struct(
 )
 
 
-def _record(call: Call, conversation: Messages) -> dict:
-    began = datetime.now(timezone.utc)
-    clock = time.perf_counter()
+@dataclass
+class _Record:
+    """One call, in the order of the record's fields (fixed values: their names)."""
+
+    ok: bool = False
+    latency: float = 0.0
+    out_tokens: int | None = None
+    prompt_tokens: int | None = None
+    error: str | None = None
+    start_ts: datetime | None = None
+    end_ts: datetime | None = None
+
+
+@contextmanager
+def _timed() -> Iterator[_Record]:
+    """A record that knows when it began and ended, and what went wrong in between."""
+    record = _Record(start_ts=datetime.now(timezone.utc))
+    tick = time.perf_counter()
     try:
-        usage = call(conversation)
-        result = {
-            "ok": True,
-            "out_tokens": usage.get("completion_tokens", 0),
-            "prompt_tokens": usage.get("prompt_tokens", 0),
-        }
+        yield record
+        record.ok = True
     except Exception as error:  # noqa: BLE001 - any failure is a data point
-        result = {"ok": False, "error": str(error)}
-    seconds = time.perf_counter() - clock
-    return {**result, "latency": seconds, "start_ts": began, "end_ts": datetime.now(timezone.utc)}
+        record.error = str(error)
+    record.latency = time.perf_counter() - tick
+    record.end_ts = datetime.now(timezone.utc)
+
+
+def _record(call: Call, conversation: Messages) -> dict:
+    with _timed() as record:
+        usage = call(conversation)
+        counts = [usage.get(f"{name}_tokens", 0) for name in ("completion", "prompt")]
+        record.out_tokens, record.prompt_tokens = counts
+    return asdict(record)
 
 
 def timed_calls(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import log_bucket
 from .joins import join_null_safe
+from .ordering import number_rows
 
 # The columns of the summary table, in order.
 SUMMARY_COLUMNS = (
@@ -84,17 +85,19 @@ def flag_pareto(
 
 
 def summary_table(summary: DataFrame) -> DataFrame:
-    """Sorted by falling accuracy, a missing one as 0, then by name."""
-    return summary.orderBy(
-        F.coalesce("execution_accuracy", F.lit(0.0)).desc(), F.col("config")
-    )
+    """Sorted by falling accuracy, a missing one as 0, then by name, with the place as
+    ``rank`` from 0 (runs a job)."""
+    order = [F.coalesce("execution_accuracy", F.lit(0.0)).desc(), F.col("config")]
+    return number_rows(summary, order, name="rank").orderBy("rank")
 
 
 def frontier(flagged: DataFrame) -> DataFrame:
-    """The front by rising latency; empty when it has a single point."""
+    """The front by rising latency, with the place as ``rank`` from 0 (runs a job); empty
+    when it has a single point."""
     front = flagged.where("pareto")
     points = front.agg(F.count("*")).scalar()
-    return front.where(points > 1).orderBy("p99_ms", "config")
+    ranked = number_rows(front.where(points > 1), ["p99_ms", "config"], name="rank")
+    return ranked.orderBy("rank")
 
 
 def baseline_delta(summary: DataFrame, baseline: str, max_loss_pp: float = 2.0) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.prompts import ChatTemplate
 from ..functions.text import WHITESPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# A plain way to write down a conversation, for the queries.
+TEMPLATE = ChatTemplate(
+    turn=lambda role, content: F.concat(F.lit("["), role, F.lit("] "), content),
+    separator="\n",
+    generation_prompt="\n[assistant]",
+)
+
+
+def sql_turns(*turns: tuple[str, str]) -> str:
+    """The same in SQL: turns of a role and a text given as SQL."""
+    return " || chr(10) || ".join(f"'[{role}] ' || {text}" for role, text in turns)
+
+
+SQL_ASK = " || chr(10) || '[assistant]'"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,6 +11,8 @@ from ..operators import compare as C
 from ..operators import score as S
 from ..operators.ordering import number_rows
 from ..plans.runner import execution_match
+from ..session import new_path
+from ..sources.reports import write_json_lines
 from .base import query, sql_round, table
 
 # A predicted result that differs from the gold one in rare line items.
@@ -137,9 +139,9 @@ _EXAMPLES = """
   o_orderpriority AS config,
   CASE o_orderstatus WHEN 'F' THEN 'SELECT l FROM t Order By n' ELSE 'SELECT l FROM t' END AS gold_sql,
   CASE WHEN o_totalprice < 20000 THEN '  ' ELSE 'SELECT l' END AS pred_sql,
-  CASE WHEN o_totalprice > 480000 THEN 'error' WHEN o_totalprice > 470000 THEN 'timeout' ELSE 'ok' END AS gold_outcome,
+  CASE WHEN o_totalprice > 480000 THEN 'error' WHEN o_totalprice > 470000 THEN 'timeout' WHEN o_totalprice > 440000 THEN NULL ELSE 'ok' END AS gold_outcome,
   CASE WHEN o_totalprice > 480000 THEN 'no such table: x' WHEN o_totalprice > 470000 THEN 'query exceeded 30.0s' END AS gold_message,
-  CASE WHEN o_totalprice < 100000 THEN 'ok' WHEN o_totalprice < 110000 THEN 'timeout' WHEN o_totalprice < 130000 THEN 'error' ELSE 'ok' END AS pred_outcome,
+  CASE WHEN o_totalprice < 100000 THEN 'ok' WHEN o_totalprice < 110000 THEN 'timeout' WHEN o_totalprice < 130000 THEN 'error' WHEN o_totalprice < 140000 THEN NULL ELSE 'ok' END AS pred_outcome,
   CASE WHEN o_totalprice < 100000 THEN NULL WHEN o_totalprice < 130000 THEN 'no such column: y' END AS pred_message
 """
 _PRED_QUANTITY = "CASE WHEN l_tax = 0.08 AND l_discount = 0.1 THEN l_quantity + 0.5 ELSE l_quantity END"
@@ -165,8 +167,10 @@ compared AS (
 ),
 judged AS (
   SELECT id, config,
-    CASE WHEN gold_outcome <> 'ok' THEN 'gold_error: ' || gold_message
+    CASE WHEN gold_outcome IS NULL THEN 'gold_error: not executed'
+         WHEN gold_outcome <> 'ok' THEN 'gold_error: ' || gold_message
          WHEN trim(pred_sql) = '' THEN 'pred_error: empty'
+         WHEN pred_outcome IS NULL THEN 'pred_error: not executed'
          WHEN pred_outcome = 'timeout' THEN 'pred_timeout'
          WHEN pred_outcome = 'error' THEN 'pred_error: ' || pred_message
          WHEN coalesce(equal, true) THEN 'match' ELSE 'mismatch' END AS status,
@@ -198,7 +202,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ]
             )
         ),
-    )
+    ).where("outcome IS NOT NULL")
     flags = examples.select("id", "config", order_matters(F.col("gold_sql")).alias("ordered"))
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax"
@@ -230,6 +234,21 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH {_SCORED_SQL}
+SELECT id, config AS db_id, gold_sql, pred_sql, status = 'match' AS correct, status
+FROM judged JOIN (SELECT id, gold_sql, pred_sql FROM examples) USING (id)
+""")
+def predictions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged predictions written as JSON lines and read back with declared types."""
+    path = new_path(spark, "predictions")
+    judged = _scored(spark, sf_dir).withColumnRenamed("config", "db_id")
+    columns = ["id", "db_id", "gold_sql", "pred_sql", "correct", "status"]
+    write_json_lines(judged.select(*columns), path)
+    schema = judged.select(*columns).schema
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 @query(f"""
 WITH {_SCORED_SQL},
 totals AS (
@@ -286,8 +305,13 @@ PAIRS = [
     ("SELECT count(*) FROM orders", " "),
     ("SELECT no_such_column FROM orders", "SELECT count(*) FROM orders"),
     ("SELECT count(*) FROM orders", "INSERT INTO region VALUES (9, 'X')"),
+    (
+        "SELECT count(*) FROM orders",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    ),
+    ("SELECT count(*) FROM orders", "SELECT count(*) FROM text.`/etc/hostname`"),
 ]
-_FAILED = {5: "pred_error", 6: "pred_error", 7: "gold_error", 8: "pred_error"}
+_FAILED = {i: "gold_error" if i == 7 else "pred_error" for i in range(5, len(PAIRS))}
 
 
 def _pair_sql(number: int) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,18 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import (
-    MESSAGES_TYPE, PLAIN_TEMPLATE, SYSTEM_PROMPT, append_answer, build_messages,
+    MESSAGES_TYPE, SYSTEM_PROMPT, append_answer, build_messages,
     messages_or_default, parse_response, request_body, user_prompt,
 )
 from ..functions.text import extract_sql
 from ..operators.inference import attach_completions
 from ..plans.prepare import prepare_examples as prepare
 from ..plans.prepare import skip_counts
+from ..operators.ordering import number_rows
 from ..session import new_path
-from ..sources.catalog import catalog_from_images, schema_texts
+from ..sources.catalog import read_catalog, schema_texts
 from ..sources.examples import read_examples, read_raw_split
 from ..sources.reports import write_json_lines
-from .base import query, sql_strip, sql_text, table
+from .base import SQL_ASK, TEMPLATE, query, sql_strip, sql_text, sql_turns, table
 
 _SYSTEM = sql_text(SYSTEM_PROMPT)
 
@@ -142,26 +142,6 @@ def _split_columns(columns: str) -> list[str]:
     return [line.strip().rstrip(",") for line in columns.strip().splitlines()]
 
 
-def _image(name: str, nation: int) -> bytes:
-    connection = sqlite3.connect(":memory:")
-    connection.execute(f"CREATE TABLE stock_{nation} (id INTEGER PRIMARY KEY AUTOINCREMENT)")
-    connection.execute(f'CREATE TABLE accounts (n INT, "{name}" TEXT)')
-    connection.execute("CREATE INDEX by_n ON accounts(n)")
-    image = connection.serialize()
-    connection.close()
-    return image
-
-
-def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.column("s_name").to_pylist()
-        nations = batch.column("s_nationkey").to_pylist()
-        contents = [_image(*pair) for pair in zip(names, nations, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("s_name"), pa.array(contents, pa.binary())], names=["db_id", "content"]
-        )
-
-
 @query("""
 SELECT s_name AS db_id,
   'CREATE TABLE accounts (n INT, "' || s_name || '" TEXT);' || chr(10) || chr(10)
@@ -169,10 +149,24 @@ SELECT s_name AS db_id,
 FROM supplier
 """)
 def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema texts read out of database files, one file per supplier."""
-    suppliers = table(spark, sf_dir, "supplier").select("s_name", "s_nationkey")
-    images = suppliers.mapInArrow(_images, "db_id string, content binary")
-    return schema_texts(catalog_from_images(images))
+    """Schema texts read out of schema dumps, one folder of JSON lines per supplier."""
+    suppliers = table(spark, sf_dir, "supplier").selectExpr(
+        "s_name AS db",
+        "'CREATE TABLE stock_' || s_nationkey || ' (id INTEGER PRIMARY KEY AUTOINCREMENT)' AS stock",
+        """'CREATE TABLE accounts (n INT, "' || s_name || '" TEXT)' AS accounts""",
+        "'stock_' || s_nationkey AS stock_name",
+    )
+    objects = suppliers.selectExpr(
+        "db",
+        "stack(4, 'table', stock_name, stock, 'table', 'accounts', accounts,"
+        " 'table', 'sqlite_sequence', 'CREATE TABLE sqlite_sequence(name,seq)',"
+        " 'index', 'by_n', 'CREATE INDEX by_n ON accounts(n)') AS (type, table_name, ddl)",
+    )
+    path = new_path(spark, "catalogs")
+    objects.repartition("db").write.partitionBy("db").json(path)
+    dumps = read_catalog(spark, f"{path}/*")
+    named = dumps.withColumn("db_id", F.url_decode(F.regexp_replace("db_id", "^db=", "")))
+    return schema_texts(named)
 
 
 _RAW_ROWS = """
@@ -271,10 +265,11 @@ def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @query("""
 SELECT CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 2 ELSE 3 END AS file_no,
+  row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS pos,
   'db_' || conv_id AS db_id, text AS question,
   CASE role WHEN 'user' THEN 'SELECT ' || turn WHEN 'assistant' THEN 'VALUES ' || turn
        WHEN 'system' THEN NULL ELSE '' END AS gold_sql
-FROM conversations
+FROM conversations WHERE role IN ('user', 'assistant', 'system')
 """)
 def raw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON array files of three kinds, a missing one among them, read as one split."""
@@ -291,13 +286,18 @@ def raw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = []
     for role, fields in kinds.items():
         path = new_path(spark, "split")
-        texts = chat.where(F.col("role") == role).select(
-            F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")
+        texts = (
+            chat.where(F.col("role") == role)
+            .repartition(1)  # a JSON array is one file
+            .sortWithinPartitions("conv_id", "turn")
+            .select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
         )
         texts.mapInArrow(_array_lines, "value string").write.text(path)
         paths.append(path)
     listed = [paths[0], new_path(spark, "missing"), paths[1], paths[2]]
-    return read_raw_split(spark, listed).select("file_no", "db_id", "question", "gold_sql")
+    split = read_raw_split(spark, listed)
+    placed = split.select("file_no", F.col("pos").alias("_at"), "db_id", "question", "gold_sql")
+    return number_rows(placed, ["_at"], ["file_no"], "pos").drop("_at")
 
 
 @query(f"""
@@ -327,6 +327,21 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT id, question FROM (
+  SELECT doc_id AS id, text AS question, row_number() OVER (ORDER BY doc_id) AS r FROM documents
+) WHERE r <= 150
+""")
+def json_lines_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 150 examples of several files of JSON lines, the later files not read."""
+    path = new_path(spark, "examples")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("question")
+    )
+    write_json_lines(docs.repartitionByRange(8, "id").sortWithinPartitions("id"), path)
+    return read_examples(spark, path, limit=150).select("id", "question")
+
+
 def _chat_messages() -> Column:
     schema = F.concat(F.lit("CREATE TABLE c_"), F.col("conv_id").cast("string"))
     return build_messages(schema, F.col("text"))
@@ -337,8 +352,8 @@ _CHAT_PROMPT = sql_prompt("'CREATE TABLE c_' || conv_id", "text")
 
 @query(f"""
 SELECT conv_id, turn,
-  'system:' || {_SYSTEM} || ' | user:' || {_CHAT_PROMPT} || ' <gen>' AS prompt_text,
-  'system:' || {_SYSTEM} || ' | user:' || {_CHAT_PROMPT} || ' | assistant:SELECT ' || turn AS full_text
+  {sql_turns(("system", _SYSTEM), ("user", _CHAT_PROMPT)) + SQL_ASK} AS prompt_text,
+  {sql_turns(("system", _SYSTEM), ("user", _CHAT_PROMPT), ("assistant", "'SELECT '"))} || turn AS full_text
 FROM conversations
 """)
 def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,8 +362,8 @@ def render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = table(spark, sf_dir, "conversations").withColumn("messages", _chat_messages())
     return chat.select(
         "conv_id", "turn",
-        PLAIN_TEMPLATE.render(F.col("messages"), True).alias("prompt_text"),
-        PLAIN_TEMPLATE.render(append_answer(F.col("messages"), answer), False).alias("full_text"),
+        TEMPLATE.render(F.col("messages"), True).alias("prompt_text"),
+        TEMPLATE.render(append_answer(F.col("messages"), answer), False).alias("full_text"),
     )
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import latency as L
 from ..operators import pareto as P
 from ..operators import score as S
+from ..operators.ordering import number_rows
 from ..plans.summary import summarise
-from ..session import new_path
+from ..session import materialise, new_path
 from ..sources import reports as R
 from .base import query, sql_round, table
 from .latency import LOG_SQL, request_log, samples, sql_report
@@ -64,7 +65,12 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.join_reports(*_reports(spark, sf_dir))
 
 
-@query(f"WITH {_SUMMARY_SQL} SELECT * FROM summary")
+_BY_ACCURACY = (
+    "row_number() OVER (ORDER BY coalesce(execution_accuracy, 0) DESC, config) - 1 AS rank"
+)
+
+
+@query(f"WITH {_SUMMARY_SQL} SELECT *, {_BY_ACCURACY} FROM summary")
 def config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reports side by side with the Pareto flag, best accuracy first."""
     return P.summary_table(summarise(_summary(spark, sf_dir)))
@@ -72,13 +78,15 @@ def config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SUMMARY_SQL}
-SELECT config, p99_ms, execution_accuracy FROM summary
+SELECT config, p99_ms, execution_accuracy,
+  row_number() OVER (ORDER BY p99_ms, config) - 1 AS rank
+FROM summary
 WHERE pareto AND (SELECT count(*) FROM summary WHERE pareto) > 1
 """)
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Pareto front by rising latency."""
     front = P.frontier(summarise(_summary(spark, sf_dir)))
-    return front.select("config", "p99_ms", "execution_accuracy")
+    return front.select("config", "p99_ms", "execution_accuracy", "rank")
 
 
 _DELTA_SQL = """
@@ -165,13 +173,35 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_SUMMARY_SQL} SELECT * FROM summary")
+@query(f"""
+WITH {_SUMMARY_SQL}
+SELECT *, row_number() OVER (ORDER BY config) - 1 AS rank FROM summary
+""")
 def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary written as CSV and read back."""
+    """The summary written as CSV by configuration and read back, with the place of each."""
     path = new_path(spark, "summary")
-    R.write_summary(summarise(_summary(spark, sf_dir)), path)
+    ranked = number_rows(summarise(_summary(spark, sf_dir)), ["config"], name="rank")
+    R.write_summary(ranked, path)
     schema = (
         "config string, execution_accuracy double, p50_ms double, p95_ms double, p99_ms double, "
-        "req_per_sec double, tok_per_sec double, peak_gpu_mib bigint, pareto boolean"
+        "req_per_sec double, tok_per_sec double, peak_gpu_mib bigint, pareto boolean, rank bigint"
     )
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+_FEW = "config IN (SELECT config FROM joined ORDER BY config LIMIT 12)"
+
+
+@query(f"""
+WITH {_SUMMARY_SQL}
+SELECT * EXCLUDE (pareto) FROM summary WHERE {_FEW}
+""")
+def results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a dozen configurations written as a results tree and read back."""
+    accuracy, latency = (materialise(report) for report in _reports(spark, sf_dir))
+    both = accuracy.select("config").union(latency.select("config")).distinct()
+    few = materialise(both.orderBy("config").limit(12), "few")
+    root = new_path(spark, "tree")
+    R.write_results_tree(accuracy.join(few, "config", "left_semi"), root, "metrics.json")
+    R.write_results_tree(latency.join(few, "config", "left_semi"), root, "latency.json")
+    return R.read_results_tree(spark, root)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prompts import MESSAGES_TYPE, PLAIN_TEMPLATE, SYSTEM_PROMPT, build_messages
+from ..functions.prompts import MESSAGES_TYPE, SYSTEM_PROMPT, build_messages
 from ..functions.text import extract_sql
 from ..operators import inference as I
 from ..operators import sampling as A
 from ..operators import sequences as Q
 from ..operators.ordering import batch_numbers
-from .base import query, sql_text, table
+from .base import SQL_ASK, TEMPLATE, query, sql_text, sql_turns, table
 from .prompts import sql_prompt
 
 _SYSTEM = sql_text(SYSTEM_PROMPT)
@@ -46,9 +46,8 @@ def sql_tokens(expression: str) -> str:
 
 
 _DOC_TEXT = (
-    f"'system:' || {_SYSTEM} || ' | user:' || "
-    + sql_prompt("'CREATE TABLE ' || source", "text")
-    + " || ' <gen>'"
+    sql_turns(("system", _SYSTEM), ("user", sql_prompt("'CREATE TABLE ' || source", "text")))
+    + SQL_ASK
 )
 _SAMPLED_SQL = f"""
 sampled AS (
@@ -65,7 +64,7 @@ def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("CREATE TABLE "), F.col("source")).alias("schema"),
         F.col("text").alias("question"),
     )
-    return A.calibration_texts(examples, PLAIN_TEMPLATE, n_samples=256, seed=7)
+    return A.calibration_texts(examples, TEMPLATE, n_samples=256, seed=7)
 
 
 @query(f"WITH {_SAMPLED_SQL} SELECT id, text FROM sampled")
@@ -76,12 +75,12 @@ def calibration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_SAMPLED_SQL},
-ids AS (SELECT id, list_slice({sql_tokens('text')}, 1, 512) AS ids FROM sampled)
+ids AS (SELECT id, list_slice({sql_tokens('text')}, 1, 2048) AS ids FROM sampled)
 SELECT id, len(ids) AS n_ids, list_sum(ids)::BIGINT AS sum_ids, len(ids) AS sum_mask FROM ids
 """)
 def calibration_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of those prompts, cut to 512."""
-    ids = Q.calibration_ids(_calibration(spark, sf_dir), word_lengths, 512)
+    """Token ids of those prompts, at the default length."""
+    ids = Q.calibration_ids(_calibration(spark, sf_dir), word_lengths)
     return ids.select(
         "id",
         F.size("input_ids").alias("n_ids"),
@@ -96,14 +95,14 @@ def _sum(ids: str) -> Column:
 
 # Turns as training examples: the text is the question, the turn gives the answer.
 _TURN_ID = "conv_id * 1000 + turn"
-_TURN_PROMPT = (
-    f"'system:' || {_SYSTEM} || ' | user:' || " + sql_prompt("'CREATE TABLE c_' || conv_id", "text")
+_TURN_PROMPT = sql_turns(
+    ("system", _SYSTEM), ("user", sql_prompt("'CREATE TABLE c_' || conv_id", "text"))
 )
-_MAX_LEN = 120
+_MAX_LEN = 1024
 _ENCODED_SQL = f"""
 texts AS (
-  SELECT {_TURN_ID} AS id, {sql_tokens(f"{_TURN_PROMPT} || ' <gen>'")} AS prompt,
-    {sql_tokens(f"{_TURN_PROMPT} || ' | assistant:SELECT a, b FROM c_' || conv_id || ' WHERE turn = ' || turn")} AS full_ids
+  SELECT {_TURN_ID} AS id, {sql_tokens(_TURN_PROMPT + SQL_ASK)} AS prompt,
+    {sql_tokens(f"{_TURN_PROMPT} || chr(10) || '[assistant] SELECT a, b FROM c_' || conv_id || ' WHERE turn = ' || turn")} AS full_ids
   FROM conversations
 ),
 encoded AS (
@@ -139,7 +138,7 @@ FROM encoded
 """)
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training sequences in which only the answer is supervised."""
-    encoded = Q.encode_examples(_turns(spark, sf_dir), word_lengths, PLAIN_TEMPLATE, _MAX_LEN)
+    encoded = Q.encode_examples(_turns(spark, sf_dir), word_lengths, TEMPLATE, _MAX_LEN)
     return encoded.select(
         "id",
         F.size("input_ids").alias("n_ids"),
@@ -161,7 +160,7 @@ FROM sized
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of eight in id order, padded on the right."""
     encoded = Q.encode_examples(
-        _turns(spark, sf_dir, 8), word_lengths, PLAIN_TEMPLATE, _MAX_LEN, ["id", "batch_id"]
+        _turns(spark, sf_dir, 8), word_lengths, TEMPLATE, _MAX_LEN, ["id", "batch_id"]
     )
     padded = Q.pad_batches(encoded, -1)
     return padded.select(
@@ -176,7 +175,7 @@ def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_ENCODED_SQL},
-cut AS (SELECT id, list_slice(prompt, 1, 100) AS ids FROM texts),
+cut AS (SELECT id, list_slice(prompt, 1, 2048) AS ids FROM texts),
 batched AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 16 AS batch_id FROM cut),
 sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM batched)
 SELECT id, batch_id, width, width - len(ids) AS n_pad, list_sum(ids)::BIGINT - (width - len(ids)) AS sum_ids,
@@ -184,13 +183,13 @@ SELECT id, batch_id, width, width - len(ids) AS n_pad, list_sum(ids)::BIGINT - (
 FROM sized
 """)
 def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts cut to 100 tokens and padded on the left; the prompt stripped from the output."""
+    """Prompts of the default length padded on the left; the prompt stripped from the output."""
     prompts = _turns(spark, sf_dir, 16).select(
         "id",
         "batch_id",
-        word_lengths(PLAIN_TEMPLATE.render(F.col("messages"), True)).alias("input_ids"),
+        word_lengths(TEMPLATE.render(F.col("messages"), True)).alias("input_ids"),
     )
-    padded = Q.prompt_batches(prompts, -1, 100)
+    padded = Q.prompt_batches(prompts, -1)
     answer = F.array(F.col("id").cast("int"), (F.col("id") + 1).cast("int"))
     generated = Q.strip_prompt(F.concat("input_ids", answer), F.size("input_ids"))
     return padded.withColumn("generated", generated).select(

@@ -78,7 +78,8 @@ def test_baseline_and_best(spark):
 
 def test_table_order(spark):
     table = P.summary_table(summarise(full(spark)))
-    assert table.columns == list(P.SUMMARY_COLUMNS)
+    assert table.columns == [*P.SUMMARY_COLUMNS, "rank"]
+    assert [r["rank"] for r in table.collect()] == [0, 1, 2, 3]
     assert [r.config for r in table.collect()] == ["base", "fast", "weak", "unscored"]
 
 

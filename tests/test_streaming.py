@@ -48,3 +48,29 @@ def test_closed_windows_are_reported_exactly(spark, tmp_path):
         assert row.latency_ms == expected.latency_ms
         assert row.throughput == expected.throughput
         assert row.output_tokens_total == expected.output_tokens_total
+
+
+def test_buckets_and_clean_up(spark, tmp_path, monkeypatch):
+    source, out, shared = tmp_path / "log", str(tmp_path / "out"), tmp_path / "shared"
+    monkeypatch.setattr("sqlgauge.session.shared_dir", lambda session: str(shared))
+    schema = spark.createDataFrame([], LOG).schema
+    for hour in range(5):
+        part = batch(60 * hour, 100)
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        query = start_window_reports(
+            stream, out, str(tmp_path / "ckpt"), "1 hour", "1 minute", exact=False,
+            availableNow=True,
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+        made = shared / "sqlgauge"
+        assert not made.exists() or not [p for p in made.iterdir() if p.is_dir()]
+    reports = spark.read.parquet(out).orderBy("window_start").collect()
+    assert len(reports) == 4
+    expected = latency_report(spark.createDataFrame(batch(0, 100), LOG)).first()
+    first = reports[0]
+    assert (first.num_requests, first.failed) == (expected.num_requests, expected.failed)
+    assert first.latency_ms.mean == expected.latency_ms.mean
+    for name in ("p50", "p95", "p99"):
+        assert abs(first.latency_ms[name] - expected.latency_ms[name]) <= 0.1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions import prompts as P
 from sqlgauge.functions import text as X
+from sqlgauge.registry.base import TEMPLATE
 from sqlgauge.registry.prompts import sql_extraction
 
 CASES = [
@@ -117,10 +118,10 @@ def test_render_and_append(spark):
     df = spark.createDataFrame([([("system", "S"), ("user", "Q1")],)], f"m {P.MESSAGES_TYPE}")
     whole = P.append_answer(F.col("m"), F.lit("SELECT 1"))
     got = df.select(
-        P.PLAIN_TEMPLATE.render(F.col("m"), True), P.PLAIN_TEMPLATE.render(whole, False)
+        TEMPLATE.render(F.col("m"), True), TEMPLATE.render(whole, False)
     ).first()
     assert tuple(got) == (
-        "system:S | user:Q1 <gen>", "system:S | user:Q1 | assistant:SELECT 1"
+        "[system] S\n[user] Q1\n[assistant]", "[system] S\n[user] Q1\n[assistant] SELECT 1"
     )
 
 
