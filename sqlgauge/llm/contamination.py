@@ -16,8 +16,10 @@ from .common import MATCH_COLUMNS, match_columns, text_key, texts, with_match
 from .words import _POWERS, BY_PUNCTUATION, column_bytes, mix, pieces, words
 
 SEED_WORDS = 3
-# The rarest n-grams of an item that serve as its seeds.
-SEEDS = 16
+# An n-gram of an item is a seed if it occurs at most so many times as often as the rarer
+# ones of that item, or so often at all.
+OFTEN = 4
+FEW = 32
 # Words of benchmark items that one block holds, and so what a task is sent at once.
 BLOCK_WORDS = 500_000
 # Alignment: a word in common, another word instead, a word left out.
@@ -233,11 +235,27 @@ def _match_task(block_of, similarity: float):
     return run
 
 
+def rare_grams(item: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which n-grams are seeds, from the item and the corpus count of each.
+
+    N-grams that never occur cannot be seeds. The others count as rare next to the lower
+    quartile of their item, so that an item copied into a third of all documents keeps its
+    seeds, and so do the parts of an item that edits in some copies have not touched.
+    """
+    seeds = np.zeros(len(item), dtype=bool)
+    cuts = np.flatnonzero(np.diff(item)) + 1
+    for places in np.split(np.arange(len(item)), cuts):
+        counts = often[places]
+        if (counts > 0).any():
+            limit = max(FEW, OFTEN * np.quantile(counts[counts > 0], 0.25))
+            seeds[places] = (counts > 0) & (counts <= limit)
+    return seeds
+
+
 def _blocks(spark: SparkSession, items: DataFrame, docs: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of about ``BLOCK_WORDS`` words, each with its seeds.
 
-    An item's seeds are its n-grams that occur least in the training texts. They are
-    ranked within the item, so an item copied into a third of all documents has seeds too.
+    An item's seeds are its n-grams that are rare in the training texts.
     """
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_WORDS) if total else 0
@@ -267,9 +285,7 @@ def _blocks(spark: SparkSession, items: DataFrame, docs: DataFrame) -> Iterator[
         times[np.searchsorted(lookup.value.hashes, seen)] = counted.column("n").to_numpy()
         lookup.unpersist()
         often = times[np.searchsorted(lookup.value.hashes, gram)]
-        order = np.lexsort((offset, often, item))
-        rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-        chosen = order[rank < SEEDS]
+        chosen = np.flatnonzero(rare_grams(item, often))
         by_gram = chosen[np.argsort(gram[chosen], kind="stable")]
         seeds = Lookup(gram[by_gram])
         starts = np.searchsorted(gram[by_gram], seeds.hashes)
@@ -295,7 +311,8 @@ def find_leaks(
     """Which benchmark items each document holds, whole or edited.
 
     Words are runs of letters and digits in lower case. The n-grams of three words that
-    are rarest in the training texts, sixteen per item, are its seeds. Where a document
+    are rare in the training texts, next to the others of an item, are its seeds. Where a
+    document
     holds a seed, the stretch around it is aligned with the item by Smith-Waterman (a
     common word +1, another word or a gap -1). An item is found when the score reaches
     ``similarity`` of its words and eight words, or all of a shorter item. The benchmark
