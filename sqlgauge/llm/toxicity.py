@@ -134,13 +134,14 @@ def token_labels(
     A form counts when the share of toxic documents among those that hold it is above
     ``share`` beyond doubt (lower Wilson bound, 2.5 standard errors) and it was seen
     between at least ``least`` different pairs of neighbours there, so that copies of one
-    text do not count as evidence. A word counts when one of its forms does.
+    text do not count as evidence. Of a word's forms the most specific one that is beyond
+    doubt, on either side, decides.
     """
     doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
     in_toxic = toxic[doc] > 0
     around = np.roll(forms[:, 0], 1) * np.uint32(31) + np.roll(forms[:, 0], -1)
     label = np.zeros(len(forms), dtype=bool)
-    for form in forms.T:
+    for form in [*forms.T[1:], forms.T[0]]:
         # Only forms of toxic documents can be evidence.
         known = np.unique(form[in_toxic])
         at = np.minimum(np.searchsorted(known, form), len(known) - 1)
@@ -151,7 +152,8 @@ def token_labels(
         bad = np.bincount(pair // len(of), toxic[pair % len(of)], minlength=len(known))
         n, z2 = np.maximum(held, 1), 6.25
         p = bad / n
-        low = (p + z2 / (2 * n) - np.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n**2)))) / (1 + z2 / n)
+        width = np.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n**2)))
+        low, high = ((p + z2 / (2 * n) + side * width) / (1 + z2 / n) for side in (-1, 1))
         mine = some[in_toxic[some]]
         order = np.lexsort((around[mine], at[mine]))
         a, b = at[mine][order], around[mine][order]
@@ -159,61 +161,36 @@ def token_labels(
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         seen = np.bincount(a[fresh], minlength=len(known))
         good = (low > share) & (seen >= least)
-        label[some] |= good[at_some]
+        label[some[good[at_some]]] = True
+        label[some[(high < share)[at_some]]] = False
     return (label & in_toxic).astype(float)
 
 
-def _stretches(
-    labels: np.ndarray, of: np.ndarray, most: int, random: np.random.Generator
-) -> np.ndarray:
-    """Bounds of the stretches to train on: all with a toxic token first, then others."""
-    starts = np.concatenate(
-        [np.arange(a, b, STRETCH) for a, b in zip(of[:-1], of[1:], strict=True)] or [[]]
-    ).astype(np.int64)
-    limit = np.repeat(of[1:], -(-np.diff(of) // STRETCH))
-    ends = np.minimum(starts + STRETCH, limit)
-    total = np.concatenate([[0.0], np.cumsum(labels)])
-    toxic = total[ends] > total[starts]
-    rank = np.lexsort((random.random(len(starts)), ~toxic))[:most]
-    return np.stack([starts[rank], ends[rank]])
-
+def _stretches(of: np.ndarray) -> np.ndarray:
+    """First and last-but-one token of every stretch."""
+    counts = -(-np.diff(of) // STRETCH)
+    first = np.repeat(of[:-1], counts)
+    number = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = first + number * STRETCH
+    return np.stack([starts, np.minimum(starts + STRETCH, np.repeat(of[1:], counts))])
 
-def fit_field(
-    forms: np.ndarray,
-    of: np.ndarray,
-    toxic: np.ndarray,
-    rounds: int = 60,
-    most_stretches: int = 5000,
-    seed: int = 5,
-) -> Field:
-    """Fit the field to labelled tokens by gradient ascent, then the document score.
 
-    Without documents of both labels every score is the share of toxic ones.
-    """
-    base = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
-    field = Field(
-        np.zeros(TEMPLATES * BUCKETS), -4.0, np.zeros((2, 2)), np.array([np.log(base / (1 - base)), 0, 0])
-    )
-    if not len(forms) or not 0 < toxic.sum() < len(toxic):
-        return field
-    found = features(forms, of)
-    labels = token_labels(forms, of, toxic)
-    bounds = _stretches(labels, of, most_stretches, np.random.default_rng(seed))
+def _climb(field: Field, found: np.ndarray, labels: np.ndarray, bounds: np.ndarray, rounds: int):
+    """Set the weights by gradient ascent on the likelihood of the stretches' labels."""
     sizes = bounds[1] - bounds[0]
     cut = np.concatenate([[0], np.cumsum(sizes)])
     at = np.arange(cut[-1]) + np.repeat(bounds[0] - cut[:-1], sizes)
-    found_s, y = found[at], labels[at]
+    y = labels[at]
     inner = np.ones(len(at), dtype=bool)
     inner[cut[1:] - 1] = False
     here = np.flatnonzero(inner)
-    used, compact = np.unique(found_s, return_inverse=True)
-    compact = compact.reshape(found_s.shape).astype(np.int32)
+    used, compact = np.unique(found[at], return_inverse=True)
+    compact = compact.reshape(len(at), TEMPLATES).astype(np.int32)
     weights, moves, bias = np.zeros(len(used)), np.zeros((2, 2)), -4.0
     m, v = (np.zeros(len(used) + 5) for _ in range(2))
-    pairs_seen = np.array(
-        [[((1 - y[here]) * (1 - y[here + 1])).sum(), ((1 - y[here]) * y[here + 1]).sum()],
-         [(y[here] * (1 - y[here + 1])).sum(), (y[here] * y[here + 1]).sum()]]
-    )
+    pairs_seen = np.bincount(
+        (2 * y[here] + y[here + 1]).astype(np.int64), minlength=4
+    ).reshape(2, 2)
     for turn in range(1, rounds + 1):
         field.bias, field.moves = bias, moves
         emission = _summed(weights, compact) + bias
@@ -230,7 +207,8 @@ def fit_field(
         joint /= joint.sum(axis=0)
         gradient = np.concatenate(
             [
-                np.bincount(compact.ravel(), np.repeat(gap, TEMPLATES), len(used)) - 0.02 * weights,
+                np.bincount(compact.ravel(), np.repeat(gap, TEMPLATES), len(used))
+                - 0.02 * weights,
                 [gap.sum()],
                 (pairs_seen - joint.sum(axis=1).reshape(2, 2)).ravel() - 0.02 * moves.ravel(),
             ]
@@ -241,9 +219,45 @@ def fit_field(
         weights += step[: len(used)]
         bias += step[len(used)]
         moves = np.clip(moves + step[len(used) + 1 :].reshape(2, 2) * 0.2, -4, 4)
+    field.weights = np.zeros(TEMPLATES * BUCKETS)
     field.weights[used], field.bias, field.moves = weights, float(bias), moves
-    summary = field.summary(field.marginals(field.emission(found), of), of)
-    field.scale = _logistic(summary, toxic, base)
+
+
+def fit_field(
+    forms: np.ndarray,
+    of: np.ndarray,
+    toxic: np.ndarray,
+    rounds: int = 60,
+    most_stretches: int = 5000,
+    seed: int = 5,
+) -> Field:
+    """Fit the field to labelled tokens, then the document score.
+
+    The first fit sees the stretches with toxic tokens and some others. Stretches in which
+    it is then mistaken join them for the second fit, so that words which only look like
+    toxic ones are learnt too. Without documents of both labels every score is the share
+    of toxic ones.
+    """
+    base = float(np.clip(toxic.mean() if len(toxic) else 0.0, 1e-3, 1 - 1e-3))
+    field = Field(
+        np.zeros(TEMPLATES * BUCKETS),
+        -4.0,
+        np.zeros((2, 2)),
+        np.array([np.log(base / (1 - base)), 0, 0]),
+    )
+    if not len(forms) or not 0 < toxic.sum() < len(toxic):
+        return field
+    found = features(forms, of)
+    labels = token_labels(forms, of, toxic)
+    bounds = _stretches(of)
+    chosen = np.add.reduceat(labels, bounds[0]) > 0
+    for _ in range(2):
+        lots = np.random.default_rng(seed).random(bounds.shape[1])
+        rank = np.lexsort((lots, ~chosen))[:most_stretches]
+        _climb(field, found, labels, bounds[:, rank], rounds)
+        marginal = field.marginals(field.emission(found), of)
+        chosen |= np.maximum.reduceat(np.abs(marginal - labels), bounds[0]) > 0.1
+    field.scale = _logistic(field.summary(marginal, of), toxic, base)
     field.weights = field.weights.astype(np.float32)
     return field
 
