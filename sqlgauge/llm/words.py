@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of text taken in one numpy pass.
-PASS_BYTES = 4_000_000
+# Bytes of text taken in one numpy pass, which needs some fifty times as much memory.
+PASS_BYTES = 1_000_000
 
 
 def _letter_values(separators: bytes) -> np.ndarray:
