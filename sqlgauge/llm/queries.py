@@ -170,6 +170,33 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM least LEFT JOIN counts USING (vec_id)
 """
 
+# The checksum is worked out byte by byte from its table of 256 values.
+_OP9 = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+    lambda x: CAST('0x' || x AS BIGINT)) AS b
+  FROM documents
+), sized AS (
+  SELECT doc_id, len(b) + 1 AS size,
+    xor(list_reduce(b, lambda crc, x: xor(crc >> 8, t[(xor(crc, x) & 255) + 1]),
+        CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM bytes, tab
+), summed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+    sum(size) OVER () AS total
+  FROM sized
+), cut AS (
+  SELECT *, CAST(least(7, (2 * before + size) * 8 // (2 * total)) AS INTEGER) AS shard FROM summed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
+
 _OP10 = """
 WITH lines AS (
   SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i,
@@ -202,5 +229,6 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 ORACLES: dict[str, str] = {
     "op1_minhash_tensored": _OP1,
     "op4_embedding_tiles": _OP4,
+    "op9_byte_shards": _OP9,
     "op10_line_winnowing": _OP10,
 }
