@@ -38,6 +38,8 @@ _SAMPLE = 64
 # Bytes of text that one Python pass turns into ids, and that one task writes.
 _PASS_BYTES = 6_000_000
 _TASK_BYTES = 48_000_000
+# Words whose ids a worker remembers, some 200 bytes each.
+_KNOWN_WORDS = 250_000
 
 
 # --- Elias-Fano -------------------------------------------------------------------
@@ -194,6 +196,10 @@ class WordwiseEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Each word is asked for once, so the library's cache would only be filled.
+        resize = getattr(self.tokenizer.model, "_resize_cache", None)
+        if resize is not None:
+            resize(0)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self._leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -201,6 +207,7 @@ class WordwiseEncoder:
             self._leads[number] = token.startswith("Ġ")
         added = self.tokenizer.get_added_tokens_decoder().values()
         self._special = [token.content for token in added]
+        self._known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -225,6 +232,25 @@ class WordwiseEncoder:
             sizes.append(sizes_)
         return ids, sizes
 
+    def _recalled(
+        self, words: list[str], often: np.ndarray
+    ) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same, with words that came more than once in a pass kept for the next ones."""
+        codes = [self._known.get(w) for w in words]
+        fresh = [i for i, code in enumerate(codes) if code is None]
+        ids, sizes = self._words([words[i] for i in fresh])
+        raw = b"".join(x.tobytes() for x in ids)
+        ends = (np.cumsum(np.concatenate(sizes)) * self.width).tolist() if sizes else []
+        start = 0
+        for i, end in zip(fresh, ends, strict=True):
+            codes[i] = raw[start:end]
+            start = end
+        for i in fresh:
+            if often[i] > 1 and len(self._known) < _KNOWN_WORDS:
+                self._known[words[i]] = codes[i]
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // self.width
+        return [np.frombuffer(b"".join(codes), f"<u{self.width}")], [lengths]
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Length of each text in ids, and all ids one after another."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -248,7 +274,8 @@ class WordwiseEncoder:
         used = np.zeros(len(words), dtype=bool)
         used[codes[~heads]] = True
         renumber = np.cumsum(used) - 1
-        ids, sizes = self._words(words.filter(pa.array(used)).to_pylist())
+        often = np.bincount(codes[~heads], minlength=len(words))[used]
+        ids, sizes = self._recalled(words.filter(pa.array(used)).to_pylist(), often)
         head_codes, head_at = np.unique(codes[heads], return_inverse=True)
         singles = self._whole(words.take(pa.array(head_codes)).to_pylist())
         singles += self._whole(texts.take(pa.array(whole)).to_pylist())
