@@ -118,20 +118,29 @@ def base_spans(text: Column, kind: str) -> Column:
 
 # --- candidates -------------------------------------------------------------------
 
+# Letters and digits of names, and spelt-out signs of addresses.
+_NAME = r"\p{L}\p{N}"
+_AT = r"\s?[\[({]\s?(?:at|@)\s?[\])}]\s?"
+_DOT = r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?"
+
 # High-recall generators. They overlap on purpose: the trees choose among their spans.
 GENERATORS = {
-    "email": r"[^\s@<>|,;()\[\]]{1,64}+(?:@|\s?[\[(](?:at|@)[\])]\s?)[^\s@<>|,;()\[\]]{2,255}+",
+    "email": rf"(?i)[{_NAME}._%+\-]{{1,64}}+(?:@|{_AT})[{_NAME}\-]{{1,63}}+(?:(?:\.|{_DOT})[{_NAME}\-]{{1,63}}+){{0,8}}",
     "ip": r"(?<![0-9.])[0-9]{1,4}+(?:[.][0-9]{1,4}+){2,5}",
-    "card": r"(?<![0-9])[0-9](?:[\x20\-]?[0-9]){11,22}+",
-    "phone": r"[+(]?[0-9](?:[\x20().\-]{0,2}+[0-9]){6,16}+",
+    "card": r"(?<![\p{L}0-9])(?:[0-9]{4}(?:(?:[./_]|[\x20\-]{2,3})[0-9]{3,6}){2,4}(?![0-9])|[0-9](?:[\x20\-]?[0-9]){11,22}+)",
+    "phone": r"(?:[+(]|(?<![\p{L}0-9+(]))[0-9](?:[\x20().\-]{0,2}+[0-9]){6,16}+",
 }
 _CONTEXT = 24
 _WORDS = {
-    "phone_word": r"(?i)(?:phone|tel|call|mobile|cell|fax)",
+    "phone_word": r"(?i)(?:phone|tel|call|mobile|cell|fax)[^0-9+(]{0,12}$",
     "mail_word": r"(?i)(?:mail|contact|write)",
     "card_word": r"(?i)(?:card|visa|credit|account|iban)",
     "ip_word": r"(?i)(?:\bip\b|host|address|server)",
+    "id_word": r"(?i)(?:\bv|version|release|build|isbn|serial|order|invoice|date|\bid|\bno)[.:#\x20]{0,3}$",
 }
+# Evidence beside the form of a span. Training shows every candidate with and without it,
+# so that a form is recognised where it is missing.
+_MASKED = ("plus_first", *_WORDS)
 FEATURES = (
     "length",
     "digits",
@@ -144,6 +153,7 @@ FEATURES = (
     "plus_first",
     "groups",
     "longest_group",
+    "shortest_group",
     "luhn",
     "small_parts",
     "domain",
@@ -160,8 +170,65 @@ def _number_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _plain_address(match: Column) -> Column:
+    """An address with its spelt-out signs replaced."""
+    signed = F.regexp_replace(match, f"(?i){_AT}", "@")
+    return F.regexp_replace(signed, f"(?i){_DOT}", ".")
+
+
+# What the rules below hold for personal data and for other numbers.
+_ADDRESS = rf"^[{_NAME}][{_NAME}._%+\-]*@(?:[{_NAME}](?:[{_NAME}\-]*[{_NAME}])?\.)+\p{{L}}{{2,24}}$"
+# Prefixes and lengths of card brands.
+_BRANDS = (
+    "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}"
+    "|3(?:0[0-5]|[68][0-9])[0-9]{11}|(?:6[0245]|35)[0-9]{14,17})$"
+)
+_DATE = r"^(?:[0-9]{4}([\x20./\-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\x20./\-])[0-9]{1,2}\2[0-9]{4})(?![0-9])"
+_DOTTED = r"^[0-9]+(?:\.[0-9]+)+$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_OCTETS = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+
+
+def rule_label(kind: Column, match: Column, before: Column, after: Column) -> Column:
+    """Whether a candidate is personal data by rules that do not look at base spans.
+
+    E-mail addresses have a valid domain, however their signs are written. Cards pass the
+    Luhn check and have the prefix and length of a brand. Telephone numbers follow a
+    telephone word or begin with a plus sign. Cards, versions, dates, long ids and pieces of
+    longer runs are no telephone numbers. NULL where no rule decides.
+    """
+    digits = digits_of(match)
+    glued = before.rlike(r"[\p{L}0-9]$") | after.rlike(r"^[\p{L}0-9]")
+    numbered = before.rlike(_WORDS["id_word"])
+    address = _plain_address(match)
+    email = address.rlike(_ADDRESS) & ~address.contains("..")
+    ip = match.rlike(_OCTETS) & ~numbered & ~after.rlike(r"^\.?[0-9]")
+    checked = F.length(digits).between(12, 19) & luhn(digits)
+    card = F.when(~checked | glued, False).when(digits.rlike(_BRANDS), True)
+    word = before.rlike(_WORDS["phone_word"])
+    wrong = (
+        ~F.length(digits).between(7, 15)
+        | glued
+        | numbered
+        | (digits.rlike(_BRANDS) & luhn(digits))
+        | match.rlike(_DATE)
+        | match.rlike(_OCTETS)
+        | (match.rlike(_DOTTED) & ~word)
+        | (match.rlike("^[0-9]+$") & ~word)
+    )
+    phone = F.when(wrong, False).when(
+        word | (match.startswith("+") & (F.length(digits) >= 8)), True
+    )
+    return (
+        F.when(kind == "email", email)
+        .when(kind == "ip", ip)
+        .when(kind == "card", card)
+        .when(kind == "phone", phone)
+    )
+
+
 def with_features(candidates: DataFrame) -> DataFrame:
-    """Format and context features of ``kind, match, before, after``."""
+    """Format and context features of ``kind, match, before, after``, and the rules' label."""
     match, before, after = F.col("match"), F.col("before"), F.col("after")
     digits = digits_of(match)
     groups = F.filter(F.split(match, "[^0-9]+"), lambda g: g != "")
@@ -178,9 +245,10 @@ def with_features(candidates: DataFrame) -> DataFrame:
         "plus_first": match.startswith("+"),
         "groups": F.size(groups),
         "longest_group": F.array_max(F.transform(groups, F.length)),
+        "shortest_group": F.array_min(F.transform(groups, F.length)),
         "luhn": F.when(luhn_like, luhn(digits)).otherwise(False),
         "small_parts": F.forall(groups, lambda g: g.cast("double") <= 255),
-        "domain": match.rlike(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+$"),
+        "domain": _plain_address(match).rlike(rf"@[{_NAME}\-]+(?:\.[{_NAME}\-]+)*\.\p{{L}}{{2,}}$"),
         "letter_before": before.rlike(r"\p{L}$"),
         "digit_before": before.rlike("[0-9]$"),
         "letter_after": after.rlike(r"^\p{L}"),
@@ -190,13 +258,13 @@ def with_features(candidates: DataFrame) -> DataFrame:
     values |= {f"as_{kind}": F.col("kind") == kind for kind in KINDS}
     return candidates.withColumns(
         {name: F.coalesce(values[name].cast("double"), F.lit(0.0)) for name in FEATURES}
-    )
+    ).withColumn("label", rule_label(F.col("kind"), match, before, after))
 
 
 def _candidate_list(text: Column, kind: str, base: Column) -> Column:
     """Candidates of one generator, with their surroundings and whether a base span is
     exactly there."""
-    hint = {"email": r"@|[\[(]at[\])]"}.get(kind, "[0-9][^\\p{L}]{5}")
+    hint = {"email": rf"(?i)@|{_AT}"}.get(kind, "[0-9][^\\p{L}]{5}")
     found = F.when(text.rlike(hint), spans(text, GENERATORS[kind], lambda match: F.lit(True)))
 
     def describe(span: Column) -> Column:
@@ -209,7 +277,7 @@ def _candidate_list(text: Column, kind: str, base: Column) -> Column:
             F.substring(text, start + 1, end - start).alias("match"),
             F.substring(text, begin + 1, start - begin).alias("before"),
             F.substring(text, end + 1, F.lit(_CONTEXT)).alias("after"),
-            F.exists(base, lambda b: (b["start"] == start) & (b["end"] == end)).alias("label"),
+            F.exists(base, lambda b: (b["start"] == start) & (b["end"] == end)).alias("base"),
         )
 
     return F.coalesce(F.transform(found, describe), F.array())
@@ -238,22 +306,59 @@ def find_spans(docs: DataFrame) -> DataFrame:
 # --- model ------------------------------------------------------------------------
 
 
+def _held_out() -> Column:
+    """A quarter of the texts, which the fit does not see. Equal texts stay together."""
+    return F.pmod(F.xxhash64(F.lit("held out"), "_key"), F.lit(4)) == 0
+
+
+def _shares(counts: list[int], total: int) -> list[float]:
+    """The share to draw of each group, so that small groups are kept and large ones equal."""
+    shares, left = [1.0] * len(counts), total
+    for done, i in enumerate(sorted(range(len(counts)), key=counts.__getitem__)):
+        taken = min(counts[i], left / (len(counts) - done))
+        shares[i], left = taken / counts[i], left - taken
+    return shares
+
+
+def _with_masked(rows: DataFrame, which: Column | bool = True) -> DataFrame:
+    """``rows``, and those of ``which`` a second time without the evidence beside the form."""
+    copies = F.when(F.lit(which) if isinstance(which, bool) else which, F.array(F.lit(False), F.lit(True)))
+    twice = rows.withColumn("_masked", F.explode(F.coalesce(copies, F.array(F.lit(False)))))
+    return twice.withColumns(
+        {name: F.when(F.col("_masked"), 0.0).otherwise(F.col(name)) for name in _MASKED}
+    )
+
+
 def fit_model(
     candidates: DataFrame, sample_rows: int = 20_000, trees: int = 8, depth: int = 4, seed: int = 7
 ) -> GBTClassificationModel | None:
-    """Boosted trees on at most ``sample_rows`` candidates, drawn by a hash.
+    """Boosted trees on at most ``sample_rows`` rows of labelled candidates, drawn by a hash
+    outside the held-out texts; each candidate gives two rows.
 
+    Kinds, labels, and base spans and others are drawn alike as far as there are enough.
     None when the sample lacks one of the two labels, in which case nothing is added.
     """
+    labelled = candidates.where(F.col("label").isNotNull() & ~_held_out())
+    group = ["kind", "label", "base"]
+    counts = labelled.groupBy(*group).count().collect()  # 16 rows at most
+    if len({row["label"] for row in counts}) < 2:
+        return None
+    place = ("_key", "start", "end", "kind")
+    share = F.lit(0.0)
+    for row, part in zip(counts, _shares([row["count"] for row in counts], sample_rows // 2)):
+        same = [F.col(name) == F.lit(row[name]) for name in group]
+        share = F.when(same[0] & same[1] & same[2], part).otherwise(share)
+    lot = F.pmod(F.xxhash64(F.lit("lot"), *place), F.lit(1_000_000)) / 1_000_000
     drawn = materialise(
-        candidates.orderBy(F.xxhash64(F.lit(seed), "_key", "start", "end", "kind"))
-        .limit(sample_rows)
+        labelled.where(lot < share)
+        .orderBy(F.xxhash64(F.lit(seed), *place))
+        .limit(sample_rows // 2)
         .withColumn("label", F.col("label").cast("double")),
         "sample",
     )
     if drawn.select("label").distinct().count() < 2:
         return None
-    rows = _assembled(drawn)
+    rows = _assembled(_with_masked(drawn))
     return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32).fit(rows)
 
 
@@ -261,46 +366,67 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
 
-def calibrated_threshold(scored: DataFrame, precision: float) -> float:
-    """The lowest score, to a hundredth, from which on ``precision`` of all candidates
-    are base spans."""
+def calibrated_thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
+    """Per kind the lowest score, to a hundredth, from which on ``precision`` of the labelled
+    rows are personal data, and ``precision`` of those that are no base spans as well.
+
+    A kind that never gets there is left out.
+    """
+    new = ~F.col("base")
     bins = (
-        scored.groupBy(F.floor(F.col("score") * 100).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"), F.count_if("label").alias("good"))
+        scored.groupBy("kind", F.floor(F.col("score") * 100).cast("int").alias("bin"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if("label").alias("good"),
+            F.count_if(new).alias("n_new"),
+            F.count_if(new & F.col("label")).alias("good_new"),
+        )
         .orderBy(F.desc("bin"))
-        .collect()  # 101 rows at most
+        .collect()  # 404 rows at most
     )
-    total = good = 0
-    threshold = 2.0
-    for row in bins:
-        total, good = total + row["n"], good + row["good"]
-        if good >= precision * total:
-            threshold = row["bin"] / 100
-    return threshold
+    thresholds = {}
+    for kind in KINDS:
+        n = good = n_new = good_new = 0
+        for row in (row for row in bins if row["kind"] == kind):
+            n, good = n + row["n"], good + row["good"]
+            n_new, good_new = n_new + row["n_new"], good_new + row["good_new"]
+            if good >= precision * n and good_new >= precision * n_new:
+                thresholds[kind] = row["bin"] / 100
+    return thresholds
 
 
 def added_spans(
     found: DataFrame, precision: float = 0.99, sample_rows: int = 20_000
 ) -> DataFrame | None:
     """``doc_id, _key, added``: the spans that the trees choose beside the base ones."""
-    rows = with_features(
-        found.select("doc_id", "_key", F.inline("_candidates"))
+    rows = materialise(
+        with_features(found.select("doc_id", "_key", F.inline("_candidates"))).drop(
+            "match", "before", "after"
+        ),
+        "candidates",
     )
     model = fit_model(rows, sample_rows)
     if model is None:
         return None
-    scored = model.transform(_assembled(rows)).select(
+    tested = F.col("label").isNotNull() & _held_out()
+    scored = model.transform(_assembled(_with_masked(rows, tested))).select(
         "doc_id",
         "_key",
         "kind",
         "start",
         "end",
+        "base",
         "label",
+        "_masked",
         vector_to_array("probability")[1].alias("score"),
     )
     scored = materialise(scored, "scored")
-    threshold = calibrated_threshold(scored, precision)
-    chosen = scored.where((F.col("score") >= threshold) & ~F.col("label"))
+    thresholds = calibrated_thresholds(scored.where(tested), precision)
+    enough = F.lit(False)
+    for kind, threshold in thresholds.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("score") >= threshold))
+    new = ~F.col("base") & ~F.col("_masked") & F.coalesce("label", F.lit(True))
+    chosen = scored.where(enough & new)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     return chosen.groupBy("doc_id", "_key").agg(
         F.collect_set(F.struct(order.alias("rank"), "start", "end")).alias("added")
@@ -341,12 +467,14 @@ def find_pii(
     """Spans of e-mail addresses, IP addresses, card and phone numbers in every text.
 
     Base spans are the leftmost non-overlapping matches of each pattern that pass their
-    check. Generators with looser patterns propose more spans, overlapping ones too; the
-    candidates that coincide with base spans teach boosted trees, from the form of a span
-    and the characters around it, to tell personal data from other numbers and handles.
-    ``sample_rows`` bounds the training rows. A threshold is calibrated on all candidates:
-    the lowest one that keeps the share ``precision`` of what lies above it right. What
-    lies above and is no base span is added; base spans always stay.
+    check. Generators with looser patterns propose more spans, overlapping ones too. Rules
+    that do not look at base spans label those they are sure of (``rule_label``), and boosted
+    trees learn from them, by the form of a span and the characters around it, to tell personal
+    data from other numbers and handles. ``sample_rows`` bounds the training rows. A threshold
+    per kind is calibrated on a quarter of the texts that the fit does not see: the lowest one
+    that keeps the share ``precision`` of the labelled candidates above it right, and of those
+    beside the base spans too. What lies above, is no base span and is not refused by a rule is
+    added, labelled or not; base spans always stay.
 
     Returns ``doc_id, text`` and ``base`` and ``all``, both lists of ``rank, start, end``
     (rank in ``KINDS`` from 1, code points, end exclusive). A null text is an empty one and

@@ -1,6 +1,6 @@
 import re
 
-from llm_helpers import ODD, docs, frame
+from llm_helpers import ODD, docs, frame, generator, prose
 from sqlgauge.llm import pii as P
 
 PLAIN = {
@@ -81,3 +81,47 @@ def test_digests_masks_nulls_and_nothing(spark):
     one = given.where("doc_id = 1").limit(1)
     assert P.redact(one, P.find_pii(one)).first().text == "[EMAIL] and [IP]"
     assert P.find_pii(given.where("false")).count() == 0
+
+
+def test_planted_spans_beside_the_base_ones_are_added(spark):
+    rng = generator(11)
+
+    def card(prefix, length):
+        body = prefix + "".join(str(rng.randrange(10)) for _ in range(length - len(prefix) - 1))
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+    def number(n):
+        return "".join(str(rng.randrange(10)) for _ in range(n))
+
+    given, planted, decoys = [], [], []
+    for i in range(400):
+        amex, visa = card("37", 15), card("4", 16)
+        kind, found = [
+            ("email", f"{prose(rng, 1)}.{i} [at] mail{i % 7}.example.org"),
+            ("phone", f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"),
+            ("card", f"{amex[:4]} {amex[4:10]} {amex[10:]}"),
+            ("card", ".".join(visa[k : k + 4] for k in range(0, 16, 4))),
+        ][i % 4]
+        lead = "call" if kind == "phone" and i % 8 == 1 else "and"
+        bad = [
+            f"{1990 + i % 30}-0{1 + i % 9}-1{i % 9}", f"version {i % 9}.{i % 300}.{number(3)}.{number(3)}",
+            number(20), f"user{i}@local", "id " + number(11),
+        ][i % 5]
+        text = f"{prose(rng, 5)} {lead} {found} {prose(rng, 3)} "
+        planted.append((P.KINDS.index(kind) + 1, len(text) - len(text.split(found)[1]) - len(found)))
+        decoys.append((len(text), len(text) + len(bad)))
+        given.append(f"{text}{bad} {prose(rng, 3)} +1 555 010 {1000 + i} a{i}@b.org")
+    frame_ = docs(spark, given)
+    found = P.find_pii(frame_)
+    hits = {kind: [0, 0] for kind in (1, 3, 4)}
+    for r in found.collect():
+        rank, start = planted[r.doc_id]
+        added = {tuple(s) for s in r.all} - {tuple(s) for s in r.base}
+        hits[rank][0] += any(s[:2] == (rank, start) for s in added)
+        hits[rank][1] += 1
+        assert {s[:2] for s in added} <= {(rank, start)}
+        low, high = decoys[r.doc_id]
+        assert not any(low < end and start < high for _, start, end in added), given[r.doc_id]
+    assert all(n >= 0.9 * total for n, total in hits.values())
+    clean = {r.doc_id: r.text for r in P.redact(frame_, found).collect()}
+    assert sum("[at]" in text for text in clean.values()) <= 10
