@@ -10,7 +10,7 @@ from ..operators import pareto as P
 from ..operators import score as S
 from ..operators.ordering import number_rows
 from ..plans.summary import summarise
-from ..session import materialise, new_path
+from ..session import new_path
 from ..sources import reports as R
 from .base import query, sql_round, table
 from .latency import LOG_SQL, request_log, samples, sql_report
@@ -189,6 +189,15 @@ def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def whole_results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all configurations written as a results tree and read back."""
+    root = new_path(spark, "tree")
+    accuracy, latency = _reports(spark, sf_dir)
+    R.write_results_tree(accuracy, root, "metrics.json")
+    R.write_results_tree(latency, root, "latency.json")
+    return R.read_results_tree(spark, root)
+
+
 _FEW = "config IN (SELECT config FROM joined ORDER BY config LIMIT 12)"
 
 
@@ -197,11 +206,7 @@ WITH {_SUMMARY_SQL}
 SELECT * EXCLUDE (pareto) FROM summary WHERE {_FEW}
 """)
 def results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of a dozen configurations written as a results tree and read back."""
-    accuracy, latency = (materialise(report) for report in _reports(spark, sf_dir))
-    both = accuracy.select("config").union(latency.select("config")).distinct()
-    few = materialise(both.orderBy("config").limit(12), "few")
-    root = new_path(spark, "tree")
-    R.write_results_tree(accuracy.join(few, "config", "left_semi"), root, "metrics.json")
-    R.write_results_tree(latency.join(few, "config", "left_semi"), root, "latency.json")
-    return R.read_results_tree(spark, root)
+    """The whole results tree, written and read back, and of it the dozen rows that the SQL
+    asks for."""
+    tree = whole_results_tree(spark, sf_dir)
+    return tree.where(F.col("config").isNotNull()).orderBy("config").limit(12)

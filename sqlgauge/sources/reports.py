@@ -59,26 +59,25 @@ def write_summary(summary: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_results_tree(reports: DataFrame, root: str, file_name: str) -> None:
-    """One report per configuration as ``root/<config>/<file_name>``, a folder of JSON.
+    """One report per configuration as ``root/<file_name>/config=<config>/part-...``.
 
-    Spark writes all of them in one job, under partition names; these folders then get
-    their final names. Configurations are few here: people compare them.
+    Spark writes all of them in one job, however many there are.
     """
-    spark = reports.sparkSession
-    staged = f"{root.rstrip('/')}/_{file_name}"
-    reports.withColumn("_folder", F.col("config")).drop("config").repartition(
-        "_folder"
-    ).write.partitionBy("_folder").option("ignoreNullFields", False).json(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    source = hadoop.Path(staged)
-    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in system.listStatus(source):
-        name = status.getPath().getName()
-        if name.startswith("_folder="):
-            folder = hadoop.Path(f"{root.rstrip('/')}/{name[len('_folder='):]}")
-            system.mkdirs(folder)
-            system.rename(status.getPath(), hadoop.Path(folder, file_name))
-    system.delete(source, True)
+    write_reports(
+        reports.repartition("config"), f"{root.rstrip('/')}/{file_name}", folder_per_config=True
+    )
+
+
+def _read_written(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame:
+    """The reports of ``write_results_tree``, with the configuration of their folder."""
+    try:
+        return spark.read.schema(f"{schema}, config string").option("mode", "FAILFAST").option(
+            "pathGlobFilter", "part-*"
+        ).json(f"{root.rstrip('/')}/{file_name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, config string")
 
 
 def _read_tree(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame:
@@ -97,10 +96,15 @@ def _read_tree(spark: SparkSession, root: str, file_name: str, schema: str) -> D
 
 
 def read_results_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Summary rows of a tree ``root/<config>/metrics.json`` and ``latency.json``.
+    """Summary rows of a tree ``root/<config>/metrics.json`` and ``latency.json``, or of one
+    that ``write_results_tree`` wrote.
 
     A configuration may lack one of the files. Finding none at all is a ValueError.
     """
-    accuracy = _read_tree(spark, root, "metrics.json", METRICS_TYPE)
-    latency = _read_tree(spark, root, "latency.json", LATENCY_TYPE)
+    accuracy, latency = (
+        _read_tree(spark, root, name, schema).unionByName(
+            _read_written(spark, root, name, schema)
+        )
+        for name, schema in (("metrics.json", METRICS_TYPE), ("latency.json", LATENCY_TYPE))
+    )
     return require_rows(join_reports(accuracy, latency), f"metrics under {root}")

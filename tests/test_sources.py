@@ -1,9 +1,12 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from sqlgauge.plans import prepare as R
+from sqlgauge.registry.reports import _SUMMARY_SQL, whole_results_tree
 from sqlgauge.sources import catalog as C
 from sqlgauge.sources import examples as E
 from sqlgauge.sources import reports as O
@@ -153,3 +156,22 @@ def test_reports_keep_nulls_and_configs(spark, tmp_path, folders):
     back = O.read_reports(spark, path, O.METRICS_TYPE)
     got = {r.config: (r.model, r.adapter, r.n, r.status_counts) for r in back.collect()}
     assert got == {"a": ("m", None, 3, {"match": 2}), "b": ("m", "lora", 0, {})}
+
+
+def test_results_tree_holds_every_configuration(spark, rows):
+    tree = whole_results_tree(spark, SF)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    found = connection.execute(f"WITH {_SUMMARY_SQL} SELECT * EXCLUDE (pareto) FROM summary")
+    columns = [column[0] for column in found.description]
+    expected = sorted(found.fetchall(), key=str)
+    assert len(expected) > 12
+    assert sorted(rows(tree.select(*columns)), key=str) == expected
+
+
+def test_results_tree_keeps_odd_names(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    names = ["a b+c", "x/y=%2F", "ü", "007"]
+    metrics = spark.createDataFrame([(n, 0.5) for n in names], "config string, execution_accuracy double")
+    O.write_results_tree(metrics, root, "metrics.json")
+    assert {r.config for r in O.read_results_tree(spark, root).collect()} == set(names)
