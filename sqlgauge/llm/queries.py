@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .contamination import find_leaks
+from .divergence import source_divergence
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -18,6 +19,7 @@ from .sharding import shard_by_bytes
 from .token_files import token_digests, write_token_files
 from .toxicity import classify
 from .vectors import near_vectors
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +108,16 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every vector."""
+    return whiten(table(spark, sf_dir, "embeddings")).drop("width")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language against each other and against the language."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -119,6 +131,8 @@ QUERIES: dict[str, Query] = {
         op8_toxicity_crf,
         op9_byte_shards,
         op10_line_winnowing,
+        op11_embedding_whitening,
+        op12_source_divergence,
     )
 }
 
@@ -226,9 +240,57 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+_OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10
+), v AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY 1
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), occurs AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), sums AS (
+  SELECT lang, source, sum(c) AS n FROM occurs GROUP BY 1, 2
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+    1 + 1000000000::HUGEINT * (coalesce(c, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.total + 2) // (v.n + 2 * v.v) AS usual
+  FROM groups g JOIN kept k USING (lang) JOIN v USING (lang)
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN occurs o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+), priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY 1, 2, 3
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - usual) * (p - usual) // (p + usual)
+  FROM p WHERE c > 0 AND p > usual
+), ranked AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_tensored": _OP1,
     "op4_embedding_tiles": _OP4,
     "op9_byte_shards": _OP9,
     "op10_line_winnowing": _OP10,
+    "op12_source_divergence": _OP12,
 }
