@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .contamination import find_leaks
 from .divergence import source_divergence
+from .language import identify_languages
 from .lines import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -118,6 +119,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the labelled rows that are not held out."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -133,6 +139,7 @@ QUERIES: dict[str, Query] = {
         op10_line_winnowing,
         op11_embedding_whitening,
         op12_source_divergence,
+        op13_language_svm,
     )
 }
 

@@ -79,6 +79,35 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PASS_BYTES) -> Iterat
         start = stop
 
 
+def segments(
+    column: pa.Array, values: np.ndarray, size: int = PASS_BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, bounds and row numbers of about ``size`` bytes of text at a time.
+
+    Texts that are longer are cut before a separator, a byte whose value is 0, and come
+    as several segments with the same row number; only a word can be longer than that.
+    """
+    raw, bounds = column_bytes(column)
+    first = 0
+    while first < len(column):
+        stop = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
+        if bounds[stop] - bounds[first] <= size:
+            part = raw[bounds[first] : bounds[stop]]
+            yield part, bounds[first : stop + 1] - bounds[first], np.arange(first, stop)
+        else:
+            at, end = int(bounds[first]), int(bounds[stop])
+            while at < end:
+                cut = end
+                for ahead in range(at + size, end, size):
+                    free = np.flatnonzero(values[raw[ahead : min(ahead + size, end)]] == 0)
+                    if len(free):
+                        cut = ahead + int(free[0])
+                        break
+                yield raw[at:cut], np.array([0, cut - at]), np.array([first])
+                at = cut
+        first = stop
+
+
 def words(
     raw: np.ndarray, bounds: np.ndarray, values: np.ndarray = BY_SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
