@@ -24,6 +24,27 @@ LABEL_PATTERN = (
 # Runs of white space other than a single space, which may stay as it is.
 _RUN_PATTERN = rf"(?U) [{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}&&[^ ]][{WHITESPACE_CLASS}]*"
 
+# The bytes of one character of UTF-8, or a run of ASCII, with each byte as
+# the character of the same number.
+_UTF8_PATTERN = (
+    r"[\x00-\x7F]+|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]"
+    r"|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
+def decode_utf8(data: Column) -> Column:
+    """Bytes as text, without the bytes that belong to no character.
+
+    Nothing is put in their place, and a replacement character that the bytes do spell
+    stays. Valid bytes, the usual case, are only looked through.
+    """
+    text = data.cast("string")
+    bytewise = F.decode(data, "ISO-8859-1")
+    kept = F.regexp_replace(bytewise, rf"({_UTF8_PATTERN})|[\x80-\xFF]", "$1")
+    mended = F.encode(kept, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(mended)
+
 
 def strip(text: Column) -> Column:
     """Remove white space, Unicode included, from both ends."""

@@ -8,25 +8,25 @@ When results exist as tables already, use ``operators.score`` directly.
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 
-from py4j.java_gateway import is_instance_of
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_row, positional
 from ..functions.prompts import messages_or_default
 from ..functions.status import order_matters
-from ..functions.text import extract_sql
-from ..operators.compare import RESULTS_TYPE
+from ..functions.text import extract_sql, strip
 from ..operators.inference import Generate, complete
-from ..operators.ordering import dense_numbers, in_sequence
-from ..operators.score import OUTCOMES_TYPE, metrics, score_examples
+from ..operators.joins import join_null_safe
+from ..operators.ordering import dense_numbers, in_sequence, number_rows
+from ..operators.score import metrics, score_examples
 from ..session import delete_path, materialise, new_path
 
 UseDatabase = Callable[[SparkSession, str], None]
@@ -62,29 +62,21 @@ def session_pool(spark: SparkSession, use_database: UseDatabase) -> SessionOf:
     return session_of
 
 
-# Expressions that call into the JVM.
-_REFLECTIVE = {"CallMethodViaReflection", "TryReflect"}
+# The functions that call JVM methods, under any qualifier, quoted or not;
+# the clause that makes a function name out of a text; and what hands rows to a command.
+# A comment may stand wherever white space may. Literals are searched as well: what looks
+# like a call inside one is refused rather than trusted to end where it seems to.
+REFUSED_PATTERN = (
+    r"(?i)\b(?:java_method|reflect|try_reflect|identifier)\b`?\s*(?:\(|/\*|--)"
+    r"|\busing\b\s*(?:r?['\"]|/\*|--)"
+)
+# Fixed value: the message of such a query.
+REFUSED_MESSAGE = "calls of JVM methods and commands are not allowed"
 
 
-def _elements(sequence) -> Iterable:
-    items = sequence.iterator()
-    while items.hasNext():
-        yield items.next()
-
-
-_CATALYST = "org.apache.spark.sql.catalyst"
-
-
-def _is_reflective(gateway, node) -> bool:
-    """Whether a plan, or an expression, calls JVM methods anywhere below."""
-    if node.getClass().getSimpleName() in _REFLECTIVE:
-        return True
-    below = list(_elements(node.children()))
-    if is_instance_of(gateway, node, f"{_CATALYST}.plans.QueryPlan"):
-        below += [*_elements(node.expressions()), *_elements(node.innerChildren())]
-    elif is_instance_of(gateway, node, f"{_CATALYST}.expressions.PlanExpression"):
-        below.append(node.plan())
-    return any(_is_reflective(gateway, part) for part in below)
+def refused(statement: Column) -> Column:
+    """Whether a query may not even be analysed, as it could leave the engine."""
+    return F.coalesce(F.regexp_like(statement, F.lit(REFUSED_PATTERN)), F.lit(False))
 
 
 def read_only(session: SparkSession, query: str) -> DataFrame:
@@ -93,11 +85,10 @@ def read_only(session: SparkSession, query: str) -> DataFrame:
     Wrapped in a SELECT, anything that would write, and any second statement, fails to
     parse. Paths do not count as tables, and calls of JVM methods are refused.
     """
+    if re.search(REFUSED_PATTERN, query):
+        raise QueryError(REFUSED_MESSAGE)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
-    rows = session.sql(f"SELECT * FROM (\n{query}\n)")
-    if _is_reflective(session.sparkContext._gateway, rows._jdf.queryExecution().analyzed()):
-        raise QueryError("calls of JVM methods are not allowed")
-    return rows
+    return session.sql(f"SELECT * FROM (\n{query}\n)")
 
 
 # How long a cancelled query may take to unwind before it is left behind, in seconds.
@@ -167,47 +158,89 @@ def run_query(
 
 def _store(
     spark: SparkSession,
-    example: dict,
-    side: str,
-    root: str,
+    run: dict,
+    folder: str,
     timeout: float,
     session_of: SessionOf,
     digits: int | None,
-) -> tuple[int, str, str, str | None]:
-    """Run one side of an example, write its long form and report the outcome."""
+) -> tuple[int, str, str | None]:
+    """Run one statement, write its canonical rows and report the outcome."""
 
     def work() -> None:
-        session = session_of(example["db_id"])
-        rows = positional(read_only(session, example[f"{side}_sql"]))
+        rows = positional(read_only(session_of(run["db_id"]), run["statement"]))
         in_sequence(rows.select(canonical_row(rows, digits).alias("cells"))).select(
-            F.lit(example["id"]).cast("bigint").alias("example_id"),
-            F.lit(side).alias("side"),
-            F.lit(example["ordered"]).alias("ordered"),
-            "_seq",
-            "cells",
-        ).write.parquet(f"{root}/{example['id']}-{side}")
+            F.lit(run["run_id"]).cast("bigint").alias("run_id"), "_seq", "cells"
+        ).write.parquet(f"{folder}/{run['run_id']}")
 
     try:
         within_budget(spark, work, timeout)
     except QueryTimeout as error:
-        return example["id"], side, "timeout", str(error)
+        return run["run_id"], "timeout", str(error)
     except QueryError as error:
-        return example["id"], side, "error", str(error)
-    return example["id"], side, "ok", None
+        return run["run_id"], "error", str(error)
+    return run["run_id"], "ok", None
 
 
-_STORED_TYPE = "example_id bigint, side string, ordered boolean, _seq bigint, cells array<string>"
-# Examples whose results are put into one table together.
+_RUN_TYPE = "run_id bigint, outcome string, message string"
+_STORED_TYPE = "run_id bigint, _seq bigint, cells array<string>"
+# Runs whose results are put into one table together.
 _STRETCH = 256
 
 
-def long_results(stored: DataFrame) -> DataFrame:
-    """Stored results in long form, with dense positions where order counts."""
-    plain = stored.where(~F.col("ordered")).select(
-        "example_id", "side", F.lit(None).cast("bigint").alias("row_no"), "cells"
+def _run_all(
+    runs: DataFrame,
+    root: str,
+    name: str,
+    workers: int | None,
+    store: Callable[[dict, str], tuple[int, str, str | None]],
+) -> None:
+    """Run each row of ``runs`` once; append outcomes and results to the tables of ``root``.
+
+    Only the statements visit the driver, a stretch of 256 at a time, and of the refused
+    ones not even those. The next stretch starts while the last queries of the one before
+    still run; once they have ended their folders become one table and go.
+    """
+    spark = runs.sparkSession
+
+    def settle(folder: str, futures: list[Future]) -> None:
+        outcomes = [future.result() for future in futures]
+        spark.createDataFrame(outcomes, _RUN_TYPE).coalesce(1).write.mode("append").parquet(
+            f"{root}/outcomes"
+        )
+        if any(outcome[1] == "ok" for outcome in outcomes):
+            stored = spark.read.schema(_STORED_TYPE).parquet(f"{folder}/*")
+            stored.write.mode("append").parquet(f"{root}/rows")
+        delete_path(spark, folder)
+
+    runs.where("refused").select(
+        "run_id", F.lit("error").alias("outcome"), F.lit(REFUSED_MESSAGE).alias("message")
+    ).write.mode("append").parquet(f"{root}/outcomes")
+    texts = runs.where("NOT refused").select("run_id", "db_id", "statement")
+    slots = workers or max(1, spark.sparkContext.defaultParallelism // 4)
+    waiting: tuple[str, list[Future]] | None = None
+    with ThreadPoolExecutor(max_workers=slots) as pool:
+        for number, stretch in enumerate(_stretches(texts.toLocalIterator(), _STRETCH)):
+            folder = f"{root}/queries/{name}-{number}"
+            futures = [pool.submit(store, run, folder) for run in stretch]
+            if waiting:
+                settle(*waiting)
+            waiting = (folder, futures)
+        if waiting:
+            settle(*waiting)
+
+
+def _distinct_runs(sides: DataFrame, first: int) -> DataFrame:
+    """The distinct statements per database, numbered from ``first``, and stored."""
+    texts = number_rows(sides.select("db_id", "statement").distinct(), None, name="_no")
+    return materialise(
+        texts.select(
+            (F.col("_no") + first).alias("run_id"),
+            "db_id",
+            "statement",
+            refused(F.col("statement")).alias("refused"),
+        ),
+        "runs",
     )
-    ordered = dense_numbers(stored.where("ordered"), ["example_id", "side"], "row_no")
-    return plain.unionByName(ordered.select("example_id", "side", "row_no", "cells"))
 
 
 def run_pairs(
@@ -220,13 +253,15 @@ def run_pairs(
     """Run gold and predicted queries; returns results and outcomes (runs many jobs).
 
     ``examples`` is ``(id, db_id, gold_sql, pred_sql)`` with unique ids; a repeated one is
-    a ValueError. Only these texts visit the driver, a stretch of 256 at a time. The
-    prediction is not run when the gold query fails or the prediction is blank.
+    a ValueError. A statement runs once per database, however many examples and sides
+    share it: the gold queries first, then the predictions that are not blank, whose gold
+    query succeeded and whose text has not run yet. Outcomes and results are joined back
+    to the examples afterwards. Statements that ``refused`` finds are errors and never
+    reach the driver.
+
     ``workers`` queries run side by side, by default a quarter of the cluster's task slots;
     their budgets then include waiting for free slots, so give the session
-    ``spark.scheduler.mode=FAIR`` when some of them are heavy. The next stretch starts while
-    the last queries of the one before still run. After each stretch its outcomes and
-    results become one table each, and the folders of its queries are deleted.
+    ``spark.scheduler.mode=FAIR`` when some of them are heavy.
     """
     spark = examples.sparkSession
     root = new_path(spark, "results")
@@ -234,47 +269,64 @@ def run_pairs(
     if not examples.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("example ids must be unique")
     rows = examples.select(
-        "id",
+        F.col("id").alias("example_id"),
         "db_id",
-        "gold_sql",
-        F.coalesce("pred_sql", F.lit("")).alias("pred_sql"),
+        F.coalesce("gold_sql", F.lit("")).alias("gold"),
+        F.coalesce("pred_sql", F.lit("")).alias("pred"),
         F.coalesce(order_matters(F.col("gold_sql")), F.lit(False)).alias("ordered"),
     )
 
-    def run_one(example: dict, folder: str) -> list[tuple]:
-        store = (spark, example)
-        rest = (folder, timeout, session_of, digits)
-        gold = _store(*store, "gold", *rest)
-        if gold[2] != "ok" or not example["pred_sql"].strip():
-            return [gold]
-        return [gold, _store(*store, "pred", *rest)]
-
-    def settle(number: int, futures: list[Future]) -> None:
-        outcomes = [outcome for future in futures for outcome in future.result()]
-        folder = f"{root}/queries/{number}"
-        spark.createDataFrame(outcomes, OUTCOMES_TYPE).coalesce(1).write.mode("append").parquet(
-            f"{root}/outcomes"
-        )
-        if any(outcome[2] == "ok" for outcome in outcomes):
-            stored = spark.read.schema(_STORED_TYPE).parquet(f"{folder}/*")
-            stored.write.mode("append").parquet(f"{root}/rows")
-        delete_path(spark, folder)
+    def store(run: dict, folder: str) -> tuple[int, str, str | None]:
+        return _store(spark, run, folder, timeout, session_of, digits)
 
-    spark.createDataFrame([], OUTCOMES_TYPE).write.parquet(f"{root}/outcomes")
+    spark.createDataFrame([], _RUN_TYPE).write.parquet(f"{root}/outcomes")
     spark.createDataFrame([], _STORED_TYPE).write.parquet(f"{root}/rows")
-    slots = workers or max(1, spark.sparkContext.defaultParallelism // 4)
-    waiting: tuple[int, list[Future]] | None = None
-    with ThreadPoolExecutor(max_workers=slots) as pool:
-        for number, stretch in enumerate(_stretches(rows.toLocalIterator(), _STRETCH)):
-            folder = f"{root}/queries/{number}"
-            futures = [pool.submit(run_one, example, folder) for example in stretch]
-            if waiting:
-                settle(*waiting)
-            waiting = (number, futures)
-        if waiting:
-            settle(*waiting)
-    results = long_results(spark.read.schema(_STORED_TYPE).parquet(f"{root}/rows"))
-    return results, spark.read.schema(OUTCOMES_TYPE).parquet(f"{root}/outcomes")
+    key = ["db_id", "statement"]
+    gold = rows.select("example_id", "ordered", "db_id", F.col("gold").alias("statement"), "pred")
+    gold_runs = _distinct_runs(gold, 0)
+    _run_all(gold_runs, root, "gold", workers, store)
+    linked = materialise(
+        join_null_safe(gold, gold_runs.drop("refused"), key).select(
+            "example_id", "ordered", "db_id", "run_id", "pred"
+        ),
+        "gold-runs",
+    )
+    succeeded = spark.read.schema(_RUN_TYPE).parquet(f"{root}/outcomes").where("outcome = 'ok'")
+    pred = (
+        linked.where(strip(F.col("pred")) != "")
+        .join(succeeded.select("run_id"), "run_id", "left_semi")
+        .select("example_id", "ordered", "db_id", F.col("pred").alias("statement"))
+    )
+    pred_runs = _distinct_runs(
+        join_null_safe(pred.select(*key).distinct(), gold_runs.select(*key), key, "left_anti"),
+        gold_runs.count(),
+    )
+    _run_all(pred_runs, root, "pred", workers, store)
+    every_run = gold_runs.unionByName(pred_runs).drop("refused")
+    side = ["example_id", "ordered", "run_id"]
+    uses = materialise(
+        linked.select(*side, F.lit("gold").alias("side")).unionByName(
+            join_null_safe(pred, every_run, key).select(*side, F.lit("pred").alias("side"))
+        ),
+        "uses",
+    )
+    outcomes = spark.read.schema(_RUN_TYPE).parquet(f"{root}/outcomes")
+    stored = spark.read.schema(_STORED_TYPE).parquet(f"{root}/rows")
+    return long_results(uses, stored), uses.join(outcomes, "run_id").select(
+        "example_id", "side", "outcome", "message"
+    )
+
+
+def long_results(uses: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored results in long form, with dense positions where order counts."""
+    plain = uses.where("NOT ordered").join(stored, "run_id").select(
+        "example_id", "side", F.lit(None).cast("bigint").alias("row_no"), "cells"
+    )
+    by_order = uses.where("ordered")
+    needed = stored.join(by_order.select("run_id").distinct(), "run_id", "left_semi")
+    numbered = dense_numbers(needed, ["run_id"], "row_no")
+    ordered = by_order.join(numbered, "run_id")
+    return plain.unionByName(ordered.select("example_id", "side", "row_no", "cells"))
 
 
 def _stretches(rows: Iterable, size: int) -> Iterable[list[dict]]:

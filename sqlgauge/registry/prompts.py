@@ -12,7 +12,7 @@ from ..functions.prompts import (
     MESSAGES_TYPE, SYSTEM_PROMPT, append_answer, build_messages,
     messages_or_default, parse_response, request_body, user_prompt,
 )
-from ..functions.text import extract_sql
+from ..functions.text import decode_utf8, extract_sql
 from ..operators.inference import attach_completions
 from ..plans.prepare import prepare_examples as prepare
 from ..plans.prepare import skip_counts
@@ -149,24 +149,71 @@ SELECT s_name AS db_id,
 FROM supplier
 """)
 def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema texts read out of schema dumps, one folder of JSON lines per supplier."""
+    """Schema texts read out of schema dumps, files of JSON lines with many suppliers each."""
     suppliers = table(spark, sf_dir, "supplier").selectExpr(
-        "s_name AS db",
+        "s_name AS db_id",
         "'CREATE TABLE stock_' || s_nationkey || ' (id INTEGER PRIMARY KEY AUTOINCREMENT)' AS stock",
         """'CREATE TABLE accounts (n INT, "' || s_name || '" TEXT)' AS accounts""",
         "'stock_' || s_nationkey AS stock_name",
     )
     objects = suppliers.selectExpr(
-        "db",
+        "db_id",
         "stack(4, 'table', stock_name, stock, 'table', 'accounts', accounts,"
         " 'table', 'sqlite_sequence', 'CREATE TABLE sqlite_sequence(name,seq)',"
         " 'index', 'by_n', 'CREATE INDEX by_n ON accounts(n)') AS (type, table_name, ddl)",
     )
     path = new_path(spark, "catalogs")
-    objects.repartition("db").write.partitionBy("db").json(path)
-    dumps = read_catalog(spark, f"{path}/*")
-    named = dumps.withColumn("db_id", F.url_decode(F.regexp_replace("db_id", "^db=", "")))
-    return schema_texts(named)
+    write_json_lines(objects, path)
+    return schema_texts(read_catalog(spark, path))
+
+
+# Broken bytes around a text, as hexadecimal digits: cut characters, bytes that never
+# occur, an encoded surrogate, an overlong form and a genuine replacement character.
+_BROKEN = {
+    0: ("E282", "C3"),
+    1: ("EFBFBD", "EDA080"),
+    2: ("F09F98", "F0808080EFBFBD"),
+    3: ("FF41FE", "C0AF42F4908080"),
+    4: ("80BF", "E28241F0904142"),
+}
+_HEX_CHARACTER = (
+    "(?:[0-7][0-9A-F])+|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]"
+    "|E[1-9A-CEF](?:[89AB][0-9A-F]){2}|ED[89][0-9A-F][89AB][0-9A-F]"
+    "|F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|F[1-3](?:[89AB][0-9A-F]){3}|F48[0-9A-F](?:[89AB][0-9A-F]){2}"
+)
+
+
+def _broken_case(side: int, prefix: str = "", suffix: str = "") -> str:
+    cases = " ".join(
+        f"WHEN {k} THEN {prefix}'{parts[side]}'{suffix}" for k, parts in _BROKEN.items()
+    )
+    return f"CASE doc_id % 5 {cases} END"
+
+
+# The text without its first byte, which may have been the first of several.
+@query(f"""
+WITH broken AS (
+  SELECT doc_id, {_broken_case(0)} || substr(hex(encode(text)), 3) || {_broken_case(1)} AS bytes
+  FROM documents
+), mended AS (
+  SELECT doc_id, bytes, regexp_replace(bytes, '({_HEX_CHARACTER})|..', '\\1', 'g') AS kept FROM broken
+)
+SELECT doc_id, decode(unhex(kept)) AS text, (length(bytes) - length(kept)) // 2 AS dropped FROM mended
+""")
+def broken_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts between and behind bytes that are no UTF-8, which decoding drops."""
+    data = F.concat(
+        F.expr(_broken_case(0, "unhex(", ")")),
+        F.expr("substring(CAST(text AS BINARY), 2)"),
+        F.expr(_broken_case(1, "unhex(", ")")),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))
+    text = decode_utf8(F.col("data"))
+    return rows.select(
+        "doc_id",
+        text.alias("text"),
+        (F.octet_length("data") - F.octet_length(text)).cast("long").alias("dropped"),
+    )
 
 
 _RAW_ROWS = """

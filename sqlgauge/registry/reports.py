@@ -189,24 +189,14 @@ def summary_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def whole_results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of all configurations written as a results tree and read back."""
+@query(f"""
+WITH {_SUMMARY_SQL}
+SELECT * EXCLUDE (pareto) FROM summary
+""")
+def results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all configurations written as a results tree, a folder each, and read back."""
     root = new_path(spark, "tree")
     accuracy, latency = _reports(spark, sf_dir)
     R.write_results_tree(accuracy, root, "metrics.json")
     R.write_results_tree(latency, root, "latency.json")
     return R.read_results_tree(spark, root)
-
-
-_FEW = "config IN (SELECT config FROM joined ORDER BY config LIMIT 12)"
-
-
-@query(f"""
-WITH {_SUMMARY_SQL}
-SELECT * EXCLUDE (pareto) FROM summary WHERE {_FEW}
-""")
-def results_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole results tree, written and read back, and of it the dozen rows that the SQL
-    asks for."""
-    tree = whole_results_tree(spark, sf_dir)
-    return tree.where(F.col("config").isNotNull()).orderBy("config").limit(12)

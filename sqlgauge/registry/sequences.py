@@ -11,6 +11,7 @@ from ..operators import inference as I
 from ..operators import sampling as A
 from ..operators import sequences as Q
 from ..operators.ordering import batch_numbers
+from ..sources.catalog import schema_text as catalog_schema
 from .base import SQL_ASK, TEMPLATE, query, sql_text, sql_turns, table
 from .prompts import sql_prompt
 
@@ -33,6 +34,57 @@ def head_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.head_limit(chat, ["conv_id", "turn"], 200)
 
 
+_SHORT, _NEVER = "n_chars < 200", "n_chars < 0"
+
+
+def _refusal_sql(probe: str, what: str, rows: str) -> str:
+    none = f"(SELECT count(*) FROM {rows}) = 0"
+    return (
+        f"SELECT {sql_text(probe)} AS probe, {none} AS refused, "
+        f"CASE WHEN {none} THEN {sql_text(f'no {what} found')} END AS message"
+    )
+
+
+@query("\nUNION ALL\n".join([
+    _refusal_sql("documents", "documents", "documents"),
+    _refusal_sql("short documents", "documents", f"documents WHERE {_SHORT}"),
+    _refusal_sql("impossible documents", "documents", f"documents WHERE {_NEVER}"),
+    _refusal_sql("calibration", "examples", f"documents WHERE {_SHORT}"),
+    _refusal_sql("calibration of nothing", "examples", f"documents WHERE {_NEVER}"),
+    _refusal_sql("tables", "tables in 1", "lineitem WHERE l_orderkey = 1"),
+    _refusal_sql("tables of nothing", "tables in none", f"documents WHERE {_NEVER}"),
+]))
+def empty_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What refuses to work on nothing, and that it does not refuse anything else."""
+    docs = table(spark, sf_dir, "documents")
+    examples = docs.select(
+        F.col("doc_id").alias("id"), "source", F.col("text").alias("question"), "n_chars",
+        F.concat(F.lit("CREATE TABLE "), F.col("source")).alias("schema"),
+        F.lit(None).cast(MESSAGES_TYPE).alias("messages"),
+    )
+    catalog = table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_orderkey AS STRING) AS db_id", "'table' AS type",
+        "'line_' || l_linenumber AS table_name", "'CREATE TABLE t (a INT)' AS ddl",
+    )
+    probes = {
+        "documents": lambda: A.require_rows(docs, "documents"),
+        "short documents": lambda: A.require_rows(docs.where(_SHORT), "documents"),
+        "impossible documents": lambda: A.require_rows(docs.where(_NEVER), "documents"),
+        "calibration": lambda: A.calibration_texts(examples.where(_SHORT), TEMPLATE),
+        "calibration of nothing": lambda: A.calibration_texts(examples.where(_NEVER), TEMPLATE),
+        "tables": lambda: catalog_schema(catalog, "1"),
+        "tables of nothing": lambda: catalog_schema(catalog, "none"),
+    }
+    found = []
+    for probe, work in probes.items():
+        try:
+            work()
+            found.append((probe, False, None))
+        except ValueError as error:
+            found.append((probe, True, str(error)))
+    return spark.createDataFrame(found, "probe string, refused boolean, message string")
+
+
 def make_word_tokenizer() -> Q.Tokenize:
     """A stand-in tokenizer: one token per space-separated word, its id the word's length."""
     return lambda text: [len(word) for word in text.split(" ")]

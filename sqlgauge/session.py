@@ -71,6 +71,22 @@ def shared_tables(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+@contextmanager
+def temporary_conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside; what was set before holds again afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back (runs a job).
 

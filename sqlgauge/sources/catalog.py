@@ -11,23 +11,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_ddl
+from ..functions.text import clean_ddl, decode_utf8
 from ..operators.sampling import require_rows
 
 CATALOG_TYPE = "db_id string, type string, table_name string, ddl string"
 
 
 def read_catalog(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Catalog from dumps of schema tables, one file or folder of JSON lines per database.
+    """Catalog from dumps of schema tables as JSON lines, in files of any size.
 
-    A line is a schema object (``type``, ``table_name``, ``ddl``). The database is named
-    after the file, or the folder, without its extension. Lines that do not parse are
-    rows with nothing but their ``db_id``, as is fit for a database that cannot be read.
+    A line is a schema object (``type``, ``table_name``, ``ddl``) and may name its database
+    as ``db_id``, so that one file holds many. Otherwise the database is named after the
+    file, or the folder, without its extension. Bytes that are no UTF-8 are dropped. Lines
+    that do not parse are rows with nothing but their ``db_id``, as is fit for a database
+    that cannot be read; blank lines are skipped.
     """
-    rows = spark.read.schema("type string, table_name string, ddl string").json(paths)
-    place = F.col("_metadata.file_path")
-    named = F.regexp_extract(place, r"/([^/]+?)(?:\.[^./]*)?(?:/part-[^/]*)?$", 1)
-    return rows.select(F.url_decode(named).alias("db_id"), "type", "table_name", "ddl")
+    lines = spark.read.text(paths).select(
+        decode_utf8(F.col("value").cast("binary")).alias("line"),
+        F.col("_metadata.file_path").alias("place"),
+    )
+    named = F.regexp_extract("place", r"/([^/]+?)(?:\.[^./]*)?(?:/part-[^/]*)?$", 1)
+    objects = lines.where(F.btrim("line", F.lit(" \t\r\n")) != "").select(
+        "place", F.from_json("line", CATALOG_TYPE).alias("o")
+    )
+    return objects.select(
+        F.coalesce("o.db_id", F.url_decode(named)).alias("db_id"),
+        "o.type",
+        "o.table_name",
+        "o.ddl",
+    )
 
 
 def is_user_table() -> Column:

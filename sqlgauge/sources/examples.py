@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import MESSAGES_TYPE
 from ..operators.sampling import head_limit, require_rows
+from .arrays import read_array_objects
 
 log = logging.getLogger(__name__)
 
@@ -41,25 +42,27 @@ def read_raw_split(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The examples of JSON array files as ``file_no, pos, db_id, question, gold_sql``.
 
     Files count in the order listed; a missing one is warned about and left out.
-    ``pos`` grows within a file but has gaps. A JSON array cannot be split, so each
-    file is parsed, as a stream, by one task; keep huge splits in several files.
+    ``pos`` grows within a file but has gaps. Every file is read by many tasks, however
+    few records a line or the file as a whole has (runs jobs). What is no array of objects
+    with fields of these types fails the read.
     """
     parts = []
+    objects: dict[str, DataFrame] = {}
     for number, path in enumerate(paths):
-        if not path_exists(spark, path):
-            log.warning("missing %s, skipping", path)
-            continue
+        if path not in objects:
+            if not path_exists(spark, path):
+                log.warning("missing %s, skipping", path)
+                continue
+            objects[path] = read_array_objects(spark, path)
         parts.append(
-            spark.read.schema(RAW_TYPE)
-            .option("multiLine", True)
-            .option("mode", "FAILFAST")
-            .json(path)
+            objects[path]
+            .select("pos", F.from_json("value", RAW_TYPE, {"mode": "FAILFAST"}).alias("r"))
             .select(
                 F.lit(number).alias("file_no"),
-                F.monotonically_increasing_id().alias("pos"),
-                "db_id",
-                "question",
-                gold_text(F.col("query"), F.col("SQL")).alias("gold_sql"),
+                "pos",
+                "r.db_id",
+                "r.question",
+                gold_text(F.col("r.query"), F.col("r.SQL")).alias("gold_sql"),
             )
         )
     if not parts:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.pareto import SUMMARY_COLUMNS, join_reports
 from ..operators.sampling import require_rows
+from .tree import read_tree, write_results_tree
+
+__all__ = [
+    "LATENCY_TYPE", "METRICS_TYPE", "read_reports", "read_results_tree", "write_json_lines",
+    "write_reports", "write_results_tree", "write_summary",
+]
 
 METRICS_TYPE = (
     "model string, adapter string, backend string, n bigint, execution_accuracy double, "
@@ -58,53 +61,19 @@ def write_summary(summary: DataFrame, path: str, mode: str = "errorifexists") ->
     ordered.write.mode(mode).option("header", True).csv(path)
 
 
-def write_results_tree(reports: DataFrame, root: str, file_name: str) -> None:
-    """One report per configuration as ``root/<file_name>/config=<config>/part-...``.
+def read_results_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Summary rows of a tree ``root/<config>/metrics.json`` and ``latency.json``, as
+    ``write_results_tree`` writes it, or of the folders that Spark writes in its place.
 
-    Spark writes all of them in one job, however many there are.
+    A configuration may lack one of the files. Finding none at all is a ValueError.
     """
-    write_reports(
-        reports.repartition("config"), f"{root.rstrip('/')}/{file_name}", folder_per_config=True
-    )
-
-
-def _read_written(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame:
-    """The reports of ``write_results_tree``, with the configuration of their folder."""
+    schemas = {"metrics.json": METRICS_TYPE, "latency.json": LATENCY_TYPE}
     try:
-        return spark.read.schema(f"{schema}, config string").option("mode", "FAILFAST").option(
-            "pathGlobFilter", "part-*"
-        ).json(f"{root.rstrip('/')}/{file_name}")
+        found = read_tree(spark, root, schemas)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{schema}, config string")
-
-
-def _read_tree(spark: SparkSession, root: str, file_name: str, schema: str) -> DataFrame:
-    """The files, or folders, of that name exactly one folder below ``root``."""
-    try:
-        rows = spark.read.schema(schema).option("multiLine", True).option(
-            "mode", "FAILFAST"
-        ).json(f"{root.rstrip('/')}/*/{file_name}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{schema}, config string")
-    ending = re.escape(f"/{file_name}") + "(?:/[^/]*)?$"
-    folder = F.regexp_extract(F.col("_metadata.file_path"), f"([^/]+){ending}", 1)
-    return rows.withColumn("config", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))
-
-
-def read_results_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Summary rows of a tree ``root/<config>/metrics.json`` and ``latency.json``, or of one
-    that ``write_results_tree`` wrote.
-
-    A configuration may lack one of the files. Finding none at all is a ValueError.
-    """
-    accuracy, latency = (
-        _read_tree(spark, root, name, schema).unionByName(
-            _read_written(spark, root, name, schema)
-        )
-        for name, schema in (("metrics.json", METRICS_TYPE), ("latency.json", LATENCY_TYPE))
+        raise ValueError(f"no metrics under {root} found") from error
+    return require_rows(
+        join_reports(found["metrics.json"], found["latency.json"]), f"metrics under {root}"
     )
-    return require_rows(join_reports(accuracy, latency), f"metrics under {root}")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sqlgauge.operators.score import (
     execution_accuracy, metrics, outcomes_by_example, score_examples, status_counts,
@@ -186,6 +187,69 @@ def test_many_pairs_leave_few_folders_and_no_list(spark, tmp_path, monkeypatch):
         runner.run_pairs(examples.union(examples), use_database=nums)
 
 
+def test_a_statement_runs_once_per_database(spark, monkeypatch):
+    from sqlgauge.plans import runner
+
+    run: list[tuple] = []
+    original = runner._store
+
+    def counted(session, task, *rest):
+        run.append((task["db_id"], task["statement"]))
+        return original(session, task, *rest)
+
+    monkeypatch.setattr(runner, "_store", counted)
+    gold, ordered = "SELECT n FROM nums", "SELECT n FROM nums ORDER BY n"
+    texts = [
+        (gold, "SELECT n FROM nums ORDER BY n DESC", "match"),
+        (ordered, "SELECT n FROM nums ORDER BY n DESC", "mismatch"),
+        (ordered, ordered, "match"),  # the prediction has run as a gold query
+        (gold, ordered, "match"),
+        ("SELECT bad FROM nums", "SELECT 5", "gold_error"),  # the prediction does not run
+        (gold, "SELECT try_reflect('a', 'b')", "pred_error"),  # nor does a refused one
+        (gold, " ", "pred_error: empty"),
+        (None, gold, "gold_error"),
+    ]
+    rows = [(10 * c + i, "nums", *pair[:2]) for c in range(5) for i, pair in enumerate(texts)]
+    examples = spark.createDataFrame(rows, "id bigint, db_id string, gold_sql string, pred_sql string")
+    judged = runner.execution_match(examples, use_database=nums).collect()
+    assert len(judged) == 40
+    for r in judged:
+        assert r.status.startswith(texts[r.id % 10][2]), r
+        assert r.gold_rows == (0 if r.id % 10 in (4, 7) else 3)
+    assert len(run) == len(set(run)) == 5
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "SELECT java_method('a', 'b')", "SELECT REFLECT ('a', 'b')", "SELECT `reflect`('a', 'b')",
+        "SELECT builtin.Try_Reflect\n('a', 'b')", "SELECT reflect/* /* */ */('a', 'b')",
+        "SELECT system.builtin.`java_method` ('a', 'b')", "SELECT reflect -- x\n('a', 'b')",
+        "SELECT r'\\', reflect('a', 'b'), '\\'", "SELECT IDENTIFIER('ref' || 'lect')('a', 'b')",
+        "SELECT TRANSFORM(n) USING 'cat' FROM nums", "FROM nums MAP n USING /**/ \"cat\" AS m",
+    ],
+)
+def test_statements_that_leave_the_engine_are_refused(spark, query):
+    from sqlgauge.plans import runner
+
+    with pytest.raises(QueryError, match="not allowed"):
+        runner.read_only(spark, query)
+    found = spark.createDataFrame([(query,)], "q string").select(runner.refused(F.col("q")))
+    assert found.first()[0]
+
+
+@pytest.mark.parametrize(
+    "query",
+    ["SELECT reflect FROM t", "SELECT a.x FROM a JOIN b USING (x)", "SELECT transform(array(1), x -> x)",
+     "SELECT my_reflect(1), reflected(2), identifier FROM t", None],
+)
+def test_statements_that_stay_inside_are_not(spark, query):
+    from sqlgauge.plans import runner
+
+    found = spark.createDataFrame([(query,)], "q string").select(runner.refused(F.col("q")))
+    assert not found.first()[0]
+
+
 def test_what_was_not_executed_is_no_match(spark):
     examples = spark.createDataFrame(
         [(1, "SELECT 1"), (2, "SELECT 1"), (3, " ")], "id bigint, pred_sql string"

@@ -1,12 +1,9 @@
 import json
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 from sqlgauge.plans import prepare as R
-from sqlgauge.registry.reports import _SUMMARY_SQL, whole_results_tree
 from sqlgauge.sources import catalog as C
 from sqlgauge.sources import examples as E
 from sqlgauge.sources import reports as O
@@ -51,6 +48,22 @@ def test_catalog_and_schema_texts(spark, dumps, rows):
         C.schema_text(catalog, "bare")
 
 
+def test_catalog_of_many_databases_in_one_file(spark, tmp_path, rows):
+    lines = [
+        b'{"db_id": "a", "type": "table", "table_name": "x", "ddl": "CREATE TABLE x (\xe2\x82 t INT)"}',
+        b"  ",
+        b'{"db_id": "b", "type": "table", "table_name": "y", "ddl": "CREATE TABLE y (\xc3\xa9 INT)"}',
+        b'{"type": "table", "table_name": "z", "ddl": "CREATE TABLE z (a INT)"}',
+        b"{torn",
+    ]
+    (tmp_path / "all.json").write_bytes(b"\n".join(lines))
+    catalog = C.read_catalog(spark, str(tmp_path))
+    assert dict(rows(C.schema_texts(catalog))) == {
+        "a": "CREATE TABLE x ( t INT);", "b": "CREATE TABLE y (é INT);", "all": "CREATE TABLE z (a INT);",
+    }
+    assert ("all", None, None, None) in rows(catalog) and catalog.count() == 4
+
+
 def test_internal_names(spark, rows):
     names = ["sqlite_stat1", "SQLiteX", "sqlite", "sqlit_e", "my_sqlite_x"]
     catalog = spark.createDataFrame(
@@ -158,20 +171,88 @@ def test_reports_keep_nulls_and_configs(spark, tmp_path, folders):
     assert got == {"a": ("m", None, 3, {"match": 2}), "b": ("m", "lora", 0, {})}
 
 
-def test_results_tree_holds_every_configuration(spark, rows):
-    tree = whole_results_tree(spark, SF)
-    connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    found = connection.execute(f"WITH {_SUMMARY_SQL} SELECT * EXCLUDE (pareto) FROM summary")
-    columns = [column[0] for column in found.description]
-    expected = sorted(found.fetchall(), key=str)
-    assert len(expected) > 12
-    assert sorted(rows(tree.select(*columns)), key=str) == expected
+ODD_NAMES = ["a b+c", "x/y=%2F", "ü", "007", "", ".", "..", "_x", ".y", "config=a", "50%"]
+
+
+def test_results_tree_layout_and_odd_names(spark, tmp_path):
+    root = tmp_path / "tree"
+    metrics = spark.createDataFrame(
+        [(n, 0.5, None) for n in ODD_NAMES], "config string, execution_accuracy double, model string"
+    )
+    O.write_results_tree(metrics.repartition(3), str(root), "metrics.json")
+    O.write_results_tree(metrics.repartition(2), str(root), "metrics.json")  # replaced, not doubled
+    written = sorted(root.glob("*/metrics.json"))
+    assert len(written) == len(ODD_NAMES)
+    assert json.loads((root / "ü" / "metrics.json").read_text()) == {
+        "execution_accuracy": 0.5, "model": None
+    }
+    assert json.loads((root / "50%" / "metrics.json").read_text())["execution_accuracy"] == 0.5
+    assert {p.name for p in root.iterdir() if not p.name.startswith("config=")} == {
+        "a b+c", "ü", "007", "50%", "_staging"
+    }
+    assert not list((root / "_staging").rglob("*"))
+    back = O.read_results_tree(spark, f"file://{root}").collect()
+    assert sorted(r.config for r in back) == sorted(ODD_NAMES)
+
+
+def test_results_tree_layouts_side_by_side(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, file, text in [
+        ("both", "metrics.json", '{"execution_accuracy":\n 0.25, "extra": [1]}\n'),
+        ("both", "latency.json", '{"latency_ms": {"p50": 1.5, "p99": 9}}'),
+        ("only latency", "latency.json", "{}"),
+        ("blank", "metrics.json", " \n"),
+        ("neither", "other.json", "{}"),
+        ("deep/er", "metrics.json", "{}"),
+    ]:
+        (root / name).mkdir(parents=True, exist_ok=True)
+        (root / name / file).write_text(text)
+    (root / "metrics.json").mkdir()
+    reports = spark.createDataFrame([("by spark", 0.5), ("a/b", 0.75)], "config string, execution_accuracy double")
+    reports.write.mode("append").partitionBy("config").json(str(root / "metrics.json"))
+    reports.where("config = 'by spark'").selectExpr("0.125D AS execution_accuracy").write.json(
+        str(root / "a folder" / "metrics.json")
+    )
+    got = {r.config: (r.execution_accuracy, r.p50_ms, r.p99_ms) for r in O.read_results_tree(spark, str(root)).collect()}
+    assert got == {
+        "both": (0.25, 1.5, 9.0), "only latency": (None, None, None),
+        "by spark": (0.5, None, None), "a/b": (0.75, None, None), "a folder": (0.125, None, None),
+    }
+    (root / "both" / "metrics.json").write_text("{broken")
+    with pytest.raises(Exception, match="MALFORMED"):
+        O.read_results_tree(spark, str(root)).collect()
+    with pytest.raises(ValueError):
+        O.read_results_tree(spark, str(tmp_path / "nowhere"))
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        O.read_results_tree(spark, str(tmp_path / "empty"))
+
+
+def test_results_tree_refuses_what_cannot_be_one_file(spark, tmp_path):
+    schema = "config string, execution_accuracy double"
+    for rows_ in ([(None, 0.5)], [("a", 0.5), ("a", 0.25)]):
+        with pytest.raises(ValueError):
+            O.write_results_tree(spark.createDataFrame(rows_, schema), str(tmp_path / "t"), "m.json")
+    O.write_results_tree(spark.createDataFrame([], schema), str(tmp_path / "t"), "metrics.json")
+
+
+def test_a_failed_task_publishes_nothing(tmp_path):
+    import pyarrow as pa
+
+    from sqlgauge.sources.tree import ReportWriter
+
+    good = pa.RecordBatch.from_pydict({"config": ["a", "b"], "value": ["{}", "{}"]})
 
+    def breaking():
+        yield good
+        raise RuntimeError("lost")
 
-def test_results_tree_keeps_odd_names(spark, tmp_path):
-    root = str(tmp_path / "tree")
-    names = ["a b+c", "x/y=%2F", "ü", "007"]
-    metrics = spark.createDataFrame([(n, 0.5) for n in names], "config string, execution_accuracy double")
-    O.write_results_tree(metrics, root, "metrics.json")
-    assert {r.config for r in O.read_results_tree(spark, root).collect()} == set(names)
+    writer = ReportWriter(f"file:{tmp_path}", "metrics.json")
+    with pytest.raises(RuntimeError):
+        writer.write(breaking())
+    assert not list(tmp_path.glob("*/metrics.json"))
+    assert writer.write(iter([good])).files == writer.write(iter([good])).files == 2
+    writer.commit([])
+    assert sorted(p.parent.name for p in tmp_path.glob("*/metrics.json")) == ["a", "b"]
+    assert not list((tmp_path / "_staging").iterdir())
+    writer.abort([])

@@ -138,3 +138,25 @@ def test_request_and_response(spark):
     ]
     parsed = spark.createDataFrame(bodies, "b string").select(P.parse_response(F.col("b")))
     assert [tuple(r[0]) for r in parsed.collect()] == [("SELECT 1", 3, 0), (None, 0, 0)]
+
+
+BROKEN = [
+    b"", b"plain", "é€😀�".encode(), b"\xff", b"a\xe2\x82b", b"\xe2\x82\xac\xe2\x82",
+    b"\xc3\xa9\xc3", b"\xed\xa0\x80x", b"\xf0\x90A\x80", b"\xc0\xaf\xc1\xbf", b"\xf4\x90\x80\x80z",
+    b"\x80\xbf\xef\xbf\xbd", b"\xe0\x80\x80\xe0\xa0\x80", b"\xf8\x88\x80\x80\x80", b"\x00\x7f\xc2\x80",
+    b"\xe2\xc3\xa9", b"ok \xf0\x9f\x98\x80 \xf0\x9f\x98", b"x" * 200_000 + b"\xfe" + b"y" * 200_000,
+]
+
+
+def test_bytes_of_no_character_are_dropped(spark):
+
+    from sqlgauge.functions.text import decode_utf8
+
+    rng = random.Random(4)
+    lots = [0x20, 0x41, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xDF, 0xE0, 0xE2, 0xED, 0xEF, 0xF0,
+            0xF1, 0xF4, 0xF5, 0xFF]
+    data = BROKEN + [bytes(rng.choices(lots, k=rng.randrange(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)] + [(-1, None)], "i int, d binary")
+    got = {r.i: r.t for r in df.select("i", decode_utf8(F.col("d")).alias("t")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(data))] == [d.decode("utf-8", "ignore") for d in data]
