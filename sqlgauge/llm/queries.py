@@ -59,6 +59,7 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
     )
 
 

@@ -79,6 +79,33 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PASS_BYTES) -> Iterat
         start = stop
 
 
+def overlapping(
+    column: pa.Array, size: int, overlap: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Bytes, bounds, row numbers, the place of the first byte in its text, how many bytes
+    belong to each part, and whether its text ends there.
+
+    Texts longer than ``size`` come in parts that share ``overlap`` bytes: the bytes behind
+    those that belong to a part are there to be looked at.
+    """
+    raw, bounds = column_bytes(column)
+    first = 0
+    while first < len(column):
+        stop = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
+        begin, end = int(bounds[first]), int(bounds[stop])
+        rows = np.arange(first, stop)
+        if end - begin <= size + overlap:
+            part = bounds[first : stop + 1] - begin
+            yield raw[begin:end], part, rows, 0, np.diff(part), np.ones(len(rows), dtype=bool)
+        else:
+            for at in range(begin, end, size):
+                until = min(at + size + overlap, end)
+                own = np.array([min(size, end - at)])
+                ended = np.array([until == end])
+                yield raw[at:until], np.array([0, until - at]), rows, at - begin, own, ended
+        first = stop
+
+
 def segments(
     column: pa.Array, values: np.ndarray, size: int = PASS_BYTES
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
