@@ -51,3 +51,39 @@ def test_nothing_nulls_and_one(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in pair.collect()) == [
         (2, 1, 2), (3, 0, 3), (4, 1, 2)
     ]
+
+
+def test_widths_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    wide = [(i, rng.normal(size=3).tolist()) for i in range(10)]
+    rare = [(20, [1.0, 2.0]), (21, [2.0, 4.0]), (22, [-1.0, 2.0]), (23, [5.0]), (24, [9.0])]
+    copies = [(100 + i, [0.0, 0.0, 1.0, 0.0]) for i in range(300)] + [(99, [0.0, 0.02, 1.0, 0.0])]
+    ids = [(500, [1.0, 0.0, 0.0, 0.0, 0.0]), (500, [0.0, 1.0, 0.0, 0.0, 0.0]),
+           (501, [1.0, 0.1, 0.0, 0.0, 0.0]), (502, [0.1, 1.0, 0.0, 0.0, 0.0]), (501, [1.0, 0.1, 0.0, 0.0, 0.0])]
+    schema = "vec_id bigint, embedding array<double>"
+    df = spark.createDataFrame(wide + rare + copies + ids, schema).repartition(4)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, block=64).collect()}
+    assert (found[20], found[21], found[22]) == ((1, 20), (1, 20), (0, 22))
+    assert (found[23], found[24]) == ((1, 23), (1, 23))
+    assert found[99] == (300, 99) and {found[100 + i] for i in range(300)} == {(300, 99)}
+    # The two vectors of 500 have three links; the copies of 501 have each other's too.
+    assert (found[500], found[501], found[502]) == ((3, 500), (4, 500), (1, 500))
+
+
+def test_a_block_of_close_vectors_is_compared_in_bounded_memory():
+    import tracemalloc
+
+    import pandas as pd
+
+    from sqlgauge.llm.vectors import _compare
+
+    rng = np.random.default_rng(4)
+    unit = np.ones((3000, 16)) + rng.normal(scale=0.01, size=(3000, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    unit = unit[np.argsort(unit[:, 0])]
+    rows = pd.DataFrame({"cls": np.arange(3000), "weight": 2, "block": 0, "axis": unit[:, 0], "unit": list(unit)})
+    tracemalloc.start()
+    found = _compare(0.9)((), rows)
+    assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    tracemalloc.stop()
+    assert (found["n"] == 2 * 2999).all() and (found["root"] == 0).all()
