@@ -63,24 +63,47 @@ def encode_boundaries(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     return low, packed, np.packbits(high, bitorder="little").tobytes(), directory
 
 
+class Section:
+    """Bytes of a file that are read when they are cut out."""
+
+    def __init__(self, read: Callable[[int, int], bytes], start: int, size: int):
+        self._read, self._start, self._size = read, start, size
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, cut: slice) -> bytes:
+        start, stop, _ = cut.indices(self._size)
+        return self._read(self._start + start, max(0, stop - start))
+
+
 class Boundaries:
-    """Reads single boundaries out of the coded form, without unpacking the rest."""
+    """Reads single boundaries, or a range of them, out of the coded form without the rest.
+
+    The three parts are bytes, or sections of a file.
+    """
 
-    def __init__(self, n: int, low: int, packed: bytes, high: bytes, directory: bytes):
+    def __init__(
+        self,
+        n: int,
+        low: int,
+        packed: bytes | Section,
+        high: bytes | Section,
+        directory: bytes | Section,
+    ):
         self.n, self.low = n, low
-        self._packed = int.from_bytes  # big integers cut out below
-        self._low_bytes, self._high = packed, np.frombuffer(high, np.uint8)
-        self._directory = np.frombuffer(directory, "<u8")
+        self._packed, self._high, self._directory = packed, high, directory
 
     def select(self, i: int) -> int:
         """Position of set bit number ``i`` of the high bits."""
-        start = int(self._directory[i // _SAMPLE])
+        sample = 8 * (i // _SAMPLE)
+        start = int.from_bytes(self._directory[sample : sample + 8], "little")
         wanted = i % _SAMPLE
         byte = start // 8
         # The sampled bit itself counts as number 0; earlier bits of its byte do not.
         skip = start % 8
         while True:
-            chunk = self._high[byte : byte + 64]
+            chunk = np.frombuffer(self._high[byte : byte + 64], np.uint8)
             bits = np.unpackbits(chunk, bitorder="little")
             bits[:skip] = 0
             found = np.flatnonzero(bits)
@@ -91,23 +114,25 @@ class Boundaries:
 
     def end(self, i: int) -> int:
         """Where document ``i`` ends; document -1 ends at 0."""
-        if i < 0:
-            return 0
-        high = self.select(i) - i
-        first = i * self.low
-        cut = self._low_bytes[first // 8 : (first + self.low + 7) // 8 + 1]
-        value = self._packed(cut, "little") >> (first % 8)
-        return (high << self.low) | (value & ((1 << self.low) - 1))
-
-    def all(self) -> np.ndarray:
-        """Every boundary at once."""
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64)
+        return int(self.range(i, i + 1)[0]) if i >= 0 else 0
+
+    def range(self, first: int, last: int) -> np.ndarray:
+        """Where documents ``first`` to ``last - 1`` end, between two selects."""
+        if first >= last:
+            return np.empty(0, dtype=np.int64)
+        begin, stop = self.select(first), self.select(last - 1)
+        byte = begin // 8
+        chunk = np.frombuffer(self._high[byte : stop // 8 + 1], np.uint8)
+        bits = np.unpackbits(chunk, bitorder="little")
+        ones = np.flatnonzero(bits[begin % 8 : stop - 8 * byte + 1]) + begin
+        high = (ones - np.arange(first, last)).astype(np.int64)
         if not self.low:
             return high
-        bits = np.unpackbits(np.frombuffer(self._low_bytes, np.uint8), bitorder="little")
-        bits = bits[: self.n * self.low].reshape(self.n, self.low).astype(np.int64)
-        return (high << self.low) | (bits << np.arange(self.low)).sum(axis=1)
+        at, until = first * self.low, last * self.low
+        packed = np.frombuffer(self._packed[at // 8 : (until + 7) // 8], np.uint8)
+        cut = np.unpackbits(packed, bitorder="little")[at % 8 : at % 8 + until - at]
+        cut = cut.reshape(last - first, self.low).astype(np.int64)
+        return (high << self.low) | (cut << np.arange(self.low)).sum(axis=1)
 
 
 # --- files ------------------------------------------------------------------------
@@ -150,10 +175,11 @@ class TokenFile:
             raise ValueError(f"{path} is not a token-id file")
         numbers = np.frombuffer(head[8:], "<u8").astype(int)
         self.documents, self.ids, self.width, low, a, b, c, _ = (int(x) for x in numbers)
-        sections = self._read(_HEADER, a + b + c)
-        self.boundaries = Boundaries(
-            self.documents, low, sections[:a], sections[a : a + b], sections[a + b :]
-        )
+        parts = [
+            Section(self._read, at, size)
+            for at, size in ((_HEADER, a), (_HEADER + a, b), (_HEADER + a + b, c))
+        ]
+        self.boundaries = Boundaries(self.documents, low, *parts)
         self._start = _HEADER + a + b + c
 
     def _read(self, at: int, n: int) -> bytes:
@@ -434,8 +460,8 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file = TokenFile(row["path"])
             docs = sorted(row["docs"], key=lambda doc: doc["place"])
             low, high = docs[0]["place"], docs[-1]["place"]
-            bounds = file.boundaries.all()[max(low - 1, 0) : high + 1]
-            bounds = bounds if low else np.concatenate([[0], bounds])
+            ends = file.boundaries.range(low, high + 1)
+            bounds = np.concatenate([[file.boundaries.end(low - 1)], ends])
             sums = [
                 zlib.crc32(file.between(start, end).astype("<u4").tobytes())
                 for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)

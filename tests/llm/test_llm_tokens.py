@@ -37,7 +37,11 @@ def test_boundaries(n, most):
     ends = np.cumsum(np.random.default_rng(n).integers(0, most, n))
     low, packed, high, directory = T.encode_boundaries(ends)
     coded = T.Boundaries(n, low, packed, high, directory)
-    assert coded.all().tolist() == ends.tolist()
+    assert coded.range(0, len(ends)).tolist() == ends.tolist()
+    for first in range(0, len(ends), 97):
+        for size in (0, 1, 2, 63, 64, 500):
+            last = min(first + size, len(ends))
+            assert coded.range(first, last).tolist() == ends[first:last].tolist()
     assert [coded.end(i) for i in range(-1, n)] == [0, *ends.tolist()]
     if n >= 500:
         per = (len(packed) + len(high) + len(directory)) * 8 / n
