@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import texts
+from .common import text_key, texts
 from .words import BY_PUNCTUATION, column_bytes, pieces, prefixes, words
 
 # A word is seen as itself and by its first bytes, so that endings never met in training
@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 TEMPLATES = FORMS + 2
 # Labelled documents that take part in training at most.
 FIT_DOCUMENTS = 3000
+# Characters of the longest text that takes part.
+FIT_LENGTH = 30_000
 # Tokens of one training stretch.
 STRETCH = 96
 _NONE = BUCKETS - 1
@@ -294,31 +296,41 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)])], names=["field"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Field:
-    """Learn from at most ``fit_documents`` labelled documents, drawn by a hash of the id.
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    fit_documents: int = FIT_DOCUMENTS,
+    fit_length: int = FIT_LENGTH,
+) -> Field:
+    """Learn from at most ``fit_documents`` labelled texts of at most ``fit_length``
+    characters, drawn by a hash of id and text.
 
-    Only rows that are not held out take part. The draw is made on ids alone. The drawn
-    documents meet in one task, which ``fit_documents`` keeps small; only the weights, of
-    fixed size, reach the driver.
+    Only rows that are not held out take part, and rows equal in id and text count once.
+    The draw is made on ids and hashes alone; then the drawn texts, bounded in number and
+    in size, meet in one task, however many rows share an id. Only the weights, of fixed
+    size, reach the driver.
     """
-    rows = texts(docs)
+    rows = texts(docs).where(
+        ~held_out(F.col("doc_id")) & (F.coalesce(F.length("text"), F.lit(0)) <= fit_length)
+    )
+    rows = rows.select("doc_id", text_key(F.col("text")).alias("_key"), "text")
     marked = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
     ).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    known = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic")
-    )
+    known = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = (
-        rows.select("doc_id")
-        .join(known, "doc_id")
+        rows.select("doc_id", "_key")
         .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .join(known, "doc_id")
+        .orderBy(F.xxhash64("doc_id", "_key"), "doc_id", "_key")
         .limit(fit_documents)
     )
     found = (
-        rows.join(materialise(drawn, "drawn"), "doc_id")
+        rows.join(materialise(drawn, "drawn"), ["doc_id", "_key"])
+        .groupBy("doc_id", "_key", "toxic")
+        .agg(F.min("text").alias("text"))
         .repartition(1)
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", "_key")
         .mapInArrow(_fit_task, "field binary")
         .collect()
     )

@@ -76,3 +76,16 @@ def test_spans_count_code_points():
     marginal = np.array([0.1, 0.9, 0.1, 0.8])
     spans = X._spans(raw, bounds, starts, of, marginal)
     assert [(s["start"], s["end"]) for row in spans for s in row] == [(3, 6), (0, 3)]
+
+
+def test_one_id_in_a_third_of_all_rows(spark):
+    rows, labels = labelled(400)
+    rng = generator(6)
+    rows += [(0, f"{prose(rng, 40)} vilea", "s") for _ in range(150)] + [rows[5]] * 150
+    rows += [(7, "vilex " * 40_000, "s")]  # too long to take part
+    frame_ = frame(spark, rows, 8)
+    truth = {i: y for i, y, _ in labels}
+    found = X.classify(frame_, spark.createDataFrame(labels, LABELS), fit_documents=300).collect()
+    assert len(found) == len(rows)
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
