@@ -125,3 +125,78 @@ def test_planted_spans_beside_the_base_ones_are_added(spark):
     assert all(n >= 0.9 * total for n, total in hits.values())
     clean = {r.doc_id: r.text for r in P.redact(frame_, found).collect()}
     assert sum("[at]" in text for text in clean.values()) <= 10
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    rng = generator(1)
+    lists = [[], [5], *([rng.randrange(9) for _ in range(n)] for n in (63, 64, 65, 130, 4096, 9000))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<int>")
+    for r in df.select("i", P.running_sums(F.col("v")).alias("s")).collect():
+        want = [0]
+        for v in lists[r.i]:
+            want.append(want[-1] + v)
+        assert r.s == want[:-1]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"{i % 256}.1.2.3 a{i}@b.cd" for i in range(20_000))
+    found = P.find_spans(docs(spark, [text]).select("doc_id", "text")).first()
+    for kind in ("ip", "email"):
+        want = [(m.start(), m.end()) for m in re.finditer(PLAIN[kind], text) if passes(kind, m.group())]
+        assert [tuple(s) for s in found[f"_{kind}"]] == want and len(want) == 20_000
+
+
+def test_forms_that_no_rule_names(spark):
+    rng = generator(21)
+
+    def n(size, first="123456789"):
+        return rng.choice(first) + "".join(str(rng.randrange(10)) for _ in range(size - 1))
+
+    forms = {
+        "bare 3-3-4": lambda: (4, f"{n(3)}-{n(3)}-{n(4)}"),
+        "blanks": lambda: (4, f"{n(3)} {n(3)} {n(4)}"),
+        "brackets": lambda: (4, f"({n(3)}) {n(3)} {n(4)}"),
+        "words": lambda: (1, f"{prose(rng, 1)} at firm{n(2)} dot com"),
+        "upper words": lambda: (1, f"{prose(rng, 1)}.{n(2)} AT shop{n(2)} DOT example DOT net"),
+        "one sign": lambda: (1, f"{prose(rng, 1)}{n(1)}@mail{n(1)} dot org"),
+    }
+    decoys = [
+        lambda: f"20{n(2)}-0{n(1)}-1{rng.randrange(10)}", lambda: f"v{n(1)}.{n(2)}.{n(3)}.{n(3)}",
+        lambda: n(20), lambda: f"look at noon{n(1)}", lambda: f"id {n(11)}", lambda: f"user{n(3)}@local",
+        lambda: f"1{n(1)}.0{n(1)}.19{n(2)}", lambda: f"order {n(4)}-{n(4)}-{n(4)}",
+    ]
+    given, planted = [], []
+    for i in range(600):
+        name = list(forms)[i % len(forms)]
+        rank, form = forms[name]()
+        lead = prose(rng, 5) + " "
+        bad = rng.choice(decoys)()
+        ip = f"10.{rng.randrange(256)}.{rng.randrange(256)}.1"
+        start = len(lead)
+        planted.append((name, rank, start, start + len(form), bad))
+        tail = f"+1 ({n(3)}) 555-{n(4)} {prose(rng, 3)} {prose(rng, 1)}.{n(2)}@mail{n(1)}.example.com {ip}"
+        given.append(f"{lead}{form}, {prose(rng, 3)} {bad} {prose(rng, 2)} {tail}")
+    hits, wrong = {name: [0, 0] for name in forms}, 0
+    for r in P.find_pii(docs(spark, given, 6)).collect():
+        name, rank, start, end, bad = planted[r.doc_id]
+        added = {tuple(s) for s in r.all} - {tuple(s) for s in r.base}
+        hits[name][0] += any(s[0] == rank and s[1] < end and start < s[2] for s in added)
+        hits[name][1] += 1
+        low = given[r.doc_id].index(bad, end)
+        wrong += any(s[1] < low + len(bad) and low < s[2] for s in added)
+    assert all(found >= 0.9 * total for found, total in hits.values()), hits
+    assert wrong <= 6, wrong
+
+
+def test_masking_rows_that_share_an_id(spark):
+    given = frame(spark, [(1, "a@b.cd", "s"), (1, "10.0.0.1 x", "s"), (1, "a@b.cd", "s"), (None, "a@b.cd", "s")])
+    got = sorted(r.text for r in P.redact(given, P.find_pii(given)).collect())
+    assert got == ["[EMAIL]", "[EMAIL]", "[EMAIL]", "[IP] x"]
+
+
+def test_credentials_are_counted(spark):
+    texts = ['a token = "04dbebab91ab85687d33", API_KEY:abcdEFGH12345678', "a token of 04dbebab91ab85687d33", None]
+    found = P.digest_columns(P.find_pii(docs(spark, texts))).collect()
+    assert {r.doc_id: (r.secrets, r.n_found) for r in found} == {0: (2, 2), 1: (0, 0), 2: (0, 0)}
