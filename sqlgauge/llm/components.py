@@ -11,10 +11,11 @@ from ..session import materialise
 def _smallest(edges: DataFrame) -> DataFrame:
     """``u, v`` with the smallest of u and its neighbours as ``m``.
 
-    Minima are combined before the shuffle; the join back is one that adaptive
-    execution splits when u is a hub.
+    Minima are combined before the shuffle and stored. The links then meet a table of one
+    row per node, which is sent to all tasks when it is small; otherwise adaptive execution
+    splits the links of a hub, which it cannot where a join continues an aggregation.
     """
-    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     return edges.join(least, "u")
 
 
