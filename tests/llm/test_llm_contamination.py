@@ -60,3 +60,24 @@ def test_nothing_to_find(spark):
     assert [r.doc_id for r in C.find_leaks(given, one).collect()] == [None]
     assert [r.doc_id for r in C.drop_contaminated(given, one).collect()] == [1]
     assert C.find_leaks(given.where("false"), one).count() == 0
+
+
+def test_scores_match_alignment_of_all_pairs(spark):
+    rng = generator(12)
+    items = [prose(rng, rng.randrange(18, 40), 250) for _ in range(6)]
+    texts = [None, "", prose(rng, 150, 250)]
+    for item in items:
+        n = len(item.split())
+        for change in (item, edited(rng, item, n // 8), edited(rng, item, n // 6), " ".join(item.split()[: n // 3]),
+                       " ".join(item.split()[: n // 2] + ["new", "words"] + item.split()[n // 2 :])):
+            texts.append(f"{prose(rng, 40, 250)} {change} {prose(rng, 40, 250)}")
+    texts += [prose(rng, 120, 250) for _ in range(10)]
+    want = {}
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            score = plain_score(item.split(), (text or "").split())
+            if score >= C.needed_score(len(item.split()), 0.5):
+                want[d, k] = score
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in C.find_leaks(docs(spark, texts), benchmark).collect()}
+    assert found == want and len(want) >= 20
