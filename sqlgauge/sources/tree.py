@@ -104,14 +104,15 @@ def write_results_tree(reports: DataFrame, root: str, file_name: str) -> None:
     cannot be one file. Existing files of the same name are replaced.
     """
     spark = reports.sparkSession
-    wrong = reports.groupBy("config").count().where("config IS NULL OR count > 1").head(1)
-    if wrong:
-        raise ValueError(f"not one report for configuration {wrong[0]['config']!r}")
     columns = [F.col(c) for c in reports.columns if c != "config"]
     values = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    ready = materialise(reports.select("config", values.alias("value")), "reports")
+    wrong = ready.groupBy("config").count().where("config IS NULL OR count > 1").head(1)
+    if wrong:
+        raise ValueError(f"not one report for configuration {wrong[0]['config']!r}")
     ship_package(spark)
     spark.dataSource.register(ReportTree)
-    reports.select("config", values.alias("value")).write.format("report_tree").mode(
+    ready.write.format("report_tree").mode(
         "append"
     ).option("root", root).option("file_name", file_name).save()
 
