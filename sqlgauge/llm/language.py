@@ -45,7 +45,8 @@ def _buckets(code: np.ndarray, template: int) -> np.ndarray:
 def features(raw: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Feature numbers of every place, and where each text's begin, per template.
 
-    Grams are taken around every letter; neighbouring words and texts stay apart.
+    Grams are taken around every letter and end where its word does, so they neither
+    depend on the texts beside theirs nor on where a long text is cut.
     """
     rows = len(bounds) - 1
     apart = np.repeat(np.arange(rows), np.diff(bounds))
@@ -55,7 +56,7 @@ def features(raw: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.n
     at = np.flatnonzero(value)
     of = np.searchsorted(at, bounds + np.arange(rows + 1) + 2)
     three = value[at - 1] * _ODD[0] + value[at] * _ODD[1] + value[at + 1] * _ODD[2]
-    four = three + value[at + 2] * _ODD[3]
+    four = three + np.where(value[at + 1] != 0, value[at + 2], np.uint64(0)) * _ODD[3]
     _, hashes, word_of = words(raw, bounds, LETTERS)
     return [
         (_buckets(three, 0), of),

@@ -117,7 +117,8 @@ def _plain_features(text):
         if padded[i]:
             g = sum(v * f for v, f in zip(padded[i - 1 : i + 2], odd[:3], strict=True))
             out.append((0, g * odd[7] % mod >> 50))
-            out.append((1, (g + padded[i + 2] * odd[3]) * odd[7] % mod >> 50))
+            ahead = padded[i + 2] if padded[i + 1] else 0
+            out.append((1, (g + ahead * odd[3]) * odd[7] % mod >> 50))
     return sorted(t << 14 | b for t, b in out)
 
 
