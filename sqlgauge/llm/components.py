@@ -32,30 +32,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.unionByName(others)
 
 
-def _settled(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
+def _unsettled(edges: DataFrame) -> int:
+    """How many nodes are not yet the middle of a star, or a leaf with a single link to it.
+
+    Links run down, so the middle of a star is its smallest node. Ends are counted before
+    the shuffle, which brings no hub's links together.
+    """
+    below = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    above = edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ends = below.unionByName(above).groupBy("node")
+    counted = ends.agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return counted.where("down > 1 OR down = 1 AND up = 1").agg(F.count("*")).first()[0]
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node with a link; the component is its smallest node.
 
     Each round rewrites the links towards the smallest nodes and stores them, until they
-    stay the same, after a number of rounds that grows with the logarithm of the longest
-    path. Only two numbers per round reach the driver. Links from a node to itself and
-    repeated links are ignored, links with a null end too.
+    form stars, which another round would not change, after a number of rounds that grows
+    with the logarithm of the longest path. Only one number per round reaches the driver.
+    Links from a node to itself and repeated links are ignored, links with a null end too.
     """
-    edges = materialise(
-        links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links"
-    )
-    before = _settled(edges)
-    while before[0]:
+    proper = links.where(F.col(a) != F.col(b))
+    down = proper.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    edges = materialise(down.distinct(), "links")
+    while _unsettled(edges):
         edges = materialise(
             _small_star(_large_star(edges).where("u <> v")).where("u <> v").distinct(), "stars"
         )
-        now = _settled(edges)
-        if now == before:
-            break
-        before = now
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)
