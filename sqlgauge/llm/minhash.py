@@ -13,7 +13,7 @@ from ..operators.ordering import number_rows
 from ..session import materialise
 from .common import MATCH_COLUMNS, match_columns, task_count, text_key, texts, with_match
 from .components import components
-from .words import column_bytes, mix, pieces, shingles, words
+from .words import mix, pieces, shingle_sets
 
 # Two collections of this many half keys, each made of this many minima: a link of
 # similarity 0.8 is missed with probability 2 * (1 - 0.8**3)**16, about 2 in 100,000.
@@ -58,10 +58,8 @@ def _sketch(shingle: int, half_keys: int, half_minima: int, seed: int):
         factors, shifts = _hashers(seed, 2 * half_keys * half_minima)
         number = np.arange(2 * half_keys, dtype=np.uint64)
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                raw, bounds = column_bytes(piece.column("text"))
-                _, hashes, of = words(raw, bounds)
-                sets = shingles(hashes, of, shingle)
+            for first, sets in shingle_sets(batch.column("text"), shingle):
+                piece = batch.slice(first, len(sets))
                 least = minima(sets, factors, shifts)
                 marks = (least & np.uint64(255)).astype(np.uint8)
                 least = least.reshape(len(sets), -1, half_minima)
@@ -124,11 +122,10 @@ def _verify(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text_a"):
-                sets = []
-                for column in ("text_a", "text_b"):
-                    raw, bounds = column_bytes(piece.column(column))
-                    _, hashes, of = words(raw, bounds)
-                    sets.append(shingles(hashes, of, shingle))
+                sets = [
+                    [s for _, part in shingle_sets(piece.column(side), shingle) for s in part]
+                    for side in ("text_a", "text_b")
+                ]
                 good = np.zeros(piece.num_rows, dtype=bool)
                 for row, (x, y) in enumerate(zip(*sets, strict=True)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -225,11 +222,10 @@ def _set_rows(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                _, hashes, of = words(*column_bytes(piece.column("text")))
-                sets = [s.tobytes() for s in shingles(hashes, of, shingle)]
+            for first, sets in shingle_sets(batch.column("text"), shingle):
+                grams = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("rep"), pa.array(sets, pa.binary())], names=["rep", "grams"]
+                    [batch.column("rep").slice(first, len(sets)), grams], names=["rep", "grams"]
                 )
 
     return run

@@ -184,6 +184,39 @@ def shingles(hashes: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(
+    column: pa.Array, size: int, limit: int = PASS_BYTES
+) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and shingle sets of about ``limit`` bytes of whole texts at a time, in order.
+
+    A longer text is read in segments, the last ``size - 1`` words of each leading the next,
+    so that it needs memory for itself and its shingles only.
+    """
+    none = np.empty(0, dtype=np.uint64)
+    row, lead, found = -1, none, []
+
+    def whole() -> list[np.ndarray]:
+        if found:
+            return [np.unique(np.concatenate(found)) if len(found) > 1 else found[0]]
+        return shingles(lead, np.array([0, len(lead)]), size)
+
+    for raw, bounds, rows in segments(column, BY_SPACE, limit):
+        _, hashes, of = words(raw, bounds)
+        if row >= 0 and rows[0] != row:
+            yield row, whole()
+            row, lead, found = -1, none, []
+        if len(rows) > 1:
+            yield int(rows[0]), shingles(hashes, of, size)
+            continue
+        row = int(rows[0])
+        hashes = np.concatenate([lead, hashes])
+        if len(hashes) >= size:
+            found.append(shingles(hashes, np.array([0, len(hashes)]), size)[0])
+        lead = hashes[max(0, len(hashes) - size + 1) :]
+    if row >= 0:
+        yield row, whole()
+
+
 def prefixes(
     raw: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], values: np.ndarray
 ) -> np.ndarray:

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from llm_helpers import ODD, generator, prose, shingle_set
 from sqlgauge.llm import words as W
@@ -21,6 +22,24 @@ def test_words_and_shingles_match_plain_python():
             seen[text or ""] = found
 
 
+@pytest.mark.parametrize("limit", [1, 7, 60, 10_000])
+def test_texts_read_in_segments_have_the_same_shingles(limit):
+    rng = generator(2)
+    texts = [*ODD, *[prose(rng, rng.choice((0, 1, 3, 4, 5, 90)), 9) for _ in range(40)], "  a  "]
+    column = pa.array(["left out", *texts]).slice(1)
+    for size in (1, 2, 4):
+        raw, bounds = W.column_bytes(column)
+        _, hashes, of = W.words(raw, bounds)
+        got = []
+        for first, sets in W.shingle_sets(column, size, limit):
+            assert first == len(got)
+            got += sets
+        assert len(got) == len(texts)
+        for one, other in zip(W.shingles(hashes, of, size), got, strict=True):
+            assert np.array_equal(one, other)
+    assert list(W.shingle_sets(pa.array([], pa.string()), 4, limit)) == []
+
+
 def test_slices_and_pieces_cover_everything():
     table = pa.table({"text": ["abc", None, "d" * 50, ""]}).to_batches()[0].slice(1, 3)
     parts = list(W.pieces(table, "text", 10))
