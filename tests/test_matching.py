@@ -22,7 +22,7 @@ def _tables(spark, folder, n_orders):
 
 
 @pytest.mark.parametrize("n_orders", [2000, 8000])
-@pytest.mark.parametrize("name", ["accuracy_by_config", "score_pairs", "status_counts"])
+@pytest.mark.parametrize("name", ["accuracy_by_config", "score_pairs", "status_counts", "predictions_json"])
 def test_judging_tasks_grow_in_number_not_in_size(spark, tmp_path, monkeypatch, name, n_orders):
     verdicts, score_examples = [], matching.S.score_examples
 
